@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from limitloom.queries import attach, grouping, timelines, vintage  # noqa: F401
+from limitloom.queries import attach, expressions, grouping, rules, timelines, vintage  # noqa: F401
 from limitloom.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
