@@ -13,13 +13,14 @@ def tile_starts(df: DataFrame, unique: str, n: int, partitions: int | None = Non
 
     Ids are range-partitioned; the partition counts give each partition's first rank, and
     only the partitions a boundary rank falls into rank their rows. What reaches the driver
-    is n - 1 values. The partitioned ids are checkpointed because range boundaries come
-    from a sample: the counting and the ranking must read the same ones.
+    is one count per partition and n - 1 values. The partitioned ids are stored first
+    because range boundaries come from a sample: counting and ranking must read the same.
     """
     spark = df.sparkSession
     width = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = durable(
-        df.select(F.col(unique).alias("id")).repartitionByRange(width, "id").withColumn("part", F.spark_partition_id())
+        df.select(F.col(unique).alias("id")).repartitionByRange(width, "id").withColumn("part", F.spark_partition_id()),
+        "tile-ids",
     )
     # One row per partition from here to `starts`.
     counts = ids.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # The operators lean on adaptive execution: hot join keys are split at run time
 # and joins turn into broadcasts only when the measured side is small enough.
@@ -50,14 +50,13 @@ def run_folder(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def durable(df):
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
+def durable(df: DataFrame, label: str = "frame") -> DataFrame:
+    """``df`` as a written table in the shared folder, read back.
 
-    Used where a frame with data-dependent partition boundaries is read twice and both
-    readers must see the same boundaries, also after an executor is lost.
+    For a frame that several later steps read: it is computed once, its lineage ends here,
+    and all readers see the same rows after an executor is lost. Being a stored table it
+    keeps column pruning and a known size, which decide joins downstream.
     """
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = run_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -202,3 +202,11 @@ def cte(*names: str) -> str:
         sql = _DAYS.sub(r"datediff('day', \1, \2)", _VIEWS[name])
         parts.append(f"{name} as ({re.sub(r'{(\w+)}', r'\1', sql)})")
     return "with " + ",\n".join(parts)
+
+
+def add_views(views: dict[str, str]) -> None:
+    """Register further stand-ins; their SQL may use the ones already known."""
+    clash = set(views) & (set(_VIEWS) | set(DRIVER))
+    if clash:
+        raise ValueError(f"stand-ins defined twice: {sorted(clash)}")
+    _VIEWS.update(views)
