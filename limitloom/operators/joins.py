@@ -33,7 +33,7 @@ def attach(left: DataFrame, right: DataFrame, on: Keys, how: str = "left", extra
     """
     pairs = _pairs(on)
     renamed = {r: f"__key{i}" for i, (_, r) in enumerate(pairs)}
-    side = right.select(*[F.col(c).alias(renamed.get(c, c)) for c in right.columns])
+    side = right.withColumnsRenamed(renamed)
     if flag:
         side = side.withColumn(flag, F.lit(1))
     clash = {c.lower() for c in left.columns} & {c.lower() for c in side.columns}

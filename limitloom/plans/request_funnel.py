@@ -101,11 +101,14 @@ def restored_above_decrease(rows: DataFrame, decreases: DataFrame) -> DataFrame:
     return attach(keep.withColumn("request_new_cl", new_limit), cut, "account_id", "inner", extra=c("request_new_cl") > c("cld_prev_cl"))
 
 
-def with_eligibility(funnelled: DataFrame, eligibility: DataFrame, created_after: dt.date) -> DataFrame:
-    """Requests in their decision month with the first adjudication after the request."""
+def with_eligibility(funnelled: DataFrame, eligibility: DataFrame, created_after: dt.date, tiebreak: tuple[str, ...] = ()) -> DataFrame:
+    """Requests in their decision month with the first adjudication after the request.
+
+    ``tiebreak`` orders adjudications of an account that carry the same time.
+    """
     cols = ["request_id", "account_id", "created_at", "approve_status", "cli_vintage", "accept_status", "icl_adj", "mob", "icl_bucket", "tu_bucket"]
     recent = funnelled.filter((c("cli_stmt") == 0) & (c("created_at") > F.lit(created_after))).select(*cols)
-    return asof_forward(recent, eligibility, "account_id", "created_at", "adjudicated_at")
+    return asof_forward(recent, eligibility, "account_id", "created_at", "adjudicated_at", tiebreak=tiebreak)
 
 
 def reject_reason_counts(adjudicated: DataFrame, brands: Brands, after_vintage: str) -> DataFrame:

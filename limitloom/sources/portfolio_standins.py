@@ -61,7 +61,7 @@ from (select account_id, reference_date, max(part_key) as mark, max(dpd) as dpd
 select offer_id, account_id, {_USER.format("account_id")} as user_id, cast(offer_date as timestamp) as initiated_at,
        case when status = 'F' then cast(offer_date + 2 as timestamp) end as accepted_at,
        case mod(offer_id, 9) when 0 then 'QC-RPL' when 1 then 'HIGH-PRTV' else 'STD' end as strategy
-from {{offers}}""",
+from {{offers}} where status <> 'O'""",
         "sent_decreases": """
 select account_id, case mod(offer_id, 3) when 0 then 'INACTIVE_CLD' when 1 then 'LOW-UTIL' else 'CLD_HIGH_RISK' end as strategy,
        cast(offer_date as timestamp) as initiated_at, cast(offer_date + 1 as timestamp) as applied_at,
@@ -84,10 +84,48 @@ select user_id, account_id, case when mod(account_id, 21) = 0 then 'US' when mod
     }
 )
 
+# Requests, their offers, and the score histories of the studies.
+add_views(
+    {
+        "requests": f"""
+select offer_id as request_id, {_USER.format("account_id")} as user_id, account_id, case when mod(offer_id, 7) <> 0 then offer_id end as offer_id,
+       cast(offer_date as timestamp) as created_at from {{offers}}""",
+        "offer_book": """
+select offer_id, case mod(offer_id, 9) when 0 then 'QC-RPL' when 1 then 'HIGH-PRTV' when 2 then null else 'STD' end as strategy,
+       case mod(offer_id, 2) when 0 then 'user' else 'agent' end as actioned_by, cast(offer_date as timestamp) as created_at,
+       case when status = 'F' then cast(offer_date + 3 as timestamp) end as accepted_at,
+       case when status = 'O' and mod(d, 2) = 0 then cast(offer_date + 5 as timestamp) end as declined_at,
+       mod(d, 4000) * 100 as limit_cents_at_offer, (mod(d, 4000) + mod(d, 9001)) * 100 as offered_limit_cents
+from (select *, cast(floor(offer_limit) as bigint) as d from {offers})""",
+        "wide_performance": """
+select p.account_id, p.stmt_mth, p.stmt_date, p.raim, p.bfc, p.cof, a.brand,
+       case mod(p.account_id, 3) when 0 then 'WORLD_ELITE' when 1 then 'WORLD' else 'STANDARD' end as card_type,
+       case mod(p.account_id, 5) when 0 then '1. SUBPRIME' when 1 then '2. NEAR_PRIME' when 2 then '3. PRIME' when 3 then '4. PRIME_PLUS'
+            else '5. SUPER_PRIME' end as tu_band,
+       cast(mod(p.account_id * 37, 9000) as decimal(12,2)) as cl, date '1994-01-01' + cast(mod(p.account_id * 7, 900) as int) as booking_date,
+       'B' || cast(least(p.late_lines, 7) as string) as dpd_bucket
+from {performance} p join {accounts} a on a.account_id = p.account_id""",
+        "month_scores": """
+select account_id, cast(stmt_date as timestamp) as reference_date, cast(mod(cast(floor(bfc) as bigint), 111) as double) / 100 as prediction
+from {performance}""",
+        "offer_scores": """
+select account_id, cast(offer_date as timestamp) as reference_date,
+       cast(max(mod(cast(floor(offer_limit) as bigint), 101)) as double) / 100 as prediction
+from {offers} where mod(offer_id, 9) <> 0 group by account_id, offer_date""",
+        "behaviour_history": """
+select account_id, cast(stmt_date + 14 as timestamp) as reference_date, cast(500 + mod(cast(floor(cof) as bigint), 300) as double) as model_score
+from {performance}""",
+        "bankruptcy_history": f"""
+select {_USER.format("account_id")} as user_id, cast(make_date(year(offer_date), month(offer_date), 9) as timestamp) as reference_date,
+       cast(600 + max(mod(cast(floor(offer_limit) as bigint), 160)) as double) as score
+from {{offers}} group by {_USER.format("account_id")}, make_date(year(offer_date), month(offer_date), 9)""",
+        "marked_accounts": "select account_id from {accounts} where mod(account_id, 13) = 0",
+    }
+)
+
 
-def statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def statement_documents(flat: DataFrame) -> DataFrame:
     """The flat statements as nested documents, the shape the pipelines read."""
-    flat = standin(spark, sf_dir, "flat_statements")
     fields = {
         "paymentsCents": "payments_cents",
         "paymentsAndCreditsCents": "credits_cents",
@@ -103,7 +141,8 @@ def statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def portfolio(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The input frames of `limitloom.plans.reactive_eligibility`."""
-    get = lambda name: standin(spark, sf_dir, name)
+    known: dict[str, DataFrame] = {}
+    get = lambda name: standin(spark, sf_dir, name, known)
     users = get("portfolio_users")
     users = users.select(
         *["user_id", "type", "status", "frozen_reason", "tenant_id", "created_at"],
@@ -113,7 +152,7 @@ def portfolio(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
     cards = get("account_cards")
     return {
-        "statements": statement_documents(spark, sf_dir),
+        "statements": statement_documents(get("flat_statements")),
         "statement_adb": get("flat_statements").select("statement_id", F.col("adb_cents").alias("adb")),
         "accounts": get("credit_accounts"),
         "bureau": get("bureau_reports"),

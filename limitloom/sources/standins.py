@@ -175,13 +175,20 @@ def _needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
-def standin(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A stand-in (or a driver table) as a DataFrame."""
-    if name in DRIVER:
-        return load(spark, directory, name)
-    sql = _VIEWS[name]
-    frames = {n: standin(spark, directory, n) for n in _needs(sql)}
-    return spark.sql(_DAYS.sub(r"datediff(\2, \1)", sql), **frames)
+def standin(spark: SparkSession, directory: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A stand-in (or a driver table) as a DataFrame.
+
+    ``known`` holds frames already built for the same query; new ones are added to it.
+    """
+    known = {} if known is None else known
+    if name not in known:
+        if name in DRIVER:
+            known[name] = load(spark, directory, name)
+        else:
+            sql = _VIEWS[name]
+            frames = {n: standin(spark, directory, n, known) for n in _needs(sql)}
+            known[name] = spark.sql(_DAYS.sub(r"datediff(\2, \1)", sql), **frames)
+    return known[name]
 
 
 def cte(*names: str) -> str:

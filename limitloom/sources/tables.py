@@ -75,18 +75,30 @@ DOMAIN = {
 
 
 def conform(df: DataFrame, schema: str) -> DataFrame:
-    """The declared columns in the declared types; casts vanish where types already agree."""
-    declared = T._parse_datatype_string(schema)
-    present = {c.lower() for c in df.columns}
-    missing = [f.name for f in declared.fields if f.name.lower() not in present]
+    """``df`` with the declared columns in the declared types; what agrees is left alone."""
+    declared = {f.name.lower(): f for f in T._parse_datatype_string(schema).fields}
+    present = {f.name.lower(): f for f in df.schema.fields}
+    missing = [f.name for key, f in declared.items() if key not in present]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in declared.fields])
+    casts = {f.name: F.col(f.name).cast(f.dataType) for key, f in declared.items() if present[key].dataType != f.dataType}
+    if casts:
+        df = df.withColumns(casts)
+    return df if len(present) == len(declared) else df.select(*[f.name for f in declared.values()])
+
+
+# File schemas already looked up, per application and path. Only types are remembered;
+# files are listed anew on every read.
+_FILE_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
 
 
 def load(spark: SparkSession, directory: str, name: str, schema: str | None = None) -> DataFrame:
     """``directory/name.parquet`` with its declared schema."""
-    return conform(spark.read.parquet(f"{directory}/{name}.parquet"), schema or DRIVER[name])
+    path = f"{directory}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _FILE_SCHEMAS:
+        _FILE_SCHEMAS[key] = spark.read.parquet(path).schema
+    return conform(spark.read.schema(_FILE_SCHEMAS[key]).parquet(path), schema or DRIVER[name])
 
 
 def nested(document: Column | str, schema: str) -> Column:
