@@ -123,6 +123,76 @@ from {{offers}} group by {_USER.format("account_id")}, make_date(year(offer_date
     }
 )
 
+# The early-tenure campaign: a snapshot for the run day and the day before it on top of the
+# past daily rows, card transactions, applications and re-decision inputs.
+_BANDS = """case when {0} < 640 then 'b. Sub Prime (300 to 639)' when {0} < 720 then 'c. Near-Prime (640 to 719)'
+       when {0} < 760 then 'd. Prime (720 to 759)' when {0} < 800 then 'e. Prime+ (760 to 799)' else 'f. Super Prime (800+)' end"""
+
+add_views(
+    {
+        "campaign_daily": f"""
+select account_id, reference_date, user_id, account_id + 5000000 as customer_id,
+       case when mod(account_id, 19) = 0 then 'SECURED CREDIT' else 'WORLD CREDIT' end as product_type, 'UNSECURED' as sub_product,
+       case when mod(account_id, 37) = 0 then 'STANDARD' else 'WORLD' end as card_type,
+       case when mod(account_id, 43) = 0 then 'CLOSED' else 'OPEN' end as account_status,
+       cast(mod(account_id * 11, 140) as int) + 60 as day_on_book, cast(floor(mod(account_id * 11, 140) / 30) as int) + 1 as month_on_book,
+       case when mod(account_id, 4) = 0 then 'QC' else 'ON' end as province, 'F' || cast(mod(account_id, 3) as string) as facility,
+       case when mod(account_id, 47) = 0 then 'FRAUD' end as frozen_reason, cast(score1 as int) as latest_score,
+       {_BANDS.format("score1")} as latest_score_band, cast(score0 as int) as original_score, {_BANDS.format("score0")} as original_score_band,
+       cast(500 + mod(account_id * 37, 2500) as decimal(18,2)) as credit_limit, days_past_due
+from (select d.account_id, d.reference_date, d.days_past_due, {_USER.format("d.account_id")} as user_id,
+             640 + mod(d.account_id * 7, 230) as score0, 640 + mod(d.account_id * 7, 230) + mod(d.account_id, 91) - 30 as score1
+      from (select account_id, date '2001-08-01' as reference_date, cast(null as int) as days_past_due from {{accounts}}
+            union all select account_id, date '2001-07-31', cast(null as int) from {{accounts}}
+            union all select account_id, reference_date, cast(case when mod(mark, 300) = 0 then least(dpd, 90) end as int)
+            from (select account_id, reference_date, max(part_key) as mark, max(dpd) as dpd from {{daily}}
+                  where reference_date < date '2001-07-31' group by account_id, reference_date)) d)""",
+        "card_transactions": """
+select account_id, case when mod(part_key, 97) = 0 then 'CASH_ADVANCE' when return_flag = 'N' then 'PURCHASE' else 'PAYMENT' end as category,
+       case when mod(part_key, 5) = 0 then 'PENDING' else 'CONFIRMED' end as status, case when mod(part_key, 89) = 0 then 'FRAUD_SUSPECTED'
+       when mod(part_key, 88) = 0 then 'NO_FUNDS' end as decline_reason, 'OPEN' as account_status, 'WORLD' as card_type,
+       case when mod(part_key, 37) = 0 then 'false' else 'true' end as trusted_payment, cast(ship_date as timestamp) as authorized_at,
+       cast(price * 0.05 as decimal(18,2)) as amount from {lines}""",
+        "card_applications": f"""
+select account_id, 'app-' || cast(account_id as string) as application_id, {_USER.format("account_id")} as user_id,
+       case when mod(account_id, 7) = 0 then 'PARTNER' else 'CORE' end as brand, 'STANDARD' as type, 'COMPLETED' as status,
+       case when mod(account_id, 53) = 0 then 'DECLINED' else 'APPROVED' end as decision,
+       cast(date '2001-01-15' + cast(mod(account_id, 100) as int) as timestamp) as created_at,
+       cast(cast(mod(account_id, 3) as int) as string) as am41, case when mod(account_id, 10) = 0 then 'thin-baseline' else 'thick' end as strategy_name
+from {{accounts}}""",
+        "junior_history": """
+select account_id, cast(stmt_date + 14 as timestamp) as reference_date, '2.1' as model_version,
+       cast(mod(cast(floor(bfc) as bigint), 25) as double) / 200 as prediction from {performance}""",
+        "strategy_inputs": f"""
+select {_USER.format("c.account_id")} as user_id, c.* from {{candidates}} c
+join (select account_id, min(offer_id) as first_offer from {{candidates}} where mod(account_id, 20) <> 1 group by account_id) f
+  on f.account_id = c.account_id and f.first_offer = c.offer_id""",
+    }
+)
+
+
+def campaign_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The input frames of `limitloom.plans.early_campaign`."""
+    known: dict[str, DataFrame] = {}
+    get = lambda name: standin(spark, sf_dir, name, known)
+    applications = get("card_applications")
+    report = F.create_map(F.lit("AM41"), F.col("am41"), F.lit("strategyName"), F.col("strategy_name")).alias("credit_card_report")
+    redecision = ["user_id", "segment", "cvsc100", "go14", "at01", "am41", "am42", "am43", "am84", "go11", "pr51", "bc147", "go06", "go149", "go141"]
+    redecision += ["pr11", "am02", "re34", "dti", "bko", "thick", "thin", "subprime", "go91", *_COUNTS]
+    return {
+        "users": get("portfolio_users").select("user_id", "type"),
+        "applications": applications.select("application_id", "user_id", "brand", "type", "status", "decision", "created_at", report),
+        "accounts": applications.select("account_id", "application_id"),
+        "account_daily": get("campaign_daily"),
+        "junior_scores": get("junior_history"),
+        "transactions": get("card_transactions"),
+        "bureau": get("bureau_reports"),
+        "statements": statement_documents(get("flat_statements")).withColumn("payment_due_date", F.col("closing_date")),
+        "limit_offers": get("sent_offers").filter("account_id % 3 = 0 and accepted_at is not null"),
+        "behaviour_scores": get("behaviour_history"),
+        "redecision_inputs": get("strategy_inputs").select(*redecision),
+    }
+
 
 def statement_documents(flat: DataFrame) -> DataFrame:
     """The flat statements as nested documents, the shape the pipelines read."""
