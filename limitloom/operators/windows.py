@@ -83,9 +83,16 @@ def group_total(df: DataFrame, keys, x: str, name: str) -> DataFrame:
     return group_value(df, keys, F.sum(x), name)
 
 
-def first_event_month(df: DataFrame, keys, event: Column, month: str, name: str) -> DataFrame:
-    """The first ``month`` in which ``event`` holds, on every row of the key."""
-    return group_value(df, keys, F.min(F.when(event, F.col(month))), name)
+def first_event_month(df: DataFrame, keys, event: Column, month: str, name: str, one_per_month: bool = False) -> DataFrame:
+    """The first ``month`` in which ``event`` holds, on every row of the key.
+
+    ``one_per_month`` says that a key has at most a few rows per month: the calendar then
+    bounds the key and one window does it. Other frames go through :func:`group_value`.
+    """
+    first = F.min(F.when(event, F.col(month)))
+    if one_per_month:
+        return df.withColumn(name, first.over(Window.partitionBy(*_as_list(keys))))
+    return group_value(df, keys, first, name)
 
 
 def since_event(df: DataFrame, month: str, event_month: str, name: str, after: int = 0) -> DataFrame:

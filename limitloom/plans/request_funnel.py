@@ -84,21 +84,46 @@ def without_decrease(rows: DataFrame, decreases: DataFrame, marked: DataFrame) -
     return exclude(kept, marked, "account_id")
 
 
+_REQUEST = ("request_id", "user_id", "account_id", "offer_id", "request_mth", "icl", "cli_offer")
+
+
 def accepted_history(rows: DataFrame, offers_view: DataFrame) -> DataFrame:
-    """Every accepted offer of each row's account."""
+    """Every accepted offer of each row's account, one line per request and offer."""
     past = offers_view.filter(c("accepted_flag") == 1).select("account_id", "offer_mth", "current_cl", "new_cl", "inc_exposure", "program")
-    keep = rows.select("request_id", "user_id", "account_id", "offer_id", c("stmt_mth").alias("request_mth"), "icl", "cli_offer")
-    return attach_history(keep, past, "account_id")
+    return attach_history(rows.withColumn("request_mth", c("stmt_mth")).select(*_REQUEST), past, "account_id")
+
+
+def accepted_summary(rows: DataFrame, offers_view: DataFrame) -> DataFrame:
+    """The same history as counts and extremes: one line per request.
+
+    An account with many requests and many offers would list their product; its offers are
+    summed up first.
+    """
+    past = offers_view.filter(c("accepted_flag") == 1).groupBy("account_id").agg(
+        F.count(F.lit(1)).alias("accepted_offers"),
+        F.min("offer_mth").alias("first_offer_mth"),
+        F.max("offer_mth").alias("last_offer_mth"),
+        F.max("new_cl").alias("highest_cl"),
+    )
+    return attach(rows.withColumn("request_mth", c("stmt_mth")).select(*_REQUEST), past, "account_id")
 
 
 def restored_above_decrease(rows: DataFrame, decreases: DataFrame) -> DataFrame:
-    """Requests whose new limit exceeds the limit the account had before a decrease."""
-    cut = decreases.filter(c("initiated_at").isNotNull()).select(
-        "account_id", "initiated_at", dollars("previous_limit_cents").alias("cld_prev_cl"), dollars("new_limit_cents").alias("cld_new_cl")
+    """Requests whose new limit exceeds a limit the account had before a decrease.
+
+    Some earlier limit is exceeded exactly when the lowest one is, so decreases are reduced
+    to their lowest and highest earlier limit per account; a request appears once.
+    """
+    earlier = decreases.filter(c("initiated_at").isNotNull()).groupBy("account_id").agg(
+        F.count(F.lit(1)).alias("decreases"),
+        F.max("initiated_at").alias("last_decrease_at"),
+        dollars(F.min("previous_limit_cents")).alias("lowest_prev_cl"),
+        dollars(F.max("previous_limit_cents")).alias("highest_prev_cl"),
+        dollars(F.min("new_limit_cents")).alias("lowest_new_cl"),
     )
-    new_limit = c("icl") + c("cli_offer")
-    keep = rows.select("request_id", "user_id", "account_id", "offer_id", c("stmt_mth").alias("request_mth"), "icl", "cli_offer")
-    return attach(keep.withColumn("request_new_cl", new_limit), cut, "account_id", "inner", extra=c("request_new_cl") > c("cld_prev_cl"))
+    keep = rows.withColumn("request_mth", c("stmt_mth")).select(*_REQUEST)
+    keep = keep.withColumn("request_new_cl", c("icl") + c("cli_offer"))
+    return attach(keep, earlier, "account_id", "inner", extra=c("request_new_cl") > c("lowest_prev_cl"))
 
 
 def with_eligibility(funnelled: DataFrame, eligibility: DataFrame, created_after: dt.date, tiebreak: tuple[str, ...] = ()) -> DataFrame:

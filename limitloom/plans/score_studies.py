@@ -94,18 +94,20 @@ def backtest(
     The score of each statement month is the one dated its first day, from the backfill
     up to ``cutoff`` and the live feed after it. ``only_after_offer`` looks for the first
     qualifying month among months after the offer; both readings are in use and they
-    differ when an account qualified before its offer.
+    differ when an account qualified before its offer. Offers of one account and day are
+    counted in ``n_offers`` and followed once.
     """
     monthly = performance.filter(c("brand").isin(*brand_codes)).select("account_id", "stmt_mth", "brand", "card_type", "tu_band", "raim")
     history = _senior(stitch_history(backfill, live, "reference_date", cutoff))
     # Scores meet the monthly rows before offers multiply them.
     monthly = attach_on_day(monthly.withColumn("__first", month_start("stmt_mth")), history, "account_id", "__first", "reference_date", "inner")
     monthly = monthly.filter(c("senior_score").isNotNull()).drop("__first", "reference_date")
-    rows = attach(offers.select("account_id", "offer_date", "accepted_flag"), monthly, "account_id", "inner")
+    followed = offers.groupBy("account_id", "offer_date", "accepted_flag").agg(F.count(F.lit(1)).alias("n_offers"))
+    rows = attach(followed, monthly, "account_id", "inner")
     rows = rows.withColumns({"cli_stmt": month_diff("offer_date", month_start("stmt_mth")), "backtest_flag": cuts.backtest_flag()})
     if only_after_offer:
         rows = rows.filter(c("cli_stmt") > 0)
-    rows = first_event_month(rows, ["account_id", "offer_date"], c("backtest_flag"), "stmt_mth", "risk_mth")
+    rows = first_event_month(rows, ["account_id", "offer_date"], c("backtest_flag"), "stmt_mth", "risk_mth", one_per_month=True)
     return since_event(rows, "stmt_mth", "risk_mth", "risk_stmt")
 
 

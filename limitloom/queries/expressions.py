@@ -26,7 +26,8 @@ from limitloom.functions import (
 from limitloom.operators import attach, union_distinct
 from limitloom.queries.registry import AS_OF, query
 from limitloom.queries.shape import plain
-from limitloom.sources import nested, run_sql
+from limitloom.session import run_folder
+from limitloom.sources import append_audience, nested, run_sql
 from limitloom.sources.standins import cte, standin
 
 c = F.col
@@ -116,8 +117,8 @@ def money_functions(spark, sf_dir):
               case when c_mktsegment like '%ING%' or c_mktsegment like 'AUTO%' then 1 else 0 end as matches,
               case when nullif(c_mktsegment, 'FURNITURE') not like 'B%' then 1 else 0 end as not_like_b,
               case when try_cast(right(c_name, 4) as integer) > 700 then 1 else 0 end as high_number,
-              try_cast(c_mktsegment as integer) is null as not_a_number_flag
-       from customer""".replace("try_cast(c_mktsegment as integer) is null as", "case when try_cast(c_mktsegment as integer) is null then 1 else 0 end as"),
+              case when try_cast(c_mktsegment as integer) is null then 1 else 0 end as not_a_number_flag
+       from customer""",
 )
 def string_functions(spark, sf_dir):
     customer = standin(spark, sf_dir, "customer")
@@ -285,12 +286,15 @@ def audience_union(spark, sf_dir):
     return plain(audience(spark, sf_dir))
 
 
-@query("append_then_read", AUDIENCE_SQL.replace("select * from standard union select * from passed", "select *, '2001-08-01' as adjudicated_date from (select * from standard union select * from passed)"))
+@query(
+    "append_then_read",
+    AUDIENCE_SQL.replace(
+        "select * from standard union select * from passed",
+        "select *, '2001-08-01' as adjudicated_date from (select * from standard union select * from passed)",
+    ),
+)
 def append_then_read(spark, sf_dir):
     """The audience appended to the log in the shared folder, then read back by its day."""
-    from limitloom.session import run_folder
-    from limitloom.sources import append_audience
-
     path = run_folder(spark, "audience")
     append_audience(audience(spark, sf_dir), dt.datetime(2001, 8, 1, 6), path=path)
     log = spark.read.parquet(path).filter(c("adjudicated_date") == AS_OF)

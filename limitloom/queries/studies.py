@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from limitloom.functions import cond_count, zero_if_null
+from limitloom.operators import member_flag
 from limitloom.plans import request_funnel as funnel
 from limitloom.plans import score_studies as studies
 from limitloom.plans import vintage_tracker as vt
@@ -84,20 +86,18 @@ LARGE = ", large as (select * from funnelled where icl <= 1500 and cli_offer > 4
            left join (select distinct account_id from sent_decreases where strategy <> 'LOW-UTIL') d on d.account_id = l.account_id
            left join marked_accounts m on m.account_id = l.account_id where d.account_id is null and m.account_id is null)
          select k.request_id, k.account_id, k.stmt_mth as request_mth, cast(k.icl as double) as icl, cast(k.cli_offer as double) as cli_offer,
-                o.offer_mth, cast(o.offer_limit as double) as new_cl
-         from kept k left join offers o on o.account_id = k.account_id and o.accepted_flag = 1""",
+                cast(count(o.offer_id) as bigint) as accepted_offers, min(o.offer_mth) as first_offer_mth, max(o.offer_mth) as last_offer_mth,
+                cast(max(o.offer_limit) as double) as highest_cl
+         from kept k left join offers o on o.account_id = k.account_id and o.accepted_flag = 1 group by 1, 2, 3, 4, 5""",
 )
 def decrease_free_history(spark, sf_dir):
     rows, get = funnelled(spark, sf_dir)
     decreases = get("sent_decreases").filter(c("strategy") != "LOW-UTIL")
     kept = funnel.without_decrease(funnel.large_low_limit(rows), decreases, get("marked_accounts"))
-    limit, none = c("offer_limit"), F.lit(None)
-    view = get("offers").select(
-        *["account_id", "offer_mth", "accepted_flag"],
-        *[limit.alias("new_cl"), none.cast("double").alias("current_cl"), none.cast("double").alias("inc_exposure"), none.cast("string").alias("program")],
-    )
-    out = funnel.accepted_history(kept, view)
-    return plain(out.select("request_id", "account_id", "request_mth", "icl", "cli_offer", "offer_mth", "new_cl"))
+    out = funnel.accepted_summary(kept, get("offers").withColumn("new_cl", c("offer_limit")))
+    out = out.withColumn("accepted_offers", zero_if_null("accepted_offers"))
+    cols = ["request_id", "account_id", "request_mth", "icl", "cli_offer", "accepted_offers", "first_offer_mth", "last_offer_mth", "highest_cl"]
+    return plain(out.select(*cols))
 
 
 @query(
@@ -106,16 +106,16 @@ def decrease_free_history(spark, sf_dir):
     + ","
     + FUNNEL
     + LARGE
-    + """select l.request_id, l.stmt_mth as request_mth, cast(l.icl + l.cli_offer as double) as request_new_cl,
-                left(cast(d.initiated_at as varchar), 10) as initiated_on, cast(d.previous_limit_cents / 100.0 as double) as cld_prev_cl
-         from large l join sent_decreases d on d.account_id = l.account_id and l.icl + l.cli_offer > d.previous_limit_cents / 100.0
-         where d.strategy = 'LOW-UTIL'""",
+    + """select l.request_id, l.stmt_mth as request_mth, cast(l.icl + l.cli_offer as double) as request_new_cl, cast(count(*) as bigint) as decreases
+         from large l join sent_decreases d on d.account_id = l.account_id
+         where d.strategy = 'LOW-UTIL' group by l.request_id, l.stmt_mth, l.icl, l.cli_offer
+         having l.icl + l.cli_offer > min(d.previous_limit_cents / 100.0)""",
 )
 def restored_above_decrease(spark, sf_dir):
     rows, get = funnelled(spark, sf_dir)
     decreases = get("sent_decreases").filter(c("strategy") == "LOW-UTIL").withColumn("new_limit_cents", F.lit(0).cast("bigint"))
     out = funnel.restored_above_decrease(funnel.large_low_limit(rows), decreases)
-    return plain(out.select("request_id", "request_mth", "request_new_cl", F.to_date("initiated_at").alias("initiated_on"), "cld_prev_cl"))
+    return plain(out.select("request_id", "request_mth", "request_new_cl", "decreases"))
 
 
 @query(
@@ -129,9 +129,6 @@ def restored_above_decrease(spark, sf_dir):
          from funnelled group by accept_status""",
 )
 def request_reconciliation(spark, sf_dir):
-    from limitloom.functions import cond_count
-    from limitloom.operators import member_flag
-
     rows, get = funnelled(spark, sf_dir)
     flagged = member_flag(rows.select("account_id", "accept_status"), get("sent_decreases"), "account_id", "decreased")
     return plain(
@@ -231,7 +228,7 @@ def _backtest(spark, sf_dir, only_after_offer):
     brands = ["BUILDING", "FURNITURE"]
     rows = studies.backtest(get("offers"), get("wide_performance"), scores, scores, CUTOFF, brands, only_after_offer)
     grid = rows.groupBy("brand", c("risk_stmt").cast("bigint").alias("risk_stmt"))
-    return plain(grid.agg(F.count(F.lit(1)).alias("n"), F.sum("raim").alias("raim")))
+    return plain(grid.agg(F.sum("n_offers").alias("n"), vt.weighted_sum("raim", "raim")))
 
 
 BACKTEST = (

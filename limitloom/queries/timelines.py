@@ -144,7 +144,7 @@ def lagged_features(spark, sf_dir):
 )
 def first_qualifying_month(spark, sf_dir):
     perf = standin(spark, sf_dir, "performance").select("account_id", "stmt_mth", "adb")
-    marked = first_event_month(perf, "account_id", c("adb") >= 90, "stmt_mth", "first_mth")
+    marked = first_event_month(perf, "account_id", c("adb") >= 90, "stmt_mth", "first_mth", one_per_month=True)
     out = since_event(marked, "stmt_mth", "first_mth", "months_since")
     return plain(out.drop("adb").withColumn("months_since", c("months_since").cast("bigint")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limitloom.functions import safe_ratio
-from limitloom.operators import attach, compare_groups, cumulative, group_total, mean_then_sum
+from limitloom.operators import attach, attach_on_month, attach_prev_month, compare_groups, cumulative, group_total, mean_then_sum
 from limitloom.plans import vintage_tracker as vt
 from limitloom.queries.registry import query
 from limitloom.queries.shape import plain
@@ -178,8 +178,6 @@ def group_total_share(spark, sf_dir):
          group by p.stmt_mth""",
 )
 def prev_month_attach(spark, sf_dir):
-    from limitloom.operators import attach_prev_month
-
     perf = standin(spark, sf_dir, "performance")
     left = perf.select("account_id", "stmt_date", "stmt_mth", "raim")
     right = perf.select("account_id", c("stmt_date").alias("prev_date"), c("raim").alias("prev"))
@@ -207,8 +205,6 @@ def prev_month_attach(spark, sf_dir):
          group by o.offer_mth""",
 )
 def same_month_attach(spark, sf_dir):
-    from limitloom.operators import attach_on_month
-
     perf = standin(spark, sf_dir, "performance")
     offers = standin(spark, sf_dir, "offers").select("account_id", "offer_date", "offer_mth")
     out = attach_on_month(offers, perf.select("account_id", "stmt_date", "raim"), "account_id", "offer_date", "stmt_date")
