@@ -61,7 +61,9 @@ def weighted_mean(x: str, name: str) -> Column:
 
 def margin_by_month(offers: DataFrame, performance: DataFrame) -> DataFrame:
     """Charge-offs and margin of accepted offers by statement month and brand."""
-    panel = vintage_panel(offers.filter(F.col("accepted_flag") == 1), performance)
+    # No vintage in the result, so offers are counted per account: one exchange less.
+    counted = offers.filter(F.col("accepted_flag") == 1).groupBy("account_id").agg(F.count(F.lit(1)).alias("n_offers"))
+    panel = attach(counted, performance, "account_id")
     return panel.groupBy("stmt_mth", "brand").agg(
         F.sum("n_offers").alias("offer_rows"), weighted_sum("guco", "guco_sum"), weighted_sum("raim", "raim_sum")
     )

@@ -25,7 +25,7 @@ from {customer}"""
 _VIEWS["offers"] = """
 select o_orderkey as offer_id, o_custkey as account_id, cast(o_orderdate as date) as offer_date,
        left(cast(cast(o_orderdate as date) as string), 7) as offer_mth, o_orderstatus as status,
-       case when o_orderstatus = 'F' then 1 else 0 end as accepted_flag,
+       cast(o_orderstatus = 'F' as int) as accepted_flag,
        cast(o_totalprice as decimal(12,2)) as offer_limit, o_orderpriority as tu_band
 from {orders}"""
 
