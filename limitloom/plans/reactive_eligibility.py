@@ -41,7 +41,10 @@ BUREAU_COLUMNS = (
 
 
 def statement_base(statements: DataFrame, adb: DataFrame) -> DataFrame:
-    """Statements in dollars with activity, utilisation and the ordinal among like statements."""
+    """Statements in dollars with activity, utilisation and the ordinal among like statements.
+
+    A month with several statements keeps its last; its ordinals are taken before that.
+    """
     money = lambda field: F.coalesce(dollars(f"summary.account.{field}"), F.lit(0).cast("decimal(18,2)"))
     rows = statements.select(
         *["statement_id", "account_id", "user_id"],
@@ -53,23 +56,21 @@ def statement_base(statements: DataFrame, adb: DataFrame) -> DataFrame:
         money("creditLimitCents").alias("credit_limit"),
         money("generalInterestCents").alias("general_interest"),
         dollars("summary.account.newBalanceCents").alias("new_balance"),
+    ).withColumns({"closing_mth": month_key("close_date"), "active_status": rules.active_status()})
+    # Corrected statements may repeat a month many times, so ranks are taken month by month.
+    rows = running_ordinal(
+        rows, ["account_id", "active_status"], "close_date", "active_order", F.trunc("close_date", "month"), [c("statement_id")]
     )
+    rows = dedupe(rows, ["account_id", "closing_mth"], [c("close_date").desc(), c("statement_id")])
     rows = attach(rows, adb.select("statement_id", dollars("adb").alias("adb")), "statement_id")
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
-            "closing_mth": month_key("close_date"),
-            "active_status": rules.active_status(),
             "open_to_buy": c("credit_limit") - c("new_balance"),
             "utilisation": safe_ratio("new_balance", "credit_limit", default=0),
             "previous_utilisation": safe_ratio("previous_balance", "credit_limit", default=0),
             "revolver_flag": rules.revolver_flag(),
         }
     )
-    # Corrected statements may repeat a month many times, so ranks are taken month by month.
-    ordinal = running_ordinal(
-        rows, ["account_id", "active_status"], "close_date", "active_order", F.trunc("close_date", "month"), [c("statement_id")]
-    )
-    return dedupe(ordinal, ["account_id", "closing_mth"], [c("close_date").desc(), c("statement_id")])
 
 
 def statement_features(base: DataFrame) -> DataFrame:

@@ -17,16 +17,29 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# A long rule chain compiles to one Java method. Beyond 8,000 bytes of bytecode the JVM
+# leaves a method uncompiled, so such stages run faster as split expression code.
+RUNTIME_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 
 def build_session(master: str | None = None, app: str = "limitloom", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **RUNTIME_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the run-time settings a session leaves at their defaults."""
+    for key, value in RUNTIME_SETTINGS.items():
+        if not spark.conf.isModifiable(key) or spark.sparkContext.getConf().contains(key):
+            continue
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 

@@ -106,8 +106,9 @@ select p.account_id, p.stmt_mth, p.stmt_date, p.raim, p.bfc, p.cof, a.brand,
        'B' || cast(least(p.late_lines, 7) as string) as dpd_bucket
 from {performance} p join {accounts} a on a.account_id = p.account_id""",
         "month_scores": """
-select account_id, cast(stmt_date as timestamp) as reference_date, cast(mod(cast(floor(bfc) as bigint), 111) as double) / 100 as prediction
-from {performance}""",
+select account_id, cast(make_date(year(offer_date), month(offer_date), 1) as timestamp) as reference_date,
+       cast(max(mod(cast(floor(offer_limit) as bigint), 111)) as double) / 100 as prediction
+from {offers} group by account_id, make_date(year(offer_date), month(offer_date), 1)""",
         "offer_scores": """
 select account_id, cast(offer_date as timestamp) as reference_date,
        cast(max(mod(cast(floor(offer_limit) as bigint), 101)) as double) / 100 as prediction
