@@ -13,7 +13,7 @@ from limitloom.plans import score_studies as studies
 from limitloom.plans import vintage_tracker as vt
 from limitloom.queries.registry import AS_OF, query
 from limitloom.queries.rules import BRANDS, JUDGED, OVERRIDE_SQL, overridden
-from limitloom.queries.shape import plain
+from limitloom.queries.shape import plain, steady_sql
 from limitloom.queries.vintage import TRACKED, branded_performance
 from limitloom.sources.standins import cte, standin
 
@@ -308,10 +308,10 @@ def study_margin_curves(spark, sf_dir):
 @query(
     "study_increment",
     STUDY
-    + """, monthly as (select accepted_flag, score_bucket, cli_stmt, cast(sum(raim) as double) / count(raim) as raim, count(*) as n from study
+    + f""", monthly as (select accepted_flag, score_bucket, cli_stmt, cast(sum(raim) as double) / count(raim) as raim, count(*) as n from study
                        where brand = 'BUILDING' and cli_stmt between 1 and 12 group by 1, 2, 3)
-         select score_bucket, round(sum(a.raim), 3) as raim_nonresponder, round(sum(b.raim), 3) as raim_responder,
-                cast(max(a.n) as bigint) as accounts_nonresponder, cast(max(b.n) as bigint) as accounts_responder, round(sum(b.raim) - sum(a.raim), 3) as diff
+         select score_bucket, {steady_sql('sum(a.raim)', 3)} as raim_nonresponder, {steady_sql('sum(b.raim)', 3)} as raim_responder,
+                cast(max(a.n) as bigint) as accounts_nonresponder, cast(max(b.n) as bigint) as accounts_responder, {steady_sql('sum(b.raim) - sum(a.raim)', 3)} as diff
          from (select * from monthly where accepted_flag = 0) a join (select * from monthly where accepted_flag = 1) b using (score_bucket, cli_stmt)
          group by score_bucket""",
 )
@@ -338,12 +338,12 @@ def study_cut_points(spark, sf_dir):
 @query(
     "study_repeat_scores",
     STUDY
-    + """, active as (select * from study where accepted_flag = 1 and brand = 'BUILDING' and cli_stmt between 1 and 12),
+    + f""", active as (select * from study where accepted_flag = 1 and brand = 'BUILDING' and cli_stmt between 1 and 12),
          days as (select distinct account_id, offer_date from active),
          numbered as (select *, row_number() over (partition by account_id order by offer_date) > 1 as multi from days),
          means as (select offer_mth, multi, sum(cast(prediction as decimal(12,4))) / count(*) as score
                    from active join numbered using (account_id, offer_date) where cli_stmt = 1 group by 1, 2)
-         select m.offer_mth as offer_vintage, round(cast(m.score as double), 6) as score_multi, round(cast(s.score as double), 6) as score_single
+         select m.offer_mth as offer_vintage, {steady_sql('m.score', 6)} as score_multi, {steady_sql('s.score', 6)} as score_single
          from (select * from means where multi) m left join (select * from means where not multi) s using (offer_mth)""",
 )
 def study_repeat_scores(spark, sf_dir):
@@ -353,13 +353,13 @@ def study_repeat_scores(spark, sf_dir):
 @query(
     "study_repeat_margin",
     STUDY
-    + """, active as (select * from study where accepted_flag = 1 and brand = 'BUILDING' and cli_stmt between 1 and 12),
+    + f""", active as (select * from study where accepted_flag = 1 and brand = 'BUILDING' and cli_stmt between 1 and 12),
          days as (select distinct account_id, offer_date from active),
          numbered as (select *, row_number() over (partition by account_id order by offer_date) > 1 as multi from days),
          monthly as (select offer_mth, multi, cli_stmt, cast(sum(raim) as double) / count(raim) as raim
                      from active join numbered using (account_id, offer_date) group by 1, 2, 3),
          sums as (select offer_mth, multi, sum(raim) as raim from monthly group by 1, 2)
-         select m.offer_mth as offer_vintage, round(m.raim, 3) as raim_multi, round(s.raim, 3) as raim_single
+         select m.offer_mth as offer_vintage, {steady_sql('m.raim', 3)} as raim_multi, {steady_sql('s.raim', 3)} as raim_single
          from (select * from sums where multi) m left join (select * from sums where not multi) s using (offer_mth)""",
 )
 def study_repeat_margin(spark, sf_dir):

@@ -20,7 +20,7 @@ from limitloom.operators import (
 )
 from limitloom.plans import vintage_tracker as vt
 from limitloom.queries.registry import query
-from limitloom.queries.shape import plain
+from limitloom.queries.shape import plain, steady_sql
 from limitloom.queries.vintage import TRACKED, branded_performance
 from limitloom.rulesets import reactive
 from limitloom.sources.standins import cte, standin
@@ -198,13 +198,13 @@ def multi_offer_counts(spark, sf_dir):
 @query(
     "multi_margin",
     TRACKED
-    + """, days as (select distinct account_id, offer_date from offers where accepted_flag = 1),
+    + f""", days as (select distinct account_id, offer_date from offers where accepted_flag = 1),
          numbered as (select *, row_number() over (partition by account_id order by offer_date) > 1 as multi from days),
          monthly as (
            select offer_vintage, multi, cli_stmt, cast(sum(raim) as double) / count(raim) as raim
            from tracked join numbered using (account_id, offer_date) where accepted_flag = 1 and cli_stmt between 1 and 12 group by 1, 2, 3),
          sums as (select offer_vintage, multi, sum(raim) as raim from monthly group by 1, 2)
-         select m.offer_vintage, round(m.raim, 3) as raim_multi, round(s.raim, 3) as raim_single
+         select m.offer_vintage, {steady_sql('m.raim', 3)} as raim_multi, {steady_sql('s.raim', 3)} as raim_single
          from (select * from sums where multi) m left join (select * from sums where not multi) s using (offer_vintage)""",
 )
 def multi_margin(spark, sf_dir):

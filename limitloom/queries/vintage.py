@@ -8,7 +8,7 @@ from limitloom.functions import safe_ratio
 from limitloom.operators import attach, attach_on_month, attach_prev_month, compare_groups, cumulative, group_total, mean_then_sum
 from limitloom.plans import vintage_tracker as vt
 from limitloom.queries.registry import query
-from limitloom.queries.shape import plain
+from limitloom.queries.shape import plain, steady, steady_sql
 from limitloom.sources.standins import cte, standin
 
 c = F.col
@@ -106,24 +106,24 @@ def cumulative_margin(spark, sf_dir):
 @query(
     "mean_then_cumulative",
     TRACKED
-    + """, monthly as (
+    + f""", monthly as (
            select brand, tu_band, cli_stmt, cast(sum(raim) as double) / count(raim) as raim from tracked
            where accepted_flag = 1 and cli_stmt between 1 and 12 group by brand, tu_band, cli_stmt)
          select brand, tu_band, cast(cli_stmt as bigint) as cli_stmt, raim,
-                round(sum(raim) over (partition by brand, tu_band order by cli_stmt), 3) as raim_cuml
+                {steady_sql('sum(raim) over (partition by brand, tu_band order by cli_stmt)', 3)} as raim_cuml
          from monthly""",
 )
 def mean_then_cumulative(spark, sf_dir):
     panel = yearly_panel(spark, sf_dir, ["tu_band", "accepted_flag"]).filter(c("accepted_flag") == 1)
     monthly = panel.dropna(subset=["brand", "tu_band"]).groupBy("brand", "tu_band", "cli_stmt").agg(vt.weighted_mean("raim", "raim"))
     out = cumulative(monthly, ["brand", "tu_band"], "cli_stmt", "raim", "raim_cuml")
-    return plain(out.withColumns({"cli_stmt": c("cli_stmt").cast("bigint"), "raim_cuml": F.round("raim_cuml", 3)}))
+    return plain(out.withColumns({"cli_stmt": c("cli_stmt").cast("bigint"), "raim_cuml": steady(c("raim_cuml"), 3)}))
 
 
 @query(
     "responder_increment",
     TRACKED
-    + """, monthly as (
+    + f""", monthly as (
            select accepted_flag, tu_band, cli_stmt, cast(sum(raim) as double) / count(raim) as raim,
                   count(account_id) as n
            from tracked where brand = 'BUILDING' and cli_stmt between 1 and 12
@@ -132,9 +132,9 @@ def mean_then_cumulative(spark, sf_dir):
            select tu_band, cli_stmt, r.raim as raim_r, n.raim as raim_n, r.n as n_r, n.n as n_n
            from (select * from monthly where accepted_flag = 0) n
            join (select * from monthly where accepted_flag = 1) r using (tu_band, cli_stmt))
-         select tu_band, round(sum(raim_n), 4) as raim_nonresponder, cast(max(n_n) as bigint) as n_nonresponder,
-                round(sum(raim_r), 4) as raim_responder, cast(max(n_r) as bigint) as n_responder,
-                round(sum(raim_r) - sum(raim_n), 4) as diff
+         select tu_band, {steady_sql('sum(raim_n)', 4)} as raim_nonresponder, cast(max(n_n) as bigint) as n_nonresponder,
+                {steady_sql('sum(raim_r)', 4)} as raim_responder, cast(max(n_r) as bigint) as n_responder,
+                {steady_sql('sum(raim_r) - sum(raim_n)', 4)} as diff
          from paired group by tu_band""",
 )
 def responder_increment(spark, sf_dir):
@@ -227,11 +227,11 @@ def same_month_attach(spark, sf_dir):
 @query(
     "vintage_step_means",
     TRACKED
-    + """, monthly as (
+    + f""", monthly as (
            select tu_band, cli_stmt, cast(sum(raim) as double) / count(raim) as raim, count(offer_id) as n
            from tracked where accepted_flag = 1 and cli_stmt between 1 and 12 and brand = 'BUILDING'
            group by tu_band, cli_stmt)
-         select tu_band, round(sum(raim), 4) as raim_1yr, cast(max(n) as bigint) as offer_id_count
+         select tu_band, {steady_sql('sum(raim)', 4)} as raim_1yr, cast(max(n) as bigint) as offer_id_count
          from monthly group by tu_band""",
 )
 def vintage_step_means(spark, sf_dir):
