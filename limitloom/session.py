@@ -31,6 +31,21 @@ def build_session(master: str | None = None, app: str = "limitloom", **extra: st
     return builder.getOrCreate()
 
 
+def sized_for(input_bytes: int, cores: int, partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Settings for a run over ``input_bytes``, to pass on to :func:`build_session`.
+
+    Shuffles start with pieces of about ``partition_bytes`` and at least three per core;
+    adaptive execution merges the ones that turn out small. It never cuts a partition that
+    is merely large, so the starting number must fit the data.
+    """
+    partitions = max(-(-input_bytes // partition_bytes), 3 * cores)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings a session leaves at their defaults."""
     for key, value in RUNTIME_SETTINGS.items():

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from limitloom import operators as op
 from limitloom.plans import vintage_tracker
 from limitloom.queries.catalogue import QUERIES
-from limitloom.session import build_session, durable, run_folder, shared_folder
+from limitloom.session import build_session, durable, run_folder, shared_folder, sized_for
+from limitloom.sources import replace_table
 
 DIR = "/root/testdata/sf0.001"
 
@@ -144,3 +145,22 @@ def test_no_machine_local_state_in_the_library():
     sources = "\n".join(p.read_text() for p in pathlib.Path(__file__).resolve().parent.parent.joinpath("limitloom").rglob("*.py"))
     for word in ("localCheckpoint", "crossJoin", "toPandas", ".rdd", "udf("):
         assert word not in sources
+
+
+def test_tables_bucketed_alike_join_without_a_shuffle(no_broadcast, hot):
+    spark = no_broadcast
+    accounts = hot.select("account_id").distinct().withColumn("brand", F.col("account_id") % 5)
+    replace_table(hot, "limitloom_hot", bucket_by=(8, "account_id"))
+    replace_table(accounts, "limitloom_accounts", bucket_by=(8, "account_id"))
+    try:
+        joined = op.attach(spark.table("limitloom_hot"), spark.table("limitloom_accounts"), "account_id")
+        assert "Exchange" not in plan_of(joined) and joined.filter("brand is not null").count() == 60_000
+    finally:
+        spark.sql("drop table limitloom_hot")
+        spark.sql("drop table limitloom_accounts")
+
+
+def test_sizing_follows_the_data():
+    big = sized_for(100 << 40, cores=4000)
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (128 << 20)
+    assert sized_for(1, cores=8)["spark.sql.shuffle.partitions"] == "24"
