@@ -151,10 +151,11 @@ def candidates(
     transactions, bureau, statements, limit_offers, behaviour_scores, redecision_inputs.
     """
     rows = _base(frames, as_of, brand, card_type, product, since, thin_strategies)
-    reports = latest_per_key(frames["bureau"], "user_id", "credit_report_date", [c("created_at").desc()])
+    newest = ["credit_report_date", "created_at"]
+    reports = latest_per_key(frames["bureau"], "user_id", newest)
     rows = attach(rows, reports.select("user_id", c("am41").alias("latest_am41")), "user_id")
     rows = attach(rows, latest_statement(frames["statements"]), "account_id")
-    hits = latest_per_key(frames["bureau"].filter(c("go26") == "H"), "user_id", "credit_report_date", [c("created_at").desc()])
+    hits = latest_per_key(frames["bureau"].filter(c("go26") == "H"), "user_id", newest)
     rows = attach(rows, hits.select("user_id", rules.policy_fail().alias("policy_fail")), "user_id")
     behaviour = latest_per_key(frames["behaviour_scores"], "account_id", "reference_date")
     rows = attach(rows, behaviour.select("account_id", c("model_score").alias("behaviour_score")), "account_id")

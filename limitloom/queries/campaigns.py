@@ -18,6 +18,12 @@ VIEWS = (
 )
 _RECORDS = ("pr44", "pr45", "pr124", "pr116", "pr15", "pr50", "pr74", "pr75", "pr120", "pr97", "go81")
 
+# Reports of one user and moment are ordered by their values, as the plan's tie-break does.
+_NEWEST = (
+    "partition by user_id order by credit_report_date desc, created_at desc, score nulls last, segment, go06, go26 nulls last, go91, "
+    "am36 nulls last, bc33, re33, re34, bc34, bc91, am41, " + ", ".join(_RECORDS)
+)
+
 CANDIDATES = (
     cte(*VIEWS)
     + f""",
@@ -41,9 +47,9 @@ late as (select account_id, max(days_past_due) as worst from campaign_daily wher
 junior as (select account_id, max(prediction) as peak from junior_history
            where model_version = '2.1' and cast(reference_date as date) > date '2001-08-01' - 30 group by 1),
 rep as (select user_id, am41 from bureau_reports
-        qualify row_number() over (partition by user_id order by credit_report_date desc, created_at desc) = 1),
+        qualify row_number() over ({_NEWEST}) = 1),
 pol as (select user_id, case when go91 = 'Y' or {" + ".join(_RECORDS)} > 0 then 1 else 0 end as policy_fail from bureau_reports where go26 = 'H'
-        qualify row_number() over (partition by user_id order by credit_report_date desc, created_at desc) = 1),
+        qualify row_number() over ({_NEWEST}) = 1),
 beh as (select account_id, model_score from behaviour_history qualify row_number() over (partition by account_id order by reference_date desc) = 1),
 stm as (select account_id, closing_date, balance_cents from flat_statements qualify row_number() over (partition by account_id order by closing_date desc) = 1),
 again as (

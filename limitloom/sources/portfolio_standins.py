@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limitloom.session import durable
 from limitloom.sources.standins import add_views, standin
 
 _USER = "1000000 + case when mod({0}, 20) = 1 then {0} - 1 else {0} end"
@@ -174,7 +175,7 @@ join (select account_id, min(offer_id) as first_offer from {{candidates}} where
 
 def campaign_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The input frames of `limitloom.plans.early_campaign`."""
-    known: dict[str, DataFrame] = {}
+    known = _with_stored_performance(spark, sf_dir)
     get = lambda name: standin(spark, sf_dir, name, known)
     applications = get("card_applications")
     report = F.create_map(F.lit("AM41"), F.col("am41"), F.lit("strategyName"), F.col("strategy_name")).alias("credit_card_report")
@@ -195,6 +196,15 @@ def campaign_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def _with_stored_performance(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Known frames holding the monthly performance as a stored table.
+
+    A portfolio keeps it as one; statements, balances and scores derive from it here, and
+    each would otherwise repeat the join and aggregation over all line items.
+    """
+    return {"performance": durable(standin(spark, sf_dir, "performance"), "performance")}
+
+
 def statement_documents(flat: DataFrame) -> DataFrame:
     """The flat statements as nested documents, the shape the pipelines read."""
     fields = {
@@ -212,7 +222,7 @@ def statement_documents(flat: DataFrame) -> DataFrame:
 
 def portfolio(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The input frames of `limitloom.plans.reactive_eligibility`."""
-    known: dict[str, DataFrame] = {}
+    known = _with_stored_performance(spark, sf_dir)
     get = lambda name: standin(spark, sf_dir, name, known)
     users = get("portfolio_users")
     users = users.select(
