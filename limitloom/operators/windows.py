@@ -42,18 +42,20 @@ def running_ordinal(df: DataFrame, keys, order: str, name: str, bucket: Column |
         tiebreak = total_order(df, [*keys, order])
     if bucket is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last(), *tiebreak)))
-    cut = df.withColumn("__piece", bucket)
-    inside = Window.partitionBy(*keys, "__piece").orderBy(F.col(order).asc_nulls_last(), *tiebreak)
+    # The piece is one struct column: never missing itself, it joins missing keys to missing
+    # keys, and the ranking window and the join share one exchange on it.
+    cut = df.withColumn("__piece", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("at")))
+    inside = Window.partitionBy("__piece").orderBy(F.col(order).asc_nulls_last(), *tiebreak)
     ranked = cut.withColumn("__inside", F.row_number().over(inside))
-    earlier = Window.partitionBy(*keys).orderBy(F.col("__piece").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    key = [F.col(f"__at.k{i}") for i in range(len(keys))]
+    earlier = Window.partitionBy(*key).orderBy(F.col("__at.at").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     shift = (
-        cut.groupBy(*keys, "__piece")
+        cut.groupBy(F.col("__piece").alias("__at"))
         .agg(F.count(F.lit(1)).alias("__rows"))
         .withColumn("__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
-        .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__piece").alias("__kp"), "__before")
+        .select("__at", "__before")
     )
-    pairs = [*[(k, f"__k{i}") for i, k in enumerate(keys)], ("__piece", "__kp")]
-    out = ranked.join(shift, _null_safe(pairs), "inner")
+    out = ranked.join(shift, F.col("__piece") == F.col("__at"), "inner")
     return out.withColumn(name, F.col("__inside") + F.col("__before")).select(*df.columns, name)
 
 

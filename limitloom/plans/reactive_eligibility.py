@@ -40,7 +40,7 @@ BUREAU_COLUMNS = (
 )
 
 
-def statement_base(statements: DataFrame, adb: DataFrame) -> DataFrame:
+def statement_base(statements: DataFrame) -> DataFrame:
     """Statements in dollars with activity, utilisation and the ordinal among like statements.
 
     A month with several statements keeps its last; its ordinals are taken before that.
@@ -62,7 +62,6 @@ def statement_base(statements: DataFrame, adb: DataFrame) -> DataFrame:
         rows, ["account_id", "active_status"], "close_date", "active_order", F.trunc("close_date", "month"), [c("statement_id")]
     )
     rows = dedupe(rows, ["account_id", "closing_mth"], [c("close_date").desc(), c("statement_id")])
-    rows = attach(rows, adb.select("statement_id", dollars("adb").alias("adb")), "statement_id")
     return rows.withColumns(
         {
             "open_to_buy": c("credit_limit") - c("new_balance"),
@@ -75,7 +74,9 @@ def statement_base(statements: DataFrame, adb: DataFrame) -> DataFrame:
 
 def statement_features(base: DataFrame) -> DataFrame:
     """Three months of lagged balances, payments and flags; account type; payment ratio."""
-    rows = base.withColumn("util_flag", rules.utilisation_flag())
+    # A row per account and month from here on: one exchange by account serves the lags, the
+    # latest statement and the joins by account that follow.
+    rows = base.repartition("account_id").withColumn("util_flag", rules.utilisation_flag())
     cols = ["revolver_flag", "util_flag", "new_balance", "payment", "previous_balance"]
     rows = lags(rows, ["account_id", "active_status"], "active_order", cols)
     rows = rows.withColumn("consistent_type", rules.consistent_type())
@@ -185,8 +186,9 @@ def eligibility_inputs(frames: Mapping[str, DataFrame], as_of: dt.date, drop_tes
     """
     # Days are counted from 8:00 on the run date, where the log's clock stands.
     as_of_ts = F.lit(dt.datetime.combine(as_of, dt.time(8))).cast("timestamp")
-    rows = latest_statements(statement_features(statement_base(frames["statements"], frames["statement_adb"])))
+    rows = latest_statements(statement_features(statement_base(frames["statements"])))
     rows = rows.withColumn("statement_age_months", mob("close_date", as_of)).filter(c("statement_age_months") <= 1)
+    rows = attach(rows, frames["statement_adb"].select("statement_id", dollars("adb").alias("adb")), "statement_id")
 
     # Days on the daily table: the account must be unsecured.
     rows = attach(rows, daily_summary(frames["account_daily"], as_of), "account_id", "inner")

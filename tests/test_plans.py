@@ -416,7 +416,7 @@ def test_statement_ordinals_survive_repeated_months(domain):
     base = {"paymentsCents": 0, "purchasesCents": 1, "newBalanceCents": 1, "creditLimitCents": 100}
     rows = [("s1", "2025-01-10", 1), ("s2", "2025-01-20", 2), ("s3", "2025-02-10", 3), ("s4", "2025-03-10", 4)]
     statements = domain("statements", *[{"statement_id": s, "account_id": "a", "closing_date": d, "opening_date": d, "summary": {"account": {**base, "paymentsCents": p * 100}, "cardholder": None}} for s, d, p in rows])
-    features = reactive_eligibility.statement_features(reactive_eligibility.statement_base(statements, domain("statement_adb")))
+    features = reactive_eligibility.statement_features(reactive_eligibility.statement_base(statements))
     # January keeps its later statement, number 2; number 1 is gone, so nothing is two back of February.
     assert listed(features, "closing_mth", "active_order", "payment_1m_prior", "payment_2m_prior") == [
         ("2025-01", 2, None, None),
