@@ -34,14 +34,22 @@ def any_and_any(df: DataFrame, keys, first: Column, second: Column, name: str) -
     return df.groupBy(*_as_list(keys)).agg(F.when(met(first) & met(second), 1).otherwise(0).alias(name))
 
 
-def mean_then_sum(df: DataFrame, keys, step: str, x: str, name: str, counted: str | None = None) -> DataFrame:
+def mean_then_sum(
+    df: DataFrame, keys, step: str, x: str, name: str, counted: str | None = None, largest: str | None = None
+) -> DataFrame:
     """Mean of ``x`` per (key, step), summed over the steps. Not the mean of all rows.
 
-    With ``counted``, also the largest per-step count of its non-missing values.
+    With ``counted``, also the largest per-step count of its non-missing values; with
+    ``largest``, the highest per-step sum of a count column the frame already holds.
     """
     keys = _as_list(keys)
-    inner = [F.avg(x).alias("__mean")] + ([F.count(counted).alias("__n")] if counted else [])
-    outer = [F.coalesce(F.sum("__mean"), F.lit(0.0)).alias(name)] + ([F.max("__n").alias(f"{counted}_count")] if counted else [])
+    inner, outer = [F.avg(x).alias("__mean")], [F.coalesce(F.sum("__mean"), F.lit(0.0)).alias(name)]
+    if counted:
+        inner.append(F.count(counted).alias("__n"))
+        outer.append(F.max("__n").alias(f"{counted}_count"))
+    if largest:
+        inner.append(F.sum(largest).alias("__l"))
+        outer.append(F.max("__l").alias(f"{largest}_largest"))
     steps = df.dropna(subset=[*keys, step]).groupBy(*keys, step).agg(*inner)
     return steps.groupBy(*keys).agg(*outer)
 

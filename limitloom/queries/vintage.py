@@ -231,13 +231,13 @@ def same_month_attach(spark, sf_dir):
            select tu_band, cli_stmt, cast(sum(raim) as double) / count(raim) as raim, count(offer_id) as n
            from tracked where accepted_flag = 1 and cli_stmt between 1 and 12 and brand = 'BUILDING'
            group by tu_band, cli_stmt)
-         select tu_band, {steady_sql('sum(raim)', 4)} as raim_1yr, cast(max(n) as bigint) as offer_id_count
+         select tu_band, {steady_sql('sum(raim)', 4)} as raim_1yr, cast(max(n) as bigint) as n_largest
          from monthly group by tu_band""",
 )
 def vintage_step_means(spark, sf_dir):
     offers = standin(spark, sf_dir, "offers").filter(c("accepted_flag") == 1)
     perf = branded_performance(spark, sf_dir).filter(c("brand") == "BUILDING")
-    tracked = vt.track(offers, perf, how="inner").filter(c("cli_stmt").between(1, 12))
-    return plain(mean_then_sum(tracked, ["tu_band"], "cli_stmt", "raim", "raim_1yr", counted="offer_id"), places=4)
-
-
+    panel = vt.vintage_panel(offers, perf, labels=["tu_band"], span=(1, 12))
+    # Means per month over offers, then their sum: not one mean over all offer-months.
+    monthly = panel.groupBy("tu_band", "cli_stmt").agg(vt.weighted_mean("raim", "raim"), F.sum("n_offers").alias("n"))
+    return plain(mean_then_sum(monthly, ["tu_band"], "cli_stmt", "raim", "raim_1yr", largest="n"), places=4)

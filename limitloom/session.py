@@ -20,6 +20,7 @@ SETTINGS = {
 # A long rule chain compiles to one Java method. Beyond 8,000 bytes of bytecode the JVM
 # leaves a method uncompiled, so such stages run faster as split expression code.
 RUNTIME_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+_SPARK_DEFAULTS = {"spark.sql.codegen.hugeMethodLimit": "65535"}
 
 
 def build_session(master: str | None = None, app: str = "limitloom", **extra: str) -> SparkSession:
@@ -49,9 +50,8 @@ def sized_for(input_bytes: int, cores: int, partition_bytes: int = 128 << 20) ->
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings a session leaves at their defaults."""
     for key, value in RUNTIME_SETTINGS.items():
-        if not spark.conf.isModifiable(key) or spark.sparkContext.getConf().contains(key):
-            continue
-        spark.conf.set(key, value)
+        if spark.conf.get(key) == _SPARK_DEFAULTS[key]:
+            spark.conf.set(key, value)
     return spark
 
 
