@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limitloom.session import durable
@@ -68,13 +68,11 @@ def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
 BLOOM_WORDS = 1 << 20
 
 
-def bloom_filter(keys: DataFrame, column: str, count: int) -> np.ndarray:
-    """A one-hash filter of hashed keys, built by a grouped OR; only its bounded words reach the driver."""
-    words = 1 << max(6, min(BLOOM_WORDS, max(1, count) // 4).bit_length())
-    words = min(words, BLOOM_WORDS)
-    h = F.xxhash64(column)
+def bloom_filter(keys: DataFrame, hashed: Column, count: int) -> np.ndarray:
+    """A one-hash filter of hashes (long), built by a grouped OR; only its bounded words reach the driver."""
+    words = min(1 << max(6, (max(1, count) // 4).bit_length()), BLOOM_WORDS)
     rows = (
-        keys.select(F.pmod(h, F.lit(words * 64)).alias("bit"))
+        keys.select(F.pmod(hashed, F.lit(words * 64)).alias("bit"))
         .groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
         .toArrow()
@@ -85,6 +83,6 @@ def bloom_filter(keys: DataFrame, column: str, count: int) -> np.ndarray:
 
 
 def in_bloom(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    """Which of the xxhash64 values the filter may hold."""
+    """Which of the hashes the filter may hold."""
     at = np.mod(hashed.astype(np.int64), len(bits) * 64)
     return (bits[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0

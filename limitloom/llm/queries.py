@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limitloom.llm import archives, compressors, packing, pivots
+from limitloom.llm import archives, compressors, jaccard, packing, pivots
 from limitloom.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressors.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@_query
+def op4_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 @_query
 def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
