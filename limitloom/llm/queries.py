@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limitloom.llm import archives, compressors, jaccard, packing, pivots
+from limitloom.llm import archives, compressors, edits, jaccard, languages, packing, pivots
 from limitloom.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,14 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
 """
+
+
+@_query
+def op9_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return languages.identify(docs, languages.train(docs), languages.page_evidence(read_table(spark, sf_dir, "pages")))
+
+
+@_query
+def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.apply_edits(edits.stored_trees(read_table(spark, sf_dir, "documents"), edits.sample_edits()))
