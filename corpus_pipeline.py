@@ -1,11 +1,43 @@
-"""A training corpus from `documents`."""
+"""A training corpus from `documents`: five stages, each stored and read again by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from limitloom.llm import packing
-from limitloom.llm.frames import durable, read_table
+from limitloom.llm import jaccard, languages, packing, surrogates, templates
+from limitloom.llm.frames import durable, read_table, without
+
+# Near duplicates share 80 % of their five-word shingles.
+SHINGLE, PERCENT = 5, 80
+SURROGATE_KEY = "corpus-pipeline"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told by fused evidence; those without letters or with none likely enough go."""
+    evidence = languages.page_evidence(read_table(spark, sf_dir, "pages"))
+    rejected = languages.identify(docs, languages.train(docs), evidence).filter(~F.col("keep")).select("doc_id")
+    return without(docs, rejected)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near duplicates; of rows that repeat it, one."""
+    classes = jaccard.similarity_classes(docs, SHINGLE, PERCENT)
+    kept = without(docs, classes.filter("component_id <> doc_id").select("doc_id"))
+    again = classes.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    repeated = kept.join(F.broadcast(again) if again.limit(100_001).count() <= 100_000 else again, "doc_id", "left_semi")
+    return without(kept, again).unionByName(repeated.select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, verbatim or with other numbers, names and units."""
+    return without(docs, templates.matches(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by surrogates; n_chars follows the text."""
+    out = surrogates.replace(docs, SURROGATE_KEY)
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,13 +45,20 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [
+    ("language_id", language),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("pii_surrogates", private_data),
+    ("best_fit_packing", pack),
+]
 
+# Token ids, surrogates and trigram models are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's rows are stored and read again by the next."""
+    """All stages over `documents`."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name)

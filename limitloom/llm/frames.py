@@ -13,7 +13,7 @@ from limitloom.session import durable
 
 CHUNK_BYTES = 4 << 20
 
-__all__ = ["CHUNK_BYTES", "bloom_filter", "buffer_of", "chunks", "durable", "in_bloom", "merged_counts", "read_table", "texts"]
+__all__ = ["CHUNK_BYTES", "bloom_filter", "buffer_of", "chunks", "durable", "in_bloom", "merged_counts", "read_table", "texts", "without"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,3 +86,14 @@ def in_bloom(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """Which of the hashes the filter may hold."""
     at = np.mod(hashed.astype(np.int64), len(bits) * 64)
     return (bits[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
+# Ids that are broadcast at most (some 100 MB); more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not among ``ids``; null ids stay. The ids are stored, so that they are counted and used alike."""
+    gone = durable(ids.select(F.col(key).cast("long").alias(key)).filter(F.col(key).isNotNull()).distinct(), "removed")
+    n = gone.count()
+    return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, key, "left_anti").select(*docs.columns) if n else docs

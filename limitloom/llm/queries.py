@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limitloom.llm import archives, compressors, edits, jaccard, languages, packing, pivots
+from limitloom.llm import archives, compressors, edits, jaccard, languages, packing, pivots, suffixes, surrogates, templates
 from limitloom.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,15 @@ FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
 """
 
 
+# The key of the registered query; a run of its own takes one from its secret store.
+SURROGATE_KEY = "registered-query"
+
+
+@_query
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(read_table(spark, sf_dir, "documents"), SURROGATE_KEY, count="n_replaced")
+
+
 @_query
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressors.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -73,3 +82,13 @@ def op9_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.apply_edits(edits.stored_trees(read_table(spark, sf_dir, "documents"), edits.sample_edits()))
+
+
+@_query
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_template_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
