@@ -68,8 +68,12 @@ def _suffixes(docs: DataFrame, words: int, wanted: np.ndarray | None) -> DataFra
                     at = at[at + length <= b]
                     values = prints[at]
                     if wide is not None:
-                        at = at[in_bloom(shared.value, values)]
-                        at = np.unique((at[:, None] - np.arange(0, width, STEP)[None]).ravel())
+                        known = in_bloom(shared.value, values)
+                        # inside a chain of repeated suffixes windows go in steps, at its ends word by word
+                        border = known & ~(np.r_[False, known[:-1]] & np.r_[known[1:], False])
+                        inner = (at[known][:, None] - np.arange(0, width, STEP)[None]).ravel()
+                        outer = (at[border][:, None] - np.arange(1 - STEP, width)[None]).ravel()
+                        at = np.unique(np.r_[inner, outer])
                         at = at[(at >= a) & (at + window <= b)]
                         values = wide[at]
                     found.append(values)
@@ -128,9 +132,8 @@ def with_equal_neighbour(rows: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     """doc_id, first_word, n_words, passage: the stretches of each document that occur elsewhere.
 
-    Finds every passage of ``words`` words or more that occurs twice in the corpus, in one document or several, up to
-    four words at either end; runs a few words shorter may be reported too. Words are compared without A-Z
-    case. ``passage`` is the fingerprint of its first window, equal for copies that start alike. Null ids, null, empty and shorter
+    Finds every passage of ``words`` words or more that occurs twice in the corpus, in one document or several; passages
+    that touch are one stretch. Words are compared without A-Z case. ``passage`` is the fingerprint of its first window, equal for copies that start alike. Null ids, null, empty and shorter
     texts give no rows. Rows repeated with the same id are copies of each other.
     """
     window = _shape(words)[0]
@@ -147,11 +150,12 @@ def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
                 start = end = passage = None
                 for at, h in hits:
                     if end is None or at > end:
-                        if end is not None:
+                        if end is not None and end - start >= words:
                             out.append((doc_id, start, end - start, passage))
                         start, end, passage = at, at, h
                     end = max(end, at + window)
-                out.append((doc_id, start, end - start, passage))
+                if end - start >= words:
+                    out.append((doc_id, start, end - start, passage))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "first_word", "n_words", "passage"])
