@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limitloom.session import run_folder
+from limitloom.session import durable, run_folder
 
 PACKED_BYTES, PLAIN_BYTES = 4 << 20, 32 << 20
 # The URL-record field lines of the two ARC versions.
@@ -68,7 +68,7 @@ def save_archives(archives: DataFrame, path: str) -> None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def _clean_url(url: str | None) -> bytes:
@@ -111,14 +111,16 @@ def plain(data: bytes) -> bytes:
     """An archive's bytes without gzip; what follows a broken member is left out."""
     if data[:2] != b"\x1f\x8b":
         return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
+    out, at, view = [], 0, memoryview(data)
+    while data[at : at + 2] == b"\x1f\x8b":
         unpacker = zlib.decompressobj(31)
         try:
-            out.append(unpacker.decompress(data) + unpacker.flush())
+            while not unpacker.eof and at < len(data):
+                part = view[at : at + (1 << 15)]
+                out.append(unpacker.decompress(part))
+                at += len(part) - len(unpacker.unused_data)
         except zlib.error:
             break
-        data = unpacker.unused_data
     return b"".join(out)
 
 
@@ -190,6 +192,7 @@ def equivalent(record: dict) -> dict:
 
 
 _KINDS = {
+    "path": ("string", pa.string()), "offset": ("long", pa.int64()),
     "page_id": ("long", pa.int64()), "payload_bytes": ("long", pa.int64()), "payload_digest": ("string", pa.string()), "record_id": ("string", pa.string()),
     "url": ("string", pa.string()), "date": ("string", pa.string()), "kind": ("string", pa.string()), "media": ("string", pa.string()),
     "ip": ("string", pa.string()), "start": ("int", pa.int32()), "block": ("binary", pa.binary()),
@@ -206,19 +209,26 @@ def _schema(columns: list[str]) -> str:
 
 
 def parse_arc(archives: DataFrame, columns: list[str]) -> DataFrame:
-    """The wanted columns of all records of ARC archives; a broken place is a row with ``error``."""
+    """The wanted columns of all records of ARC archives (path, content); a broken place is a row with ``error``."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                found = [r if r["error"] else r | equivalent(r) for r in arc_records(content.as_py())]
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = [{"path": path} | (r if r["error"] else r | equivalent(r)) for r in arc_records(content.as_py())]
                 for i in range(0, len(found), 500):
                     yield _rows(found[i : i + 500], columns)
 
     return archives.mapInArrow(parse, _schema(columns))
 
 
-def _warc_record(r: dict) -> bytes:
+def _warcinfo(name: str, agent: str) -> bytes:
+    about = f"software: {agent}\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"]
+    lines += ["WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(about)}"]
+    return ("\r\n".join(lines) + "\r\n\r\n" + about + "\r\n\r\n").encode()
+
+
+def _warc_record(r: dict, original: dict | None) -> bytes:
     digest = base64.b32encode(bytes.fromhex(r["payload_digest"])).decode()
     block = r["block"]
     head = [
@@ -227,11 +237,11 @@ def _warc_record(r: dict) -> bytes:
     ]
     if r["page_id"] is not None:
         head.append(f"X-Page-Id: {r['page_id']}")
-    if r["original"] is not None:
+    if original:
         block = block[: r["start"]]
         head[1] = "WARC-Type: revisit"
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {r['original_id']}", f"WARC-Refers-To-Target-URI: {r['original_url']}"]
-        head += [f"WARC-Refers-To-Date: {r['original_date']}", f"X-Refers-To-Page: {r['original']}", f"X-Payload-Length: {r['payload_bytes']}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {original['id']}", f"WARC-Refers-To-Target-URI: {original['url']}"]
+        head += [f"WARC-Refers-To-Date: {original['date']}", f"X-Refers-To-Page: {original['original']}", f"X-Payload-Length: {r['payload_bytes']}"]
     else:
         head.append("WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode())
     head.append(f"Content-Length: {len(block)}")
@@ -245,39 +255,41 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 100
     and the others become revisits of it; a null id counts as the smallest, and without any id all keep it.
     Places that cannot be parsed are left out of the output (``parse_arc`` lists them).
     """
-    meta = parse_arc(read_archives(spark, arc_path), ["page_id", "payload_bytes", "payload_digest", "record_id", "url", "date", "kind"])
+    files = read_archives(spark, arc_path)
+    meta = parse_arc(files, ["path", "offset", "page_id", "payload_bytes", "payload_digest", "record_id", "url", "date", "kind", "error"])
+    meta = durable(meta.filter((F.col("payload_bytes") >= least) & (F.col("kind") == "response")), "payloads")
     same = ["payload_digest", "payload_bytes"]
     originals = (
-        meta.filter((F.col("payload_bytes") >= least) & (F.col("kind") == "response"))
-        .groupBy(*same)
+        meta.groupBy(*same)
         .agg(F.max(F.struct("page_id", "record_id", "url", "date")).alias("o"), F.count("*").alias("n"))
         .filter("n > 1 and o.page_id is not null")
-        .select(*same, F.col("o.page_id").alias("original"), F.col("o.record_id").alias("original_id"), F.col("o.url").alias("original_url"), F.col("o.date").alias("original_date"))
-    )
-    whole = ["page_id", "payload_bytes", "payload_digest", "record_id", "url", "date", "kind", "media", "ip", "start", "block"]
-    records = parse_arc(read_archives(spark, arc_path), whole).filter("kind <> 'warcinfo'").join(originals, same, "left")
-    again = (F.col("kind") == "response") & (F.col("page_id").isNull() | (F.col("page_id") < F.col("original")))
-    names = [*whole, "original", "original_id", "original_url", "original_date"]
-    records = records.withColumn("original", F.when(again, F.col("original"))).select(*names)
+        .select(*same, F.col("o.page_id").alias("original"), F.col("o.record_id").alias("id"), F.col("o.url").alias("url"), F.col("o.date").alias("date"))
+    )
+    # an archive's revisits meet the archive itself, so payloads move packed and at most once
+    again = F.col("page_id").isNull() | (F.col("page_id") < F.col("original"))
+    revisits = meta.select("path", "offset", "page_id", *same).join(originals, same).filter(again)
+    lists = revisits.groupBy("path").agg(F.collect_list(F.struct("offset", "original", "id", "url", "date")).alias("revisits"))
+    sources = files.join(lists, "path", "left").select("content", "revisits")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, nth, archive = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            for row in zip(*(batch.column(i) for i in range(len(names))), strict=True):
-                if archive is None:
-                    name = f"{agent}-{task:06d}-{nth:06d}.warc.gz"
-                    about = f"software: {agent}\r\nformat: WARC File Format 1.1\r\n"
-                    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"]
-                    lines += ["WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(about)}"]
-                    archive = _Archive(("\r\n".join(lines) + "\r\n\r\n" + about + "\r\n\r\n").encode())
-                archive.add(_warc_record(dict(zip(names, (v.as_py() for v in row), strict=True))))
-                if archive.full:
-                    yield pa.RecordBatch.from_pydict({"content": pa.array([archive.content()], pa.binary())})
-                    archive, nth = None, nth + 1
+            for content, revisits in zip(batch.column(0), batch.column(1), strict=True):
+                earlier = {r["offset"]: r for r in revisits.as_py() or ()}
+                for r in arc_records(content.as_py()):
+                    if r["error"] or r["url"].startswith("filedesc://"):
+                        continue
+                    if archive is None:
+                        name = f"{agent}-{task:06d}-{nth:06d}.warc.gz"
+                        archive = _Archive(_warcinfo(name, agent))
+                    archive.add(_warc_record(r | equivalent(r), earlier.get(r["offset"])))
+                    if archive.full:
+                        yield pa.RecordBatch.from_pydict({"content": pa.array([archive.content()], pa.binary())})
+                        archive, nth = None, nth + 1
         if archive is not None:
             yield pa.RecordBatch.from_pydict({"content": pa.array([archive.content()], pa.binary())})
 
-    save_archives(records.mapInArrow(write, "content binary"), warc_path)
+    save_archives(sources.mapInArrow(write, "content binary"), warc_path)
 
 
 def warc_records(data: bytes) -> Iterator[dict]:
@@ -313,7 +325,7 @@ def read_warc(spark: SparkSession, path: str, with_block: bool = False) -> DataF
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for content in batch.column(1):
                 found = [record(f) for f in warc_records(content.as_py()) if f["warc-type"] != "warcinfo"]
                 for i in range(0, len(found), 500):
                     yield _rows(found[i : i + 500], columns)
