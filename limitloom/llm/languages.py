@@ -58,7 +58,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     )
     counts: dict[str, np.ndarray] = {}
     for r in rows:
-        cells, real = _cells(np.frombuffer(r.text.encode(), np.uint8))
+        cells, real = _cells(np.frombuffer(b"  " + r.text.encode(), np.uint8))
         counts[r.lang] = counts.get(r.lang, np.zeros(CELLS)) + np.bincount(cells[real], minlength=CELLS)
     languages = sorted(counts)
     p = np.array([counts[v] + 0.05 for v in languages]).reshape(len(languages), CELLS)
@@ -75,14 +75,16 @@ def text_evidence(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 data, ends = buffer_of(part.column(1))
+                # two spaces before each text, so that no trigram belongs to two of them
+                at = 2 * np.arange(part.num_rows)
+                spaced, own = np.full(len(data) + 2 * part.num_rows, 0x20, np.uint8), np.ones(len(data) + 2 * part.num_rows, bool)
+                own[ends[:-1] + at] = own[ends[:-1] + at + 1] = False
+                spaced[own] = data
+                cells, real = _cells(spaced)
+                letters = np.add.reduceat(real, ends[:-1] + at, dtype=np.int64)
                 total = np.zeros((len(names), part.num_rows))
-                letters = np.zeros(part.num_rows, np.int64)
-                if len(data):
-                    cells, real = _cells(data)
-                    full = np.flatnonzero(np.diff(ends))
-                    letters[full] = np.add.reduceat(real, ends[:-1][full], dtype=np.int64)
-                    for i in range(len(names)):
-                        total[i, full] = np.add.reduceat(np.where(real, log_p[i][cells], 0.0), ends[:-1][full])
+                for i in range(len(names)):
+                    total[i] = np.add.reduceat(np.where(real, log_p[i][cells], 0.0), ends[:-1] + at)
                 total = np.round(total * (np.minimum(letters, INDEPENDENT) / np.maximum(letters, 1)), 9)
                 best = total.max(0) if len(names) else total
                 yield pa.RecordBatch.from_arrays(

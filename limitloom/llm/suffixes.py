@@ -95,38 +95,33 @@ def with_equal_neighbour(rows: DataFrame) -> DataFrame:
     order = rows.repartitionByRange(n, "h", "doc_id", "at").sortWithinPartitions("h", "doc_id", "at")
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, before = None, None
+        # state 1: has an equal neighbour; 2: first or last of its range, without one there; 3: both
+        held, before, opening = None, None, True
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = batch if held is None else pa.concat_batches([held, batch])
             h = table.column(0).to_numpy()
-            state = np.zeros(len(h), np.int32)
-            same = h[1:] == h[:-1]
-            state[1:][same] = 1
-            state[:-1][same] = 1
-            if before is not None and before == h[0]:
-                state[0] = 1
-            if before is None and held is None and not state[0]:
-                state[0] = 2
-            elif held is not None and opening and not state[0]:
-                state[0] = 2
-            opening = held is None and len(h) == 1 and state[0] == 2
+            same = np.r_[before is not None and before == h[0], h[1:] == h[:-1], False]
+            state = (same[:-1] | same[1:]).astype(np.int32)
+            if opening:
+                state[0] = 3 if state[0] else 2
             # the last row waits for its next neighbour
-            out = table.slice(0, len(h) - 1)
             keep = np.flatnonzero(state[:-1])
             if len(keep):
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(keep)) for c in out.columns), pa.array(state[:-1][keep])], ["h", "doc_id", "at", "state"])
-            before = h[-2] if len(h) > 1 else before
+                out = table.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(state[:-1][keep])], ["h", "doc_id", "at", "state"])
+            if len(h) > 1:
+                before, opening = h[-2], False
             held = table.slice(len(h) - 1, 1)
         if held is not None:
-            last = 1 if before is not None and before == held.column(0)[0].as_py() else 2
+            last = 3 if before is not None and before == held.column(0)[0].as_py() else 2
             yield pa.RecordBatch.from_arrays([*held.columns, pa.array([last], pa.int32())], ["h", "doc_id", "at", "state"])
 
     marked = durable(order.mapInArrow(flag, "h long, doc_id long, at int, state int"), "suffix-array")
-    edge = marked.filter("state = 2")
-    met = edge.groupBy("h").count().filter("count > 1").select("h")
-    return marked.filter("state = 1").unionByName(edge.join(met, "h", "left_semi").select(*marked.columns)).select("h", "doc_id", "at")
+    met = marked.filter("state > 1").groupBy("h").count().filter("count > 1").select("h")
+    alone = marked.filter("state = 2").join(met, "h", "left_semi").select(*marked.columns)
+    return marked.filter("state <> 2").unionByName(alone).select("h", "doc_id", "at")
 
 
 def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
