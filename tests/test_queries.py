@@ -4,11 +4,11 @@ import duckdb
 import pytest
 from conftest import plan_of
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_queries import connect, rows_of
+from limitloom.queries.catalogue import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
