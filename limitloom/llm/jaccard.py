@@ -9,6 +9,7 @@ tokens common in the corpus last, look groups up.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 from collections.abc import Iterator
@@ -17,17 +18,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limitloom.llm.components import components
-from limitloom.llm.frames import bloom_filter, buffer_of, chunks, durable, in_bloom, merged_counts, texts
-from limitloom.llm.words import mix, shingle_sets
+from limitloom.llm.frames import BROADCAST_IDS, bloom_filter, buffer_of, chunks, durable, in_bloom, merged_counts, texts
+from limitloom.llm.words import shingle_sets
 
 # Tokens of one flush of a counting task; words per reducer; members of a group at most (larger ones are
 # split); documents that make a token common; common tokens that are broadcast at most.
 FLUSH, PER_BUCKET, MEMBERS, COMMON, MOST_COMMON = 3_000_000, 2_500_000, 64, 8, 1_000_000
-_SALT = np.uint64(0xA24BAED4963EE407)
+# Bytes of a token in stored sets: among two sets of 10,000 tokens, one in 10,000 pairs has a false match.
+TOKEN = 5
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -51,20 +53,19 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), key of the set (null if empty) and two minima that similar sets likely share."""
+    """doc_id, n (set size), key of the set (null if empty) and its smallest token, which similar sets likely share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch, k):
                 keys = [_key(t) if len(t) else None for t in sets]
                 first = [int(t[0].view(np.int64)) if len(t) else None for t in sets]
-                second = [int(mix(t ^ _SALT).min().view(np.int64)) if len(t) else None for t in sets]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(0), "n": pa.array([len(t) for t in sets], pa.int32()), "key": pa.array(keys, pa.binary()),
-                    "m0": pa.array(first, pa.int64()), "m1": pa.array(second, pa.int64()),
+                    "least_token": pa.array(first, pa.int64()),
                 })
 
-    return texts(docs).mapInArrow(run, "doc_id long, n int, key binary, m0 long, m1 long")
+    return texts(docs).mapInArrow(run, "doc_id long, n int, key binary, least_token long")
 
 
 def _bucket_starts(buckets: int, bits: int) -> np.ndarray:
@@ -190,7 +191,7 @@ def prefix_entries(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarra
 
 
 def token_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(key, tokens) of the classes ``wanted`` (distinct key), six bytes a token.
+    """(key, tokens) of the classes ``wanted`` (distinct key), ``TOKEN`` bytes a token.
 
     A bounded Bloom filter keeps the scan from emitting sets that nobody needs; the join behind it is exact.
     """
@@ -205,16 +206,16 @@ def token_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                     if len(t) and (key := _key(t)) not in seen and in_bloom(bits.value, np.array([int.from_bytes(key[:7], "big")]))[0]:
                         seen.add(key)
                         keys.append(key)
-                        out.append(np.ascontiguousarray(t.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes())
+                        out.append(np.ascontiguousarray(t.view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN :]).tobytes())
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "tokens": pa.array(out, pa.binary())})
 
     found = texts(docs).mapInArrow(run, "key binary, tokens binary")
     return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
-def _six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // TOKEN, 8), np.uint8)
+    out[:, :TOKEN] = np.frombuffer(data, np.uint8).reshape(-1, TOKEN)
     return out.view(np.uint64).ravel()
 
 
@@ -234,18 +235,30 @@ def _tested(pairs: DataFrame, names: list[str], test) -> DataFrame:
             for left, right in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True):
                 raw = left.as_py()
                 if last is None or last[0] != raw:
-                    last = (raw, np.unique(_six(raw)))
-                keep.append(test(last[1], np.unique(_six(right.as_py()))))
+                    last = (raw, np.unique(_wide(raw)))
+                keep.append(test(last[1], np.unique(_wide(right.as_py()))))
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(keep, pa.bool_()))
 
     kinds = dict(pairs.dtypes)
     return pairs.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
+def _narrowed(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """The sets of ``keys`` (a stored frame's column). Few enough keys are broadcast, so that other sets need not be shuffled."""
+    keys = keys.distinct()
+    return sets.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= BROADCAST_IDS else sets
+
+
+def _released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does once the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs of classes whose Jaccard similarity reaches the threshold."""
-    left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("a_tokens"))
-    right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("b_tokens"))
+    left = _narrowed(sets, pairs.select(F.col("a").alias("key"))).select(F.col("key").alias("a"), F.col("tokens").alias("a_tokens"))
+    right = _narrowed(sets, pairs.select(F.col("b").alias("key"))).select(F.col("key").alias("b"), F.col("tokens").alias("b_tokens"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "a_tokens", "b_tokens")
 
     def close(x: np.ndarray, y: np.ndarray) -> bool:
@@ -255,6 +268,33 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _tested(rows, ["a", "b"], close)
 
 
+def group_unions(tokens: DataFrame) -> DataFrame:
+    """(g, p, u): the union of the token sets of each part of a group; a part has a few dozen members, so its row is bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for sets in batch.column(2):
+                u = np.unique(_wide(b"".join(sets.as_py())))
+                out.append(np.ascontiguousarray(u.view(np.uint8).reshape(-1, 8)[:, :TOKEN]).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["g", "p", "u"])
+
+    return tokens.groupBy("g", "p").agg(F.collect_list("tokens").alias("sets")).mapInArrow(run, "g binary, p long, u binary")
+
+
+def opened(asked: DataFrame, unions: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of queries with members of the groups whose union holds enough of the query's tokens; ``asked`` is stored."""
+    query = _narrowed(sets, asked.select(F.col("a").alias("key"))).select(F.col("key").alias("a"), "tokens")
+    rows = asked.join(query, "a").join(unions, ["g", "p"]).select("a", "qn", "g", "p", "tokens", "u")
+    enough = durable(_tested(rows, ["a", "qn", "g", "p"], lambda q, u: 100 * _common(q, u) >= percent * len(q)), "opened")
+    _released(asked.sparkSession)
+    fit = (F.col("qn") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("qn") * 100)
+    candidates = durable(enough.join(members, ["g", "p"]).filter(fit).select("a", F.col("key").alias("b")), "candidates")
+    links = durable(similar_pairs(candidates, sets, percent), "links")
+    _released(asked.sparkSession)
+    return links
+
+
 def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: links join sets of ``percent`` Jaccard similarity or more.
 
@@ -262,54 +302,71 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     nothing (component_id is their own id); so do rows with a null id, whose set still links others.
     Repeated rows have the same set and therefore the same class.
     """
+    spark = docs.sparkSession
     rows = durable(signed(docs, k), "sets")
-    classes = rows.filter("key is not null").groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("m0").alias("m0"), F.first("m1").alias("m1"))
+    classes = rows.filter("key is not null").groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("least_token").alias("least_token"))
     classes = durable(classes, "classes")
     words = max(1, rows.agg(F.sum("n")).first()[0] or 1)
     bits, buckets = max(32, 4 + math.ceil(math.log2(words))), max(16, -(-words // PER_BUCKET))
 
     fits = lambda a, b: (F.col(a) * percent <= F.col(b) * 100) & (F.col(b) * percent <= F.col(a) * 100)
-    # groups: each class beside the smallest class that shares a minimum and has a fitting size
-    stars = None
-    for m in ("m0", "m1"):
-        pivot = classes.groupBy(m).agg(F.min(F.struct("key", "n")).alias("p"), F.count("*").alias("c")).filter("c > 1")
-        near = classes.join(pivot, m).filter("key <> p.key").withColumn("pn", F.col("p.n")).filter(fits("n", "pn")).select(F.col("p.key").alias("a"), F.col("key").alias("b"))
-        stars = near if stars is None else stars.union(near)
-    stars = durable(stars.distinct(), "stars")
+    # groups: each class beside the smallest class that shares its smallest token, if their sizes fit
+    pivot = classes.groupBy("least_token").agg(F.min(F.struct("key", "n")).alias("p"), F.count("*").alias("c")).filter("c > 1")
+    stars = classes.join(pivot, "least_token").filter("key <> p.key").withColumn("pn", F.col("p.n")).filter(fits("n", "pn")).select(F.col("p.key").alias("a"), F.col("key").alias("b"))
+    stars = durable(stars, "stars")
     wanted = stars.select(F.col("a").alias("key")).union(stars.select(F.col("b").alias("key"))).distinct()
     star_sets = durable(token_sets(docs, k, durable(wanted, "wanted")), "star-sets")
     near = durable(similar_pairs(stars, star_sets, percent), "near")
+    del star_sets
+    _released(spark)
     labels = components(near)
     grouped = classes.join(labels, classes.key == labels.node, "left").select("key", "n", F.coalesce("label", "key").alias("comp"))
-    sizes = labels.groupBy(F.col("label").alias("comp")).agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    grouped = grouped.join(sizes, "comp", "left").select("key", "n", "comp", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).alias("part"))
-    grouped = durable(grouped, "groups")
+    sizes = labels.groupBy(F.col("label").alias("comp")).agg(F.count("*").alias("size"))
+    grouped = grouped.join(sizes, "comp", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    grouped = durable(grouped.select("key", "n", "comp", "size", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / MEMBERS)).alias("part")), "groups")
 
     order = common_order(durable(common_tokens(docs, k, bits, buckets), "common"))
+    _released(spark)
     entries = durable(prefix_entries(docs, k, percent, order, bits, buckets).join(grouped, "key"), "entries")
-    matrix = entries.groupBy("token", F.col("comp").alias("g"), F.col("part").alias("p")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = entries.groupBy("token", F.col("comp").alias("g"), F.col("part").alias("p"), F.col("size").alias("gs")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # of two groups the smaller asks, so that a stray copy meets a large group's parts and not each of its members
+    asks = (F.col("size") < F.col("gs")) | ((F.col("size") == F.col("gs")) & (F.col("comp") < F.col("g")))
     asked = (
         entries.join(matrix, "token")
-        .filter((F.col("comp") < F.col("g")) & (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100))
-        .select(F.col("key").alias("a"), F.col("n").alias("qn"), "g", "p")
-        .distinct()
+        .filter(asks & (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100))
+        .groupBy(F.col("key").alias("a"), F.col("n").alias("qn"), "comp", "g", "p")
+        .agg(F.count("*").alias("met"))
     )
     asked = durable(asked, "asked")
-    opened = asked.select(F.col("g").alias("comp"), F.col("p").alias("part")).distinct()
-    members = durable(grouped.join(opened, ["comp", "part"], "left_semi"), "members")
+    _released(spark)
+    members = durable(grouped.join(asked.select(F.col("g").alias("comp"), F.col("p").alias("part")).distinct(), ["comp", "part"], "left_semi"), "members")
     wanted = durable(members.select("key").union(asked.select(F.col("a").alias("key"))).distinct(), "wanted")
     sets = durable(token_sets(docs, k, wanted), "token-sets")
-    # a part has a few dozen members, so its union of tokens is a bounded row
-    union = members.join(sets, "key").groupBy(F.col("comp").alias("g"), F.col("part").alias("p")).agg(F.concat_ws("", F.collect_list(F.hex("tokens"))).alias("u"))
-    union = union.select("g", "p", F.unhex("u").alias("u"))
-    query = sets.select(F.col("key").alias("a"), "tokens")
-    bounded = asked.join(union, ["g", "p"]).join(query, "a").select("a", "qn", "g", "p", "tokens", "u")
-    enough = _tested(bounded, ["a", "qn", "g", "p"], lambda q, u: 100 * _common(q, u) >= percent * len(q))
-    inside = members.select("key", "n", F.col("comp").alias("g"), F.col("part").alias("p"))
-    candidates = enough.join(inside, ["g", "p"]).filter(fits("qn", "n")).select("a", F.col("key").alias("b"))
-    links = durable(similar_pairs(candidates, sets, percent), "links")
-
-    final = components(near.union(links))
+    members = members.select("key", "n", F.col("comp").alias("g"), F.col("part").alias("p"))
+    unions = durable(group_unions(members.join(sets, "key").select("g", "p", "tokens")), "token-group-matrix")
+    # one question per group first, then one per pair of groups still apart, then all that are left: a link
+    # between two groups settles every other question between them
+    _released(spark)
+    links, labels = near, None
+    for by in (["comp"], ["lq", "lg"], None):
+        if labels is None:
+            open_ = asked.withColumn("lq", F.col("comp")).withColumn("lg", F.col("g"))
+        else:
+            names = durable(labels, "labels")
+            open_ = (
+                asked.join(names.select(F.col("node").alias("comp"), F.col("label").alias("lq")), "comp", "left")
+                .join(names.select(F.col("node").alias("g"), F.col("label").alias("lg")), "g", "left")
+                .withColumns({"lq": F.coalesce("lq", "comp"), "lg": F.coalesce("lg", "g")})
+                .filter("lq <> lg")
+            )
+        if by:
+            share = F.col("met") / F.col("qn")
+            open_ = open_.groupBy(*by).agg(F.max(F.struct(share.alias("share"), "a", "g", "p", "qn")).alias("q")).select("q.a", "q.qn", "q.g", "q.p")
+        found = opened(durable(open_.select("a", "qn", "g", "p"), "questions"), unions, members, sets, percent)
+        links = links.union(found)
+        labels = components(links)
+        _released(spark)
+    final = labels
     placed = classes.join(final, classes.key == final.node, "left").select("key", "least", F.coalesce("label", "key").alias("comp"))
     smallest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = durable(placed.join(smallest, "comp").select("key", "component_id"), "named")
