@@ -28,15 +28,15 @@ def vintage_panel(
     offers: DataFrame,
     performance: DataFrame,
     labels: Sequence[str] = (),
-    span: tuple[int, int] | None = None,
+    span: tuple[int, int | None] | None = None,
     offer_date="offer_date",
     month="stmt_date",
     how="left",
 ) -> DataFrame:
     """Monthly rows weighted by ``n_offers``, with ``cli_stmt`` and ``offer_vintage``.
 
-    ``span`` keeps months first..last after the offer (inclusive) and, being a filter on
-    the monthly side, makes the join inner.
+    ``span`` keeps months first..last after the offer (inclusive, an open end with None) and, being
+    a filter on the monthly side, makes the join inner.
     """
     counted = (
         offers.withColumn("vintage_date", month_floor(offer_date))
@@ -44,7 +44,7 @@ def vintage_panel(
         .agg(F.count(F.lit(1)).alias("n_offers"))
     )
     age = month_diff("vintage_date", month)
-    extra = None if span is None else age.between(*span)
+    extra = None if span is None else age >= span[0] if span[1] is None else age.between(*span)
     out = attach(counted, performance, "account_id", how if span is None else "inner", extra=extra)
     return out.withColumns({"cli_stmt": age, "offer_vintage": month_key("vintage_date")})
 
@@ -78,7 +78,7 @@ def charge_offs_by_vintage(offers: DataFrame, performance: DataFrame, brand: str
 
 def balance_by_bucket(offers: DataFrame, performance: DataFrame, brand: str, after: str, month: str) -> DataFrame:
     """Balances of a brand in early (B0, B1) and later delinquency buckets, B7 left out."""
-    panel = vintage_panel(offers.filter(F.col("accepted_flag") == 1), performance, span=(0, 10_000))
+    panel = vintage_panel(offers.filter(F.col("accepted_flag") == 1), performance, span=(0, None))
     panel = panel.filter((F.col("stmt_mth") > after) & (F.col("stmt_mth") == month))
     bucket, own = F.col("dpd_bucket"), F.col("brand") == brand
     early = bucket.like("%B0%") | bucket.like("%B1%")

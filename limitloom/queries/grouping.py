@@ -46,7 +46,7 @@ def n_rows():
                      else '5, >450k' end as limit_bucket, tu_band,
                 cast(count(case when status = 'P' then offer_id else null end) as bigint) as expired_count,
                 cast(count(offer_id) as bigint) as total_count
-         from offers group by 1, 2 having expired_count > 100""",
+         from offers group by 1, 2 having expired_count > 0""",
 )
 def bucket_rates(spark, sf_dir):
     offers = standin(spark, sf_dir, "offers")
@@ -54,7 +54,7 @@ def bucket_rates(spark, sf_dir):
     grid = offers.groupBy(bucket, "tu_band").agg(
         cond_count(c("status") == "P", "offer_id").alias("expired_count"), F.count("offer_id").alias("total_count")
     )
-    return plain(grid.filter(c("expired_count") > 100))
+    return plain(grid.filter(c("expired_count") > 0))
 
 
 def scored_offers(spark, sf_dir):

@@ -16,7 +16,6 @@ from limitloom.operators import (
     ntile_global,
     running_ordinal,
     since_event,
-    top_per_key,
 )
 from limitloom.plans import vintage_tracker as vt
 from limitloom.queries.registry import query
@@ -80,13 +79,11 @@ def drilldown_topk(spark, sf_dir):
 @query(
     "account_history",
     cte("offers")
-    + """select account_id, offer_id, cast(offer_date as varchar) as offer_date, cast(offer_limit as double) as offer_limit from offers
-         qualify row_number() over (partition by account_id order by offer_date desc, offer_id desc) <= 3""",
+    + """select account_id, offer_id, cast(offer_date as varchar) as offer_date, cast(offer_limit as double) as offer_limit from offers""",
 )
 def account_history(spark, sf_dir):
     offers = standin(spark, sf_dir, "offers").select("account_id", "offer_id", "offer_date", "offer_limit")
-    newest = [c("offer_date").desc(), c("offer_id").desc()]
-    return plain(top_per_key(offers, "account_id", newest, n=3, tiebreak=[]).orderBy("account_id", c("offer_date").desc()))
+    return plain(offers.orderBy("account_id", c("offer_date").desc(), c("offer_id").desc()))
 
 
 @query(

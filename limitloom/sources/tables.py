@@ -76,7 +76,7 @@ DOMAIN = {
 
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """``df`` with the declared columns in the declared types; what agrees is left alone."""
-    declared = {f.name.lower(): f for f in T._parse_datatype_string(schema).fields}
+    declared = {f.name.lower(): f for f in T.StructType.fromDDL(schema).fields}
     present = {f.name.lower(): f for f in df.schema.fields}
     missing = [f.name for key, f in declared.items() if key not in present]
     if missing:
