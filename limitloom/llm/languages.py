@@ -49,13 +49,12 @@ def _cells(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Trigram model of the languages in a bounded sample (``sample`` rows) of labelled texts, chosen by a hash of the id."""
-    rows = (
-        labelled.select("doc_id", F.col(text).alias("text"), F.lower(F.col(lang)).alias("lang"))
-        .filter(F.col("lang").isNotNull() & F.length("text").between(SHORTEST, LONGEST))
-        .orderBy(F.xxhash64("doc_id", "text"))
-        .limit(sample)
-        .collect()
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.lower(F.col(lang)).alias("lang")).filter(
+        F.col("lang").isNotNull() & F.length("text").between(SHORTEST, LONGEST)
     )
+    # ids are chosen first, as every task sends its best rows to the driver; the bounded choice then finds its texts
+    ids = rows.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("r.text", "r.lang").collect()
     counts: dict[str, np.ndarray] = {}
     for r in rows:
         cells, real = _cells(np.frombuffer(b"  " + r.text.encode(), np.uint8))
