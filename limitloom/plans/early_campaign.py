@@ -1,8 +1,8 @@
 """Audience of the early-tenure campaign.
 
-Every input is brought to one row per account (or user) before it is attached, the
-transactions and the daily table in one pass each, so the attach steps are joins of
-one-row-per-key frames and nothing multiplies.
+Every input is brought to one row per account (or user) before it is attached, so the attach
+steps are joins of one-row-per-key frames and nothing multiplies. Transactions are read in one
+pass, the daily table in three (the day, the day before, the history) and bureau reports in two.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limitloom.functions import as_date, cond_sum, dollars, flag, month_key
-from limitloom.operators import attach, latest_per_key, member_flag
+from limitloom.operators import attach, dedupe, latest_per_key, member_flag
 from limitloom.rulesets import campaign as rules
 
 c = F.col
@@ -119,7 +119,11 @@ def _base(frames, as_of: dt.date, brand: str, card_type: str, product: str, sinc
 
 
 def redecision(frames, as_of: dt.date) -> DataFrame:
-    """Whether today's strategy would approve each user again."""
+    """Whether today's strategy would approve each user again.
+
+    Of several inputs of a user any one may speak; the choice is repeatable and does not look at
+    the outcome: the smallest digest of the input row.
+    """
     gates = (c("reference_date") == F.date_sub(F.lit(as_of), 1)) & (c("sub_product") == "UNSECURED")
     gates = gates & c("card_type").isNotNull() & (c("account_status") == "OPEN")
     users = frames["account_daily"].filter(gates).select("user_id").distinct()
@@ -132,7 +136,8 @@ def redecision(frames, as_of: dt.date) -> DataFrame:
         "tree_reject": rules.tree_reject(),
     }
     rows = rows.withColumns(rejects).withColumn("approves", rules.approves())
-    return latest_per_key(rows.select("user_id", "approves"), "user_id", "approves", [])
+    rows = rows.withColumn("__digest", F.md5(F.to_json(F.struct(*inputs.columns))))
+    return dedupe(rows.select("user_id", "approves", "__digest"), "user_id", ["__digest"]).drop("__digest")
 
 
 def candidates(

@@ -25,7 +25,6 @@ from limitloom.operators import (
     member_flag,
     ntile_global,
     running_ordinal,
-    union_distinct,
 )
 from limitloom.rulesets import reactive as rules
 from limitloom.rulesets.brands import Brands
@@ -338,5 +337,6 @@ def eligibility(frames: Mapping[str, DataFrame], as_of: dt.date, brands: Brands,
     """
     inputs = durable(eligibility_inputs(frames, as_of, drop_test_users), "eligibility-inputs")
     passed = pass_through(inputs, frames, as_of, brands)
-    both = union_distinct(standard(inputs, passed, brands).select(*OUTPUT), passed.select(*OUTPUT))
+    # one row per account on either side and no account on both, so the union has no duplicates
+    both = standard(inputs, passed, brands).select(*OUTPUT).unionByName(passed.select(*OUTPUT))
     return final_overrides(both, frames["accounts"], frames["id_documents"], brands).select(*OUTPUT)

@@ -109,21 +109,34 @@ def accepted_summary(rows: DataFrame, offers_view: DataFrame) -> DataFrame:
 
 
 def restored_above_decrease(rows: DataFrame, decreases: DataFrame) -> DataFrame:
-    """Requests whose new limit exceeds a limit the account had before a decrease.
+    """Requests whose new limit exceeds a limit the account had before a decrease, one line each.
 
-    Some earlier limit is exceeded exactly when the lowest one is, so decreases are reduced
-    to their lowest and highest earlier limit per account; a request appears once.
+    Counts and extremes cover the exceeded limits only. Decreases from the same limit are
+    counted first, so a request meets the distinct earlier limits of its account.
     """
-    earlier = decreases.filter(c("initiated_at").isNotNull()).groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("decreases"),
-        F.max("initiated_at").alias("last_decrease_at"),
+    earlier = decreases.filter(c("initiated_at").isNotNull()).groupBy("account_id", "previous_limit_cents").agg(
+        F.count(F.lit(1)).alias("n"), F.max("initiated_at").alias("at"), F.min("new_limit_cents").alias("lowest")
+    )
+    met = attach(_restored(rows), earlier, "account_id", "inner", extra=c("request_new_cl") > dollars("previous_limit_cents"))
+    return met.groupBy(*_REQUEST, "request_new_cl").agg(
+        F.sum("n").alias("decreases"),
+        F.max("at").alias("last_decrease_at"),
         dollars(F.min("previous_limit_cents")).alias("lowest_prev_cl"),
         dollars(F.max("previous_limit_cents")).alias("highest_prev_cl"),
-        dollars(F.min("new_limit_cents")).alias("lowest_new_cl"),
+        dollars(F.min("lowest")).alias("lowest_new_cl"),
+    )
+
+
+def restored_listing(rows: DataFrame, decreases: DataFrame) -> DataFrame:
+    """The same matches one by one: a line per request and decrease from a limit it exceeds."""
+    earlier = decreases.filter(c("initiated_at").isNotNull()).select(
+        "account_id", "initiated_at", dollars("previous_limit_cents").alias("prev_cl"), dollars("new_limit_cents").alias("decreased_cl")
     )
-    keep = rows.withColumn("request_mth", c("stmt_mth")).select(*_REQUEST)
-    keep = keep.withColumn("request_new_cl", c("icl") + c("cli_offer"))
-    return attach(keep, earlier, "account_id", "inner", extra=c("request_new_cl") > c("lowest_prev_cl"))
+    return attach(_restored(rows), earlier, "account_id", "inner", extra=c("request_new_cl") > c("prev_cl"))
+
+
+def _restored(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("request_mth", c("stmt_mth")).select(*_REQUEST).withColumn("request_new_cl", c("icl") + c("cli_offer"))
 
 
 def with_eligibility(funnelled: DataFrame, eligibility: DataFrame, created_after: dt.date, tiebreak: tuple[str, ...] = ()) -> DataFrame:

@@ -25,7 +25,7 @@ from limitloom.operators import (
     member_flag,
     since_event,
 )
-from limitloom.plans.vintage_tracker import vintage_panel, weighted_mean, weighted_sum
+from limitloom.plans.vintage_tracker import attach_months, vintage_panel, weighted_mean, weighted_sum
 from limitloom.rulesets import cuts
 from limitloom.rulesets.brands import Brands
 from limitloom.sources import stitch_history
@@ -67,8 +67,7 @@ def multi_score(
     bko = bankruptcy.select("user_id", "reference_date", clean_score("score").alias("bko_score"))
     out = attach_on_month(out, bko, [("offer_user_id", "user_id")], "offer_date", "reference_date").drop("reference_date")
     monthly = performance.select("account_id", "stmt_mth", "stmt_date", "brand", "tu_band", "raim")
-    age = month_diff("offer_date", "stmt_date")
-    out = attach(out, monthly, "account_id", "inner", extra=age.between(*span)).withColumn("cli_stmt", age)
+    out = attach_months(out, monthly, span, "offer_date", "stmt_date").withColumn("cli_stmt", month_diff("offer_date", "stmt_date"))
     return out.withColumns({"bko_cut": cuts.bankruptcy_cut(), "beh_cut": cuts.behaviour_cut(brands)})
 
 

@@ -24,6 +24,16 @@ def track(offers: DataFrame, performance: DataFrame, offer_date="offer_date", mo
     return out.withColumns({"cli_stmt": month_diff(offer_date, month), "offer_vintage": month_key(offer_date)})
 
 
+def attach_months(rows: DataFrame, monthly: DataFrame, span: tuple[int, int], since, month) -> DataFrame:
+    """Inner join of rows to the monthly rows ``span`` months after ``since``, first to last.
+
+    The wanted months are unfolded on the left, so the month is a join key and no row meets its whole history.
+    """
+    wanted = F.array(*[F.add_months(month_floor(since), k) for k in range(span[0], span[1] + 1)])
+    left, right = rows.withColumn("__month", F.explode(wanted)), monthly.withColumn("__month", month_floor(month))
+    return attach(left, right, ["account_id", "__month"], "inner").drop("__month")
+
+
 def vintage_panel(
     offers: DataFrame,
     performance: DataFrame,
@@ -44,8 +54,10 @@ def vintage_panel(
         .agg(F.count(F.lit(1)).alias("n_offers"))
     )
     age = month_diff("vintage_date", month)
-    extra = None if span is None else age >= span[0] if span[1] is None else age.between(*span)
-    out = attach(counted, performance, "account_id", how if span is None else "inner", extra=extra)
+    if span is not None and span[1] is not None:
+        out = attach_months(counted, performance, span, "vintage_date", month)
+    else:
+        out = attach(counted, performance, "account_id", how if span is None else "inner", extra=None if span is None else age >= span[0])
     return out.withColumns({"cli_stmt": age, "offer_vintage": month_key("vintage_date")})
 
 

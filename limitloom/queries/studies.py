@@ -108,8 +108,8 @@ def decrease_free_history(spark, sf_dir):
     + LARGE
     + """select l.request_id, l.stmt_mth as request_mth, cast(l.icl + l.cli_offer as double) as request_new_cl, cast(count(*) as bigint) as decreases
          from large l join sent_decreases d on d.account_id = l.account_id
-         where d.strategy = 'LOW-UTIL' group by l.request_id, l.stmt_mth, l.icl, l.cli_offer
-         having l.icl + l.cli_offer > min(d.previous_limit_cents / 100.0)""",
+         where d.strategy = 'LOW-UTIL' and l.icl + l.cli_offer > d.previous_limit_cents / 100.0
+         group by l.request_id, l.stmt_mth, l.icl, l.cli_offer""",
 )
 def restored_above_decrease(spark, sf_dir):
     rows, get = funnelled(spark, sf_dir)
@@ -118,6 +118,26 @@ def restored_above_decrease(spark, sf_dir):
     return plain(out.select("request_id", "request_mth", "request_new_cl", "decreases"))
 
 
+@query(
+    "restored_listing",
+    cte(*FUNNEL_VIEWS, "sent_decreases")
+    + ","
+    + FUNNEL
+    + LARGE
+    + """select l.request_id, l.account_id, l.stmt_mth as request_mth, cast(l.icl + l.cli_offer as double) as request_new_cl,
+                strftime(d.initiated_at, '%Y-%m-%d') as decreased_on, cast(d.previous_limit_cents / 100.0 as double) as prev_cl,
+                cast(floor(d.previous_limit_cents / 2) / 100.0 as double) as decreased_cl
+         from large l join sent_decreases d on d.account_id = l.account_id
+         where d.initiated_at is not null and l.icl + l.cli_offer > d.previous_limit_cents / 100.0""",
+)
+def restored_listing(spark, sf_dir):
+    rows, get = funnelled(spark, sf_dir)
+    decreases = get("sent_decreases").withColumn("new_limit_cents", F.floor(c("previous_limit_cents") / 2))
+    out = funnel.restored_listing(funnel.large_low_limit(rows), decreases)
+    out = out.withColumn("decreased_on", F.date_format("initiated_at", "yyyy-MM-dd"))
+    return plain(out.select("request_id", "account_id", "request_mth", "request_new_cl", "decreased_on", "prev_cl", "decreased_cl"))
+
+
 @query(
     "request_reconciliation",
     cte(*FUNNEL_VIEWS, "sent_decreases")
@@ -218,15 +238,17 @@ def multi_score_averages(spark, sf_dir):
     get = lambda name: standin(spark, sf_dir, name, known)
     offers = get("offers").select("account_id", "offer_date", "accepted_flag")
     args = [get(n) for n in ("offer_scores", "wide_performance", "behaviour_history", "sent_offers", "bankruptcy_history")]
-    return plain(studies.average_scores(studies.multi_score(offers, *args, BRANDS)))
+    return plain(studies.average_scores(studies.multi_score(offers, *args, BRANDS, span=(1, 1))))
 
 
 def _backtest(spark, sf_dir, only_after_offer):
     known = {}
     get = lambda name: standin(spark, sf_dir, name, known)
     scores = get("month_scores")
+    # the backfill covers the live months too, with other values, so that either side's rows show
+    backfill = scores.withColumn("prediction", c("prediction") / 2)
     brands = ["BUILDING", "FURNITURE"]
-    rows = studies.backtest(get("offers"), get("wide_performance"), scores, scores, CUTOFF, brands, only_after_offer)
+    rows = studies.backtest(get("offers"), get("wide_performance"), backfill, scores, CUTOFF, brands, only_after_offer)
     grid = rows.groupBy("brand", c("risk_stmt").cast("bigint").alias("risk_stmt"))
     return plain(grid.agg(F.sum("n_offers").alias("n"), vt.weighted_sum("raim", "raim")))
 
@@ -238,7 +260,8 @@ BACKTEST = (
                   (p.card_type = 'WORLD_ELITE' and s.prediction >= 1) or (p.card_type = 'WORLD' and s.prediction >= 0.9)
                   or (p.card_type = 'STANDARD' and p.tu_band = '1. SUBPRIME' and s.prediction >= 0.7) as hit
            from offers o join wide_performance p on p.account_id = o.account_id
-           join month_scores s on s.account_id = p.account_id and cast(s.reference_date as date) = cast(p.stmt_mth || '-01' as date)
+           join (select account_id, reference_date, case when reference_date <= timestamp '1999-06-30 00:00:00' then prediction / 2 else prediction end as prediction
+                 from month_scores) s on s.account_id = p.account_id and cast(s.reference_date as date) = cast(p.stmt_mth || '-01' as date)
            where p.brand in ('BUILDING', 'FURNITURE') and {0}),
          marked as (select *, min(case when hit then stmt_date end) over (partition by account_id, offer_date) as risk_date from rows0)
          select brand, cast(datediff('month', risk_date, stmt_date) as bigint) as risk_stmt, cast(count(*) as bigint) as n, cast(sum(raim) as double) as raim
@@ -262,7 +285,9 @@ def backtest_after_offer(spark, sf_dir):
     + """select o.offer_mth as offer_vintage, cast(count(*) filter (where s.prediction < 0.7) as bigint) as low_risk_accts,
                 cast(count(*) filter (where s.prediction >= 0.7) as bigint) as high_risk_accts,
                 cast(high_risk_accts as double) / nullif(high_risk_accts + low_risk_accts, 0) as high_risk_ratio
-         from offers o join offer_scores s on s.account_id = o.account_id and cast(s.reference_date as date) = o.offer_date
+         from offers o
+         join (select account_id, reference_date, case when reference_date <= timestamp '1999-06-30 00:00:00' then prediction / 2 else prediction end as prediction
+               from offer_scores) s on s.account_id = o.account_id and cast(s.reference_date as date) = o.offer_date
          join wide_performance p on p.account_id = o.account_id and datediff('month', o.offer_date, p.stmt_date) = 1
          where o.accepted_flag = 1 and p.brand = 'BUILDING' group by o.offer_mth""",
 )
@@ -270,7 +295,8 @@ def tranche_risk_mix(spark, sf_dir):
     known = {}
     get = lambda name: standin(spark, sf_dir, name, known)
     scores = get("offer_scores")
-    return plain(studies.tranche_risk_mix(get("offers"), get("wide_performance"), scores, scores, CUTOFF, "BUILDING"))
+    backfill = scores.withColumn("prediction", c("prediction") / 2)
+    return plain(studies.tranche_risk_mix(get("offers"), get("wide_performance"), backfill, scores, CUTOFF, "BUILDING"))
 
 
 def study(spark, sf_dir):

@@ -134,7 +134,10 @@ def test_decreases_history_and_restored(requested, domain):
     assert request_funnel.without_decrease(large, decreases, marked).count() == 0
     assert request_funnel.without_decrease(large, decreases.filter("strategy is null"), marked).count() == 4
     restored = request_funnel.restored_above_decrease(large, decreases)
-    assert set(listed(restored, "decreases", "lowest_prev_cl")) == {(2, Decimal("3000.00"))} and restored.count() == 4
+    # the new limit of 6,000 or so exceeds one of the two earlier limits
+    assert set(listed(restored, "decreases", "lowest_prev_cl", "highest_prev_cl")) == {(1, Decimal("3000.00"), Decimal("3000.00"))} and restored.count() == 4
+    pairs = request_funnel.restored_listing(large, decreases)
+    assert set(listed(pairs, "prev_cl", "decreased_cl")) == {(Decimal("3000.00"), Decimal("1000.00"))} and pairs.count() == 4
     view = domain("offers_view", *[{"account_id": "acc-001", "accepted_flag": 1, "offer_mth": m, "new_cl": Decimal(5)} for m in ("2024-01", "2024-05")])
     assert request_funnel.accepted_history(large, view).count() == 8
     assert set(listed(request_funnel.accepted_summary(large, view), "accepted_offers", "last_offer_mth")) == {(2, "2024-05")}
