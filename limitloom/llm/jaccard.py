@@ -2,9 +2,10 @@
 
 Documents with equal shingle sets are one class. Similar classes are put into groups: a group is built around
 pivots that its members have been verified to be similar to. For every group the matrix stores the union of its
-members' tokens; a query opens a group only if the union holds enough of the query's tokens for
-any member to be similar. Only tokens of the prefix that similar sets must share, in an order that puts
-tokens common in the corpus last, look groups up.
+members' tokens as a bit row: each token sets one bit of two to four a token. A query opens a group only if so few of its
+bits lack in the row that any member can be similar; members of an opened group are held against it by their own bits
+alike. Bits only bound the overlap from above; whole sets decide what is left. Only tokens of the prefix that similar
+sets must share, in an order that puts tokens common in the corpus last, look groups up.
 """
 
 from __future__ import annotations
@@ -52,6 +53,25 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _bits(tokens: np.ndarray) -> bytes:
+    """A bit row of two to four bits a token (64 at least); a token's place is a residue, so rows fold to smaller widths."""
+    width = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    row = np.zeros(width, np.uint8)
+    row[((tokens >> np.uint64(64 - 8 * TOKEN)) & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(row).tobytes()
+
+
+def _folded(row: np.ndarray, size: int) -> np.ndarray:
+    """The row at ``size`` bytes: folded by OR, or repeated if it was narrower (a superset then)."""
+    return np.bitwise_or.reduce(row.reshape(-1, size)) if len(row) >= size else np.tile(row, size // len(row))
+
+
+def _lacking(q: np.ndarray, u: np.ndarray) -> int:
+    """How many tokens of ``q`` are surely not in ``u``: its bits that ``u`` lacks."""
+    size = min(len(q), len(u))
+    return int(np.bitwise_count(_folded(q, size) & ~_folded(u, size)).sum())
+
+
 def signed(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (set size), key of the set (null if empty) and its smallest token, which similar sets likely share."""
 
@@ -191,7 +211,7 @@ def prefix_entries(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarra
 
 
 def token_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(key, tokens) of the classes ``wanted`` (distinct key), ``TOKEN`` bytes a token.
+    """(key, tokens, bits) of the classes ``wanted`` (distinct key): ``TOKEN`` bytes a token, and the set's bit row.
 
     A bounded Bloom filter keeps the scan from emitting sets that nobody needs; the join behind it is exact.
     """
@@ -201,16 +221,17 @@ def token_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
         seen = set()
         for batch in batches:
             for _, sets in _sets(batch, k):
-                keys, out = [], []
+                keys, out, rows = [], [], []
                 for t in sets:
                     if len(t) and (key := _key(t)) not in seen and in_bloom(bits.value, np.array([int.from_bytes(key[:7], "big")]))[0]:
                         seen.add(key)
                         keys.append(key)
                         out.append(np.ascontiguousarray(t.view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN :]).tobytes())
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "tokens": pa.array(out, pa.binary())})
+                        rows.append(_bits(t))
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "tokens": pa.array(out, pa.binary()), "bits": pa.array(rows, pa.binary())})
 
-    found = texts(docs).mapInArrow(run, "key binary, tokens binary")
-    return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    found = texts(docs).mapInArrow(run, "key binary, tokens binary, bits binary")
+    return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
 
 
 def _wide(data: bytes) -> np.ndarray:
@@ -268,29 +289,52 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _tested(rows, ["a", "b"], close)
 
 
-def group_unions(tokens: DataFrame) -> DataFrame:
-    """(g, p, u): the union of the token sets of each part of a group; a part has a few dozen members, so its row is bounded."""
+def group_unions(bits: DataFrame) -> DataFrame:
+    """(g, p, u): the union of the bit rows of each part of a group; a part has a few dozen members, so its row is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for sets in batch.column(2):
-                u = np.unique(_wide(b"".join(sets.as_py())))
-                out.append(np.ascontiguousarray(u.view(np.uint8).reshape(-1, 8)[:, :TOKEN]).tobytes())
+            for rows in batch.column(2):
+                rows = [np.frombuffer(r, np.uint8) for r in rows.as_py()]
+                size = max(map(len, rows))
+                out.append(np.bitwise_or.reduce([_folded(r, size) for r in rows]).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["g", "p", "u"])
 
-    return tokens.groupBy("g", "p").agg(F.collect_list("tokens").alias("sets")).mapInArrow(run, "g binary, p long, u binary")
+    return bits.groupBy("g", "p").agg(F.collect_list("bits").alias("sets")).mapInArrow(run, "g binary, p long, u binary")
+
+
+def _bounded(rows: DataFrame, names: list[str], test) -> DataFrame:
+    """The named columns of the rows (with qn, n, q and u: sizes and bit rows) that pass ``test``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("qn", "n")]
+            own = [batch.column(batch.schema.get_field_index(x)) for x in ("q", "u")]
+            keep = [test(i, j, *(np.frombuffer(x.as_buffer(), np.uint8) for x in pair)) for i, j, *pair in zip(*sizes, *own, strict=True)]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def opened(asked: DataFrame, unions: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of queries with members of the groups whose union holds enough of the query's tokens; ``asked`` is stored."""
-    query = _narrowed(sets, asked.select(F.col("a").alias("key"))).select(F.col("key").alias("a"), "tokens")
-    rows = asked.join(query, "a").join(unions, ["g", "p"]).select("a", "qn", "g", "p", "tokens", "u")
-    enough = durable(_tested(rows, ["a", "qn", "g", "p"], lambda q, u: 100 * _common(q, u) >= percent * len(q)), "opened")
-    _released(asked.sparkSession)
+
+    def group_fits(n: int, _: int, q: np.ndarray, u: np.ndarray) -> bool:
+        return 100 * (n - _lacking(q, u)) >= percent * n
+
+    def member_fits(n: int, m: int, q: np.ndarray, u: np.ndarray) -> bool:
+        return (100 + percent) * min(n - _lacking(q, u), m - _lacking(u, q)) >= percent * (n + m)
+
+    query = _narrowed(sets.select("key", "bits"), asked.select(F.col("a").alias("key"))).select(F.col("key").alias("a"), F.col("bits").alias("q"))
+    rows = asked.join(query, "a").join(unions, ["g", "p"]).select("a", "qn", "g", "p", "q", "u", F.col("qn").alias("n"))
+    enough = _bounded(rows, ["a", "qn", "g", "p", "q"], group_fits)
     fit = (F.col("qn") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("qn") * 100)
-    candidates = durable(enough.join(members, ["g", "p"]).filter(fit).select("a", F.col("key").alias("b")), "candidates")
-    links = durable(similar_pairs(candidates, sets, percent), "links")
+    beside = enough.join(members, ["g", "p"]).filter(fit).select("a", F.col("key").alias("b"), "qn", "n", "q", F.col("bits").alias("u"))
+    candidates = durable(_bounded(beside, ["a", "b"], member_fits), "candidates")
+    _released(asked.sparkSession)
+    links = durable(similar_pairs(candidates, sets.select("key", "tokens"), percent), "links")
     _released(asked.sparkSession)
     return links
 
@@ -315,7 +359,7 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     stars = classes.join(pivot, "least_token").filter("key <> p.key").withColumn("pn", F.col("p.n")).filter(fits("n", "pn")).select(F.col("p.key").alias("a"), F.col("key").alias("b"))
     stars = durable(stars, "stars")
     wanted = stars.select(F.col("a").alias("key")).union(stars.select(F.col("b").alias("key"))).distinct()
-    star_sets = durable(token_sets(docs, k, durable(wanted, "wanted")), "star-sets")
+    star_sets = durable(token_sets(docs, k, durable(wanted, "wanted")).select("key", "tokens"), "star-sets")
     near = durable(similar_pairs(stars, star_sets, percent), "near")
     del star_sets
     _released(spark)
@@ -335,15 +379,19 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         entries.join(matrix, "token")
         .filter(asks & (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100))
         .groupBy(F.col("key").alias("a"), F.col("n").alias("qn"), "comp", "g", "p")
-        .agg(F.count("*").alias("met"))
+        .agg(F.count("*").alias("met"), F.min("low").alias("low"), F.max("high").alias("high"))
     )
-    asked = durable(asked, "asked")
+    # sets of qn and m tokens that share enough of them share more prefix tokens than this; least at the ends of the sizes met
+    beyond = lambda m: percent * (F.col("qn") + m) / (100 + percent) - percent * F.greatest("qn", m) / 100
+    fewest, most = F.greatest(F.col("low"), F.ceil(F.col("qn") * percent / 100)), F.least(F.col("high"), F.floor(F.col("qn") * 100 / percent))
+    asked = durable(asked.filter(F.col("met") > F.least(beyond(fewest), beyond(most)) - 1e-6).drop("low", "high"), "asked")
     _released(spark)
     members = durable(grouped.join(asked.select(F.col("g").alias("comp"), F.col("p").alias("part")).distinct(), ["comp", "part"], "left_semi"), "members")
     wanted = durable(members.select("key").union(asked.select(F.col("a").alias("key"))).distinct(), "wanted")
     sets = durable(token_sets(docs, k, wanted), "token-sets")
-    members = members.select("key", "n", F.col("comp").alias("g"), F.col("part").alias("p"))
-    unions = durable(group_unions(members.join(sets, "key").select("g", "p", "tokens")), "token-group-matrix")
+    members = members.join(sets.select("key", "bits"), "key").select("key", "n", F.col("comp").alias("g"), F.col("part").alias("p"), "bits")
+    members = durable(members, "members")
+    unions = durable(group_unions(members.select("g", "p", "bits")), "token-group-matrix")
     # one question per group first, then one per pair of groups still apart, then all that are left: a link
     # between two groups settles every other question between them
     _released(spark)
