@@ -139,6 +139,21 @@ def test_similarity_classes_equal_brute_force(frame):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_classes(texts, k, percent)
 
 
+def test_bit_rows_never_undercount_an_overlap():
+    rng = np.random.default_rng(3)
+    for n, m, shared in ((1, 1, 0), (1, 1, 1), (40, 45, 40), (200, 170, 120), (3000, 90, 90), (5000, 5200, 1000)):
+        tokens = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64) * np.uint64(2))
+        rng.shuffle(tokens)
+        a, b = tokens[:n], tokens[n - shared : n - shared + m]
+        rows = [np.frombuffer(jaccard._bits(x), np.uint8) for x in (a, b)]
+        size = max(map(len, rows))
+        union = np.bitwise_or.reduce([jaccard._folded(r, size) for r in rows])
+        assert jaccard._lacking(rows[0], rows[0]) == jaccard._lacking(rows[0], union) == jaccard._lacking(rows[1], union) == 0
+        common = len(np.intersect1d(a, b))
+        assert n - jaccard._lacking(rows[0], rows[1]) >= common <= m - jaccard._lacking(rows[1], rows[0])
+    assert n - jaccard._lacking(rows[0], rows[1]) < 0.7 * n
+
+
 def test_similarity_of_nothing_and_repeated_rows(frame):
     assert jaccard.similarity_classes(docs_of(frame)).count() == 0
     text = prose(1, 30)
