@@ -2,8 +2,8 @@
 
 Suffixes are kept at minimisers of word runs only: positions that depend on nothing but the words around
 them, so that copies of a passage keep the same ones. They are sorted by the fingerprint of their first words and
-compared with their neighbours. Around suffixes that have an equal neighbour, windows reaching left
-and right are sorted and compared in the same way; repeated windows that touch are one passage.
+compared with their neighbours. All windows around suffixes that have an equal neighbour are sorted and
+compared in the same way, at every word; repeated windows that touch are one passage.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from limitloom.llm.frames import bloom_filter, buffer_of, chunks, durable, in_bloom, texts
 from limitloom.llm.words import run_hashes, words_by_row
 
-GRAM, STEP = 8, 5
+GRAM = 8
 
 
 def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
@@ -37,19 +37,25 @@ def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
     return np.unique(at[:n])
 
 
-def _shape(words: int) -> tuple[int, int, int]:
-    """Window length, minimiser width and suffix length that leave no passage of ``words`` words out.
+def _shape(words: int) -> tuple[int, int]:
+    """Minimiser width and suffix length that leave no passage of ``words`` words out.
 
-    A passage of that length has a minimiser among its first ``width`` runs. A window that starts at most
-    ``STEP`` - 1 words into the passage and holds the minimiser at one of the offsets 0, STEP, .. ends inside it.
+    A window of that length has a minimiser among its first ``width`` runs, whose suffix ends inside the window. So a
+    repeated window starts at most ``width`` - 1 words before a repeated suffix, in each of its copies.
     """
     width = words // 2
-    return words - STEP + 1, width, words - width + 1
+    return width, words - width + 1
+
+
+def _reached(at: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of the ``n`` first places lie at or at most ``width`` - 1 before one of the places ``at`` (ascending)."""
+    after = np.searchsorted(at, np.arange(n))
+    return np.r_[at, n + width][after] - np.arange(n) < width
 
 
 def _suffixes(docs: DataFrame, words: int, wanted: np.ndarray | None) -> DataFrame:
-    """(h, doc_id, at) of all kept suffixes, or of the windows around those whose fingerprint ``wanted`` may hold."""
-    window, width, length = _shape(words)
+    """(h, doc_id, at) of all kept suffixes, or of every window around those whose fingerprint ``wanted`` may hold."""
+    width, length = _shape(words)
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +64,7 @@ def _suffixes(docs: DataFrame, words: int, wanted: np.ndarray | None) -> DataFra
                 with np.errstate(over="ignore"):
                     h, _, _, first = words_by_row(*buffer_of(part.column(1)))
                     grams, prints = run_hashes(h, GRAM), run_hashes(h, length).view(np.int64)
-                    wide = run_hashes(h, window).view(np.int64) if shared.value is not None else None
+                    wide = run_hashes(h, words).view(np.int64) if shared.value is not None else None
                 found, ids, places = [], [], []
                 doc_ids = part.column(0).to_numpy(zero_copy_only=False)
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
@@ -68,13 +74,9 @@ def _suffixes(docs: DataFrame, words: int, wanted: np.ndarray | None) -> DataFra
                     at = at[at + length <= b]
                     values = prints[at]
                     if wide is not None:
-                        known = in_bloom(shared.value, values)
-                        # inside a chain of repeated suffixes windows go in steps, at its ends word by word
-                        border = known & ~(np.r_[False, known[:-1]] & np.r_[known[1:], False])
-                        inner = (at[known][:, None] - np.arange(0, width, STEP)[None]).ravel()
-                        outer = (at[border][:, None] - np.arange(1 - STEP, width)[None]).ravel()
-                        at = np.unique(np.r_[inner, outer])
-                        at = at[(at >= a) & (at + window <= b)]
+                        at = at[in_bloom(shared.value, values)]
+                        # starts at and up to width - 1 words before a known suffix
+                        at = a + np.flatnonzero(_reached(at - a, width, b - a - words + 1))
                         values = wide[at]
                     found.append(values)
                     places.append(at - a)
@@ -131,7 +133,6 @@ def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     that touch are one stretch. Words are compared without A-Z case. ``passage`` is the fingerprint of its first window, equal for copies that start alike. Null ids, null, empty and shorter
     texts give no rows. Rows repeated with the same id are copies of each other.
     """
-    window = _shape(words)[0]
     again = with_equal_neighbour(_suffixes(docs, words, None)).select("h").distinct()
     again = durable(again, "repeated-suffixes")
     bits = bloom_filter(again, F.col("h"), again.count())
@@ -139,21 +140,18 @@ def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits = sorted({(x["at"], x["h"]) for x in hits})
-                start = end = passage = None
-                for at, h in hits:
-                    if end is None or at > end:
-                        if end is not None and end - start >= words:
-                            out.append((doc_id, start, end - start, passage))
-                        start, end, passage = at, at, h
-                    end = max(end, at + window)
-                if end - start >= words:
-                    out.append((doc_id, start, end - start, passage))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
+            if not batch.num_rows:
+                continue
+            hits = batch.column(1)
+            flat, sizes = hits.flatten(), np.diff(hits.offsets.to_numpy())
+            row, at, h = np.repeat(np.arange(len(sizes)), sizes), flat.field("at").to_numpy(), flat.field("h").to_numpy()
+            order = np.lexsort((h, at, row))
+            row, at, h = row[order], at[order], h[order]
+            start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] > at[:-1] + words)])
+            last = np.r_[start[1:], len(at)] - 1
+            columns = (batch.column(0).take(pa.array(row[start])), at[start], at[last] + words - at[start], h[start])
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "first_word", "n_words", "passage"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, np.ndarray) else c for c, k in zip(columns, kinds, strict=True)], ["doc_id", "first_word", "n_words", "passage"])
 
     # a document's windows are bounded by its own length
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "h")).alias("hits"))

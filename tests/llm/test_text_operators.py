@@ -227,6 +227,15 @@ def test_repeated_passages_are_found_whole(frame):
     assert suffixes.repeated_passages(docs_of(frame)).count() == 0
 
 
+def test_passages_quoted_from_exact_copies_are_found_whole(frame):
+    copied = [prose(10 + i, 300) for i in range(4)]
+    quotes = [(i, 20 + 31 * j, n) for i in range(4) for j, n in enumerate((50, 50, 51, 52, 53, 54, 71))]
+    texts = copied + copied + [f"{prose(100 + k, 20)} {' '.join(copied[i].split()[at : at + n])} {prose(200 + k, 30)}" for k, (i, at, n) in enumerate(quotes)]
+    rows = suffixes.repeated_passages(docs_of(frame, *texts)).collect()
+    got = sorted((r.doc_id, r.first_word, r.n_words) for r in rows)
+    assert got == [(i, 0, 300) for i in range(8)] + [(8 + k, 20, n) for k, (_, _, n) in enumerate(quotes)]
+
+
 def test_equal_neighbours_across_ranges(frame):
     rows = frame("h long, doc_id long, at int", *[(i // 3, i, 0) for i in range(300)], *[(1000 + i, i, 0) for i in range(50)])
     assert suffixes.with_equal_neighbour(rows).count() == 300
