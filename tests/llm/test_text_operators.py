@@ -307,6 +307,20 @@ def test_surrogates_keep_type_format_and_identity(frame):
     assert names[1] == names[3] != "Weber" and names[0].endswith("na") and names[2].endswith("n")
 
 
+def test_each_pattern_is_found_alone(frame):
+    alone = ["8.8.8.8", "1.1.1.1", "a1" * 20, "1a" * 100, "f0" * 300, "555-123-4567", "555.123.4567", "1-555-123-4567", "555 123 4567", "(555) 123-4567", "+49 30 1234567",
+             "4111 1111 1111 1111", "123-45-6789", "DE89 3704 0044 0532 0130 00", "a@b.de", "x" * 60 + "@" + ("y" * 60 + ".") * 5 + "com", "Mr Weber"]
+    none = ["1.2.3", "555-12-34567", "12-555-123-4567", "555-123.4567", "555-123-4567-8", "a" * 40, "1a" * 15, "version 4.0"]
+    texts = [f"see {x} there" for x in alone + none]
+    out = {r.doc_id: r for r in surrogates.replace(docs_of(frame, *texts), "k", count="n").collect()}
+    assert [out[i].n for i in range(len(texts))] == [1] * len(alone) + [0] * len(none)
+    for i, x in enumerate(alone):
+        assert x not in out[i].text and out[i].text.startswith("see ") and out[i].text.endswith(" there")
+        if x[0] != "M" and x.count(".") != 3:
+            assert re.sub(r"[^\W_]", "x", out[i].text) == re.sub(r"[^\W_]", "x", texts[i])
+    assert all(out[len(alone) + i].text == texts[len(alone) + i] for i in range(len(none)))
+
+
 def test_surrogates_stay_distinct(frame):
     rows = docs_of(frame, *[f"({100 + i}) 555-{1000 + i} and 10.0.{i}.1" for i in range(120)])
     out = [r.text for r in surrogates.replace(rows, "k").collect()]
