@@ -3,7 +3,8 @@
 Words become template tokens: numbers, units behind numbers, and names get typed placeholders. Windows of
 template tokens are hash-joined with those of the benchmark. What stands in the placeholders must
 correspond one to one between item and document, so that a question with other numbers and
-names is found while a chance likeness is not. Column functions only.
+names is found while a chance likeness is not. Windows of plain words are joined as well, so that
+verbatim copies are found whatever their case and line breaks. Column functions only.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def words(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Like :func:`words`, place for place, with placeholders for capitalised words inside sentences, numbers, and units behind numbers."""
-    t = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}\p{L}*", _NAME)
+    t = F.regexp_replace(text, _SPACE, " ")
+    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}\p{L}*", _NAME)
     t = F.regexp_replace(t, r"[0-9]+(?:[.,:/][0-9]+)*", _NUMBER)
     t = F.regexp_replace(t, rf"(?i){_NUMBER} (?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", f"{_NUMBER} {_UNIT}")
     return words(t)
@@ -45,14 +47,19 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _windows(template_words: Column, size: int) -> Column:
-    """Hash of each run of ``size`` template words."""
+def _windows(run_words: Column, size: int) -> Column:
+    """Hash of each run of ``size`` words."""
 
     def run(t: Column) -> Column:
         at = F.when(F.size(t) >= size, F.sequence(F.lit(0), F.size(t) - size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.xxhash64(*[F.get(t, i + j) for j in range(size)]))
+        return F.transform(at, lambda i: F.xxhash64(F.slice(t, i + 1, F.lit(size))))
 
-    return _let(F.transform(template_words, lambda w: F.xxhash64(w)), run)
+    return _let(F.transform(run_words, lambda w: F.xxhash64(w)), run)
+
+
+def _both(text: Column, size: int) -> Column:
+    """For each place the hash of the window of plain words, and that of template words if it differs."""
+    return F.zip_with(_windows(words(text), size), _windows(template(text), size), lambda p, t: F.when(p == t, F.array(p)).otherwise(F.array(p, t)))
 
 
 def _slots(t: Column, w: Column, start: Column, size: int) -> Column:
@@ -64,7 +71,8 @@ def _slots(t: Column, w: Column, start: Column, size: int) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, found, windows, verbatim: documents that hold at least ``share`` of an item's windows.
 
-    Only windows on diagonals whose slots correspond one to one count. An item of fewer words than ``window`` is one window of
+    A window counts if its plain words are the item's, or if its template words are and the slots on its diagonal correspond
+    one to one; ``verbatim`` says that all slots of the windows that count hold the item's words. An item of fewer words than ``window`` is one window of
     its own length; one of fewer than ``SHORTEST`` words, null or empty matches nothing. Rows with a null id match
     nothing; rows that repeat an id count as one document, repeated items as one item.
     """
@@ -74,13 +82,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     found = None
     for size in sorted(r[0] for r in items.select("size").distinct().collect()):  # as many as there are window lengths
-        own = items.filter(F.col("size") == size).withColumn("ws", _windows(F.col("it"), size))
-        own = own.select("item_id", "iw", "it", F.size("ws").alias("windows"), F.posexplode("ws").alias("item_at", "h"))
-        own = own.select("h", "item_id", "windows", "item_at", F.lit(size).alias("size"), _slots(F.col("it"), F.col("iw"), F.col("item_at"), size).alias("item_slots"))
+        own, kinds = items.filter(F.col("size") == size), []
+        for kind in ("iw", "it"):
+            at = own.withColumn("ws", _windows(F.col(kind), size)).select("item_id", "iw", kind, F.size("ws").alias("windows"), F.posexplode("ws").alias("item_at", "h"))
+            kinds.append(at.select("h", "item_id", "windows", "item_at", F.lit(size).alias("size"), _slots(F.col(kind), F.col("iw"), F.col("item_at"), size).alias("item_slots")))
+        # template windows without placeholders are plain ones
+        own = kinds[0].unionByName(kinds[1].filter(F.size("item_slots") > 0))
         if own.count() <= BROADCAST_WINDOWS:
             own = F.broadcast(own)
         # windows alone are exploded: a row that carried its text's arrays would copy them for every window
-        rows = texts.select("doc_id", F.xxhash64("text").alias("row"), _windows(template(F.col("text")), size).alias("ws")).select("doc_id", "row", F.posexplode("ws").alias("at", "h")).join(own, "h")
+        rows = texts.select("doc_id", F.xxhash64("text").alias("row"), _both(F.col("text"), size).alias("ws")).select("doc_id", "row", F.posexplode("ws").alias("at", "hs"))
+        rows = rows.select("doc_id", "row", "at", F.explode("hs").alias("h")).join(own, "h")
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         return texts.select("doc_id", F.col("doc_id").alias("item_id"), F.lit(0).alias("found"), F.lit(0).alias("windows"), F.lit(True).alias("verbatim")).limit(0)
@@ -98,8 +110,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
         pairs = F.transform("item_slots", lambda s: F.struct(s["value"].alias("i"), value(s).alias("d")))
         plain = plain.unionByName(filled.join(own, ["doc_id", "row"]).withColumn("slots", pairs).drop("dw"))
     found = plain.withColumn("shift", F.col("at") - F.col("item_at"))
-    # a diagonal holds at most one row per window of an item
-    aligned = found.groupBy("doc_id", "item_id", "windows", "shift").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    # a diagonal holds at most one row of each kind per window of an item; plain ones need no slots
+    aligned = found.groupBy("doc_id", "item_id", "windows", "shift", (F.size("item_slots") > 0).alias("typed")).agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     left = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
     right = F.size(F.array_distinct(F.transform("slots", lambda s: s["d"])))
     consistent = aligned.filter((left == F.size("slots")) & (right == F.size("slots")))

@@ -281,6 +281,17 @@ def test_templates_catch_other_numbers_and_names(frame):
     assert templates.matches(docs_of(frame), items).count() == 0 and templates.matches(docs, items.limit(0)).count() == 0
 
 
+def test_verbatim_copies_are_found_whatever_their_case_and_line_breaks(frame):
+    item = "In the town of Northfield a farmer sells 12 apples and 5 kg of flour to Anna, then Anna gives 12 apples back"
+    items = frame("item_id long, text string", (1, item), (2, "Which river crosses Vienna"), (3, "the big Town of Northfield has 5 km"))
+    copies = [item.lower(), item.upper(), item.replace(" ", "\n"), item.replace("of N", "of\n N").replace("5 kg", "5\t\tkg"), f"so, {item}"]
+    short = ["they ask which River crosses vienna today", "a, Which river  crosses\nVienna", "The Big town\nof NORTHFIELD has 5\nkm left"]
+    other = "A note. In the town\nof Southport a farmer sells 31 apples and 8\n\npounds of flour to\nMaria, then Maria gives 31 apples back"
+    docs = docs_of(frame, *copies, *short, other, prose(1, 100))
+    got = {(r.doc_id, r.item_id): (r.found, r.windows, r.verbatim) for r in templates.matches(docs, items).collect()}
+    assert got == {**{(i, 1): (16, 16, True) for i in range(5)}, (5, 2): (1, 1, True), (6, 2): (1, 1, True), (7, 3): (1, 1, True), (8, 1): (16, 16, False)}
+
+
 # personal data
 
 
