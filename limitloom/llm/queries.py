@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limitloom.llm import archives, compressors, edits, jaccard, languages, packing, pivots, suffixes, surrogates, templates
+from limitloom.llm import archives, compressors, edits, jaccard, languages, merkle, packing, pivots, suffixes, surrogates, templates
 from limitloom.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +93,40 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_template_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    out = merkle.manifest(read_table(spark, sf_dir, "documents"), {"text": F.translate("text", ascii_uppercase, ascii_lowercase)}, tampered)
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_ENTRY = "coalesce(CAST(strlen({0}) AS VARCHAR) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_ENTRY.format(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+# Trees level by level: `up` and `top` hold every node, with the number of nodes of its level.
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, {_LEAF.format(text="text")} AS leaf, {_LEAF.format(text=f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')")} AS changed,
+    xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda s, b: list_reduce(range(8),
+      lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, xor(s, b)), CAST(4294967295 AS BIGINT))) % 3 = 0 AS tampered FROM documents)),
+up AS (SELECT lang, 0 AS level, CAST(idx AS BIGINT) AS idx, CAST(n AS BIGINT) AS n, leaf AS node FROM d
+  UNION ALL SELECT lang, level + 1, idx // 8, (min(n) + 7) // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY lang, level, idx // 8),
+s AS (SELECT lang, level AS height, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS langs FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, CAST(place AS BIGINT) AS idx, CAST(langs AS BIGINT) AS n, subroot AS node FROM s
+  UNION ALL SELECT level + 1, idx // 8, (min(n) + 7) // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY level, idx // 8),
+r AS (SELECT node AS root FROM top WHERE n = 1),
+x AS (SELECT d.*, s.height, s.subroot, s.place, row_number() OVER () AS id FROM d JOIN s ON d.lang IS NOT DISTINCT FROM s.lang),
+around AS (SELECT x.id, up.level, up.idx, up.node, up.idx = x.idx // CAST(8 ** up.level AS BIGINT) AS own FROM x JOIN up ON x.lang IS NOT DISTINCT FROM up.lang AND up.n > 1
+    AND up.idx // 8 = x.idx // CAST(8 ** (up.level + 1) AS BIGINT)
+  UNION ALL SELECT x.id, x.height + top.level, top.idx, top.node, top.idx = x.place // CAST(8 ** top.level AS BIGINT) FROM x JOIN top ON top.n > 1
+    AND top.idx // 8 = x.place // CAST(8 ** (top.level + 1) AS BIGINT)),
+runs AS (SELECT a.id, a.level, coalesce(string_agg(a.node, '' ORDER BY a.idx) FILTER (WHERE a.idx < o.idx), '') AS l, coalesce(string_agg(a.node, '' ORDER BY a.idx) FILTER (WHERE a.idx > o.idx), '') AS r
+  FROM around a JOIN around o ON a.id = o.id AND a.level = o.level AND o.own GROUP BY a.id, a.level),
+proofs AS (SELECT id, string_agg(l || r, '' ORDER BY level) AS proof, count(*) AS steps FROM runs GROUP BY id),
+fold AS (SELECT id, 0 AS level, CASE WHEN tampered THEN changed ELSE leaf END AS node FROM x
+  UNION ALL SELECT f.id, f.level + 1, sha256(runs.l || f.node || runs.r) FROM fold f JOIN runs ON runs.id = f.id AND runs.level = f.level)
+SELECT x.doc_id, x.leaf, x.subroot, r.root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.node AS folded_root, f.node = r.root AS verified
+FROM x CROSS JOIN r LEFT JOIN proofs p ON p.id = x.id JOIN fold f ON f.id = x.id AND f.level = coalesce(p.steps, 0)
+"""
