@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limitloom.llm import archives, compressors, edits, jaccard, languages, merkle, packing, pivots, suffixes, surrogates, templates
+from limitloom.llm import archives, compressors, edits, jaccard, languages, linehash, merkle, packing, pivots, suffixes, surrogates, templates
 from limitloom.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,21 @@ fold AS (SELECT id, 0 AS level, CASE WHEN tampered THEN changed ELSE leaf END AS
 SELECT x.doc_id, x.leaf, x.subroot, r.root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.node AS folded_root, f.node = r.root AS verified
 FROM x CROSS JOIN r LEFT JOIN proofs p ON p.id = x.id JOIN fold f ON f.id = x.id AND f.level = coalesce(p.steps, 0)
 """
+
+
+@_query
+def op12_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = linehash.drop_lines(docs, linehash.build_index(docs))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLES["op12_line_hash_dedup"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, r, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{ascii_uppercase}', '{ascii_lowercase}') AS key FROM l),
+g AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, g.key IS NOT NULL AND (doc_id IS NULL OR doc_id < last) AS gone FROM k LEFT JOIN g USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY r
+"""
