@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limitloom.llm import archives, compressors, edits, jaccard, languages, linehash, merkle, packing, pivots, suffixes, surrogates, templates
+from limitloom.llm import archives, compressors, edits, jaccard, languages, linehash, merkle, packing, pivots, suffixes, surrogates, templates, whitening
 from limitloom.llm.frames import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,9 @@ m AS (SELECT k.*, g.key IS NOT NULL AND (doc_id IS NULL OR doc_id < last) AS gon
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY r
 """
+
+
+@_query
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
