@@ -30,10 +30,14 @@ def _sortable(t: T.DataType) -> bool:
     return True
 
 
+def sortable_columns(df: DataFrame, used: Sequence[str] = ()) -> list[str]:
+    used = {u.lower() for u in used}
+    return [f.name for f in df.schema.fields if f.name.lower() not in used and _sortable(f.dataType)]
+
+
 def total_order(df: DataFrame, used: Sequence[str]) -> list[Column]:
     """Every sortable column not in ``used``, ascending: equal rows are then identical rows."""
-    used = {u.lower() for u in used}
-    return [F.col(f.name).asc_nulls_last() for f in df.schema.fields if f.name.lower() not in used and _sortable(f.dataType)]
+    return [F.col(name).asc_nulls_last() for name in sortable_columns(df, used)]
 
 
 def top_per_key(df: DataFrame, keys, order: Sequence[Column], n: int = 1, tiebreak: Sequence[Column] | None = None) -> DataFrame:

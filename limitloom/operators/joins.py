@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limitloom.functions import all_of, as_date, month_floor
-from limitloom.operators.dedupe import dedupe, first_per_key, latest_per_key, worst_per_key
+from limitloom.operators import scan
+from limitloom.operators.dedupe import worst_per_key
 
 Keys = str | Sequence[str | tuple[str, str]]
 
@@ -114,58 +115,48 @@ def asof_forward(
     lts: str,
     rts: str,
     strict: bool = True,
-    bucket: str = "day",
     tiebreak: Sequence[str] = (),
+    own: Sequence[str] = (),
+    piece_rows: int = scan.PIECE_ROWS,
 ) -> DataFrame:
     """Each left row with the first right row of its key after it; unmatched rows stay.
 
     ``strict`` wants a later time, otherwise the same instant matches too. Right rows with
-    one time are ordered by ``tiebreak``.
+    one time are ordered by ``tiebreak``. ``own`` names left columns that tell left rows of one instant apart.
 
-    No pair is ever formed. Both sides are merged into one time line that is cut into
-    (key, ``bucket``) pieces, and a running last value over each piece, read backwards,
-    finds the match inside it. A row with no match there takes the first right row of the
-    nearest later piece, found on a frame of one row per piece. A hot key is thereby
-    spread over its days (or hours: ``bucket="hour"``) instead of filling one task.
+    No pair is ever formed. Both sides are merged into one time line and a running last value, read
+    backwards, finds the match. Keys of more than ``piece_rows`` rows are cut into pieces (`scan.cut`), by time
+    and within an instant too: a row with no match in its piece takes the first right row of the
+    nearest later piece, found on a frame of one row per piece.
     """
     keys = [on] if isinstance(on, str) else list(on)
     carried = [c for c in right.columns if c not in keys]
     clash = set(left.columns) & set(carried)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
-    piece = lambda ts: F.date_trunc(bucket, F.col(ts))
-    event = F.struct(F.col(rts).alias("__at"), *[F.col(c).alias(f"__tie{i}") for i, c in enumerate(tiebreak)], *carried)
     # Reading backwards, a right row at the same instant must come after the left row
     # to be invisible to it (strict), or before it to be seen.
     lside, rside = (1, 0) if strict else (0, 1)
+    ties = [f"__tie{i}" for i in range(len(tiebreak))]
+    order = ["__t", "__side", *ties, *[f"__own{i}" for i in range(len(own))]]
     events = right.filter(all_of([F.col(rts).isNotNull(), *[F.col(k).isNotNull() for k in keys]]))
-    events = events.select(*keys, F.col(rts).alias("__t"), piece(rts).alias("__piece"), F.lit(rside).alias("__side"), event.alias("__event"))
-    rows = left.select(
-        *keys,
-        F.col(lts).alias("__t"),
-        piece(lts).alias("__piece"),
-        F.lit(lside).alias("__side"),
-        F.struct(*left.columns).alias("__row"),
-    )
+    events = events.select(*keys, F.col(rts).alias("__t"), F.lit(rside).alias("__side"), *[F.col(t).alias(n) for t, n in zip(tiebreak, ties, strict=True)], F.struct(*carried).alias("__event"))
+    rows = left.select(*keys, F.col(lts).alias("__t"), F.lit(lside).alias("__side"), *[F.col(x).alias(f"__own{i}") for i, x in enumerate(own)], F.struct(*left.columns).alias("__row"))
     line = rows.unionByName(events, allowMissingColumns=True)
-
-    backwards = [F.col("__t").desc_nulls_last(), F.col("__side").desc()]
-    backwards += [F.col(f"__event.__tie{i}").desc_nulls_first() for i in range(len(tiebreak))]
-    inside = Window.partitionBy(*keys, "__piece").orderBy(*backwards).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    line = line.withColumn("__inside", F.last("__event", ignorenulls=True).over(inside)).filter(F.col("__row").isNotNull())
-
-    first_in_piece = (
-        rows.select(*keys, "__piece").withColumn("__event", F.lit(None).cast(events.schema["__event"].dataType))
-        .unionByName(events.select(*keys, "__piece", "__event"))
-        .groupBy(*keys, "__piece")
-        .agg(F.min("__event").alias("__first"))
-    )
-    later = Window.partitionBy(*keys).orderBy(F.col("__piece").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = first_in_piece.withColumn("__later", F.last("__first", ignorenulls=True).over(later))
-    carry = carry.filter(F.col("__piece").isNotNull() & F.col("__later").isNotNull())
-    out = attach(line, carry.select(*keys, "__piece", "__later"), [*keys, "__piece"])
+    cut = scan.cut(line, keys, order, piece_rows)
+
+    backwards = [F.col(x).desc_nulls_first() for x in order]
+    whole = keys if cut is None else ["__piece"]
+    inside = Window.partitionBy(*whole).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (line if cut is None else cut).withColumn("__inside", F.last("__event", ignorenulls=True).over(inside)).filter(F.col("__row").isNotNull())
+    if cut is None:
+        return found.select("__row.*", *[F.col("__inside")[c].alias(c) for c in carried])
+    at = F.when(F.col("__event").isNotNull(), scan.place(order))
+    first = cut.filter("__split").groupBy(F.col("__piece").alias("__at")).agg(F.min_by("__event", at).alias("__first"))
+    later = scan.along("__at", keys, backwards=True).rowsBetween(Window.unboundedPreceding, -1)
+    carry = first.select("__at", F.last("__first", ignorenulls=True).over(later).alias("__later")).filter(F.col("__later").isNotNull())
     hit = F.coalesce(F.col("__inside"), F.col("__later"))
-    return out.select("__row.*", *[hit[c].alias(c) for c in carried])
+    return found.join(carry, F.col("__piece") == F.col("__at"), "left").select("__row.*", *[hit[c].alias(c) for c in carried])
 
 
 def lookback_max(anchors: DataFrame, events: DataFrame, on: str, metric: str, started: str, anchor_date: str, months: int, name: str) -> DataFrame:
@@ -219,20 +210,3 @@ def compare_groups(df: DataFrame, keys, group: str, metrics: Sequence[str], suff
     out = df.dropna(subset=[*keys, group]).groupBy(*keys).agg(*aggs, *present)
     return out.filter(all_of([F.col(f"__in{i}") == 1 for i in range(len(needed))])).drop(*[f"__in{i}" for i in range(len(needed))])
 
-
-__all__ = [
-    "asof_forward",
-    "attach",
-    "attach_history",
-    "attach_on_day",
-    "attach_on_month",
-    "attach_prev_month",
-    "compare_groups",
-    "dedupe",
-    "exclude",
-    "fallback_fill",
-    "first_per_key",
-    "latest_per_key",
-    "lookback_max",
-    "member_flag",
-]

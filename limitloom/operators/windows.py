@@ -1,8 +1,8 @@
 """Running and lagged values along a key's time line.
 
 A plain window puts a whole key into one task. Frames that hold one row per (key, month)
-or (key, day) are bounded by the calendar and take a plain window. Raw frames are cut
-into (key, bucket) pieces: the window runs inside a piece, and a frame with one row per
+or (key, day) are bounded by the calendar and take a plain window. On raw frames long keys
+are cut into pieces (`scan`): the window runs inside a piece, and a frame with one row per
 piece carries the running value from piece to piece.
 """
 
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limitloom.functions import month_diff, month_start
-from limitloom.operators.dedupe import total_order
+from limitloom.operators import scan
+from limitloom.operators.dedupe import sortable_columns
 
 
 def _as_list(x) -> list:
@@ -29,34 +30,27 @@ def _null_safe(pairs) -> Column:
     return condition
 
 
-def running_ordinal(df: DataFrame, keys, order: str, name: str, bucket: Column | None = None, tiebreak: Sequence[Column] | None = None) -> DataFrame:
-    """Position of each row among its key's rows, from 1.
+def running_ordinal(df: DataFrame, keys, order: str, name: str, piece_rows: int | None = None, tiebreak: Sequence[str] | None = None) -> DataFrame:
+    """Position of each row among its key's rows, from 1; missing times come last.
 
-    Without ``bucket`` this is a plain window, for frames with one row per key and month or
-    day. On raw frames give a ``bucket`` that does not decrease along ``order`` (its day or
-    hour): ranks are then taken inside (key, bucket) and shifted by the number of rows in
-    the key's earlier buckets.
+    Without ``piece_rows`` this is a plain window, for frames with one row per key and month or
+    day. On raw frames give the rows a task should hold: longer keys are cut along ``order`` and
+    ``tiebreak`` (`scan.cut`), ranked piece by piece and shifted by the rows in the key's earlier pieces.
     """
     keys = _as_list(keys)
-    if tiebreak is None:
-        tiebreak = total_order(df, [*keys, order])
-    if bucket is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last(), *tiebreak)))
-    # The piece is one struct column: never missing itself, it joins missing keys to missing
-    # keys, and the ranking window and the join share one exchange on it.
-    cut = df.withColumn("__piece", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("at")))
-    inside = Window.partitionBy("__piece").orderBy(F.col(order).asc_nulls_last(), *tiebreak)
-    ranked = cut.withColumn("__inside", F.row_number().over(inside))
-    key = [F.col(f"__at.k{i}") for i in range(len(keys))]
-    earlier = Window.partitionBy(*key).orderBy(F.col("__at.at").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        cut.groupBy(F.col("__piece").alias("__at"))
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .withColumn("__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
-        .select("__at", "__before")
-    )
-    out = ranked.join(shift, F.col("__piece") == F.col("__at"), "inner")
-    return out.withColumn(name, F.col("__inside") + F.col("__before")).select(*df.columns, name)
+    tiebreak = sortable_columns(df, [*keys, order]) if tiebreak is None else list(tiebreak)
+    ascending = [F.col(x).asc_nulls_last() for x in (order, *tiebreak)]
+    cut = None if piece_rows is None else scan.cut(df, keys, [order, *tiebreak], piece_rows)
+    if cut is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*ascending)))
+    ranked = cut.withColumn("__inside", F.row_number().over(Window.partitionBy("__piece").orderBy(*ascending)))
+    # one row per piece of the keys that were cut
+    held = cut.filter("__split").groupBy(F.col("__piece").alias("__at")).agg(F.count(F.lit(1)).alias("__rows"))
+    earlier = scan.along("__at", keys).rowsBetween(Window.unboundedPreceding, -1)
+    shift = held.select("__at", F.sum("__rows").over(earlier).alias("__before"))
+    out = ranked.join(shift, F.col("__piece") == F.col("__at"), "left")
+    ordinal = F.col("__inside") + F.coalesce("__before", F.lit(0))
+    return out.withColumn(name, ordinal.cast("int")).select(*df.columns, name)
 
 
 def cumulative(df: DataFrame, keys, order: str, x: str, name: str) -> DataFrame:

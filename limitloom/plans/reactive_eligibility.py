@@ -26,6 +26,7 @@ from limitloom.operators import (
     ntile_global,
     running_ordinal,
 )
+from limitloom.operators.scan import PIECE_ROWS
 from limitloom.rulesets import reactive as rules
 from limitloom.rulesets.brands import Brands
 from limitloom.session import durable
@@ -56,10 +57,8 @@ def statement_base(statements: DataFrame) -> DataFrame:
         money("generalInterestCents").alias("general_interest"),
         dollars("summary.account.newBalanceCents").alias("new_balance"),
     ).withColumns({"closing_mth": month_key("close_date"), "active_status": rules.active_status()})
-    # Corrected statements may repeat a month many times, so ranks are taken month by month.
-    rows = running_ordinal(
-        rows, ["account_id", "active_status"], "close_date", "active_order", F.trunc("close_date", "month"), [c("statement_id")]
-    )
+    # Corrected statements may repeat a month many times.
+    rows = running_ordinal(rows, ["account_id", "active_status"], "close_date", "active_order", PIECE_ROWS, ["statement_id"])
     rows = dedupe(rows, ["account_id", "closing_mth"], [c("close_date").desc(), c("statement_id")])
     return rows.withColumns(
         {

@@ -146,7 +146,7 @@ def with_eligibility(funnelled: DataFrame, eligibility: DataFrame, created_after
     """
     cols = ["request_id", "account_id", "created_at", "approve_status", "cli_vintage", "accept_status", "icl_adj", "mob", "icl_bucket", "tu_bucket"]
     recent = funnelled.filter((c("cli_stmt") == 0) & (c("created_at") > F.lit(created_after))).select(*cols)
-    return asof_forward(recent, eligibility, "account_id", "created_at", "adjudicated_at", tiebreak=tiebreak)
+    return asof_forward(recent, eligibility, "account_id", "created_at", "adjudicated_at", tiebreak=tiebreak, own=["request_id"])
 
 
 def reject_reason_counts(adjudicated: DataFrame, brands: Brands, after_vintage: str) -> DataFrame:

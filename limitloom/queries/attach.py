@@ -175,7 +175,7 @@ def lookback_max_dpd(spark, sf_dir):
 def asof_next_event(spark, sf_dir):
     requests = standin(spark, sf_dir, "event_offers").select("request_id", "account_id", "requested_at")
     decisions = standin(spark, sf_dir, "event_decisions")
-    return plain(asof_forward(requests, decisions, "account_id", "requested_at", "adjudicated_at", tiebreak=["decision_id"]))
+    return plain(asof_forward(requests, decisions, "account_id", "requested_at", "adjudicated_at", tiebreak=["decision_id"], own=["request_id"]))
 
 
 @query(

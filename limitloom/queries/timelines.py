@@ -17,6 +17,7 @@ from limitloom.operators import (
     running_ordinal,
     since_event,
 )
+from limitloom.operators.scan import PIECE_ROWS
 from limitloom.plans import vintage_tracker as vt
 from limitloom.queries.registry import query
 from limitloom.queries.shape import plain, steady_sql
@@ -93,7 +94,7 @@ def account_history(spark, sf_dir):
 )
 def running_ordinal_query(spark, sf_dir):
     events = standin(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    out = running_ordinal(events, ["user_id", "event_type"], "ts", "ordinal", bucket=F.to_date("ts"), tiebreak=[c("event_id")])
+    out = running_ordinal(events, ["user_id", "event_type"], "ts", "ordinal", PIECE_ROWS, ["event_id"])
     return plain(out.drop("ts").withColumn("ordinal", c("ordinal").cast("bigint")))
 
 

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from limitloom import operators as op
+from limitloom.operators import scan
 from limitloom.sources import append_audience, conform, load, nested, replace_table, run_sql, session_view, stitch_history, to_records
 
 D, T = dt.date, dt.datetime
@@ -68,9 +69,10 @@ def brute_next(left, right, strict):
 
 
 @pytest.mark.parametrize("strict", [True, False])
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@pytest.mark.parametrize("piece_rows", [1 << 20, 3])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(seed=st.integers(0, 10_000))
-def test_asof_forward_equals_brute_force(spark, strict, seed):
+def test_asof_forward_equals_brute_force(spark, strict, piece_rows, seed):
     rng = random.Random(seed)
     at = lambda: None if rng.random() < 0.05 else T(2024, 1, 1) + dt.timedelta(hours=rng.randrange(24 * 6) // 3 * 3)
     # One key holds about half of the rows, and times repeat on both sides.
@@ -79,7 +81,7 @@ def test_asof_forward_equals_brute_force(spark, strict, seed):
     right = [(i, key(), at()) for i in range(30)]
     l = spark.createDataFrame(left, "lid int, k string, t timestamp")
     r = spark.createDataFrame(right, "rid int, k string, u timestamp")
-    got = op.asof_forward(l, r, "k", "t", "u", strict=strict, tiebreak=["rid"])
+    got = op.asof_forward(l, r, "k", "t", "u", strict=strict, tiebreak=["rid"], piece_rows=piece_rows)
     assert sorted((x["lid"], x["rid"]) for x in got.collect()) == brute_next(left, right, strict)
 
 
@@ -106,20 +108,29 @@ def test_compare_groups(frame):
     assert listed(left, "k", "m_r", "m_n") == [("a", 3.0, 1.0), ("b", 5.0, None)]
 
 
-def test_running_ordinal_in_pieces_equals_plain(spark):
+@pytest.mark.parametrize("piece_rows", [1, 5, 70, 1 << 20])
+def test_running_ordinal_in_pieces_equals_plain(spark, piece_rows):
     rng = random.Random(7)
-    rows = [(i, rng.choice("aab"), D(2024, 1, 1) + dt.timedelta(days=rng.randrange(90))) for i in range(300)]
+    rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice([None, D(2024, 1, 1), D(2024, 1, 1) + dt.timedelta(days=rng.randrange(90))])) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, k string, d date")
-    tie = [F.col("id")]
-    plain = op.running_ordinal(df, "k", "d", "n", tiebreak=tie)
-    cut = op.running_ordinal(df, "k", "d", "n", bucket=F.trunc("d", "month"), tiebreak=tie)
-    assert listed(plain, "id", "n") == listed(cut, "id", "n")
+    plain = op.running_ordinal(df, "k", "d", "n", tiebreak=["id"])
+    cut = op.running_ordinal(df, "k", "d", "n", piece_rows, ["id"])
+    assert listed(plain, "id", "n") == listed(cut, "id", "n") and cut.dtypes == plain.dtypes
 
 
 def test_running_ordinal_keeps_null_keys(frame):
     df = frame("k string, d date", (None, D(2024, 1, 1)), (None, D(2024, 3, 1)), ("a", None))
-    got = op.running_ordinal(df, "k", "d", "n", bucket=F.trunc("d", "month"))
-    assert listed(got, "k", "d", "n") == [("a", None, 1), (None, D(2024, 1, 1), 1), (None, D(2024, 3, 1), 2)]
+    for piece_rows in (1, 1 << 20):
+        got = op.running_ordinal(df, "k", "d", "n", piece_rows)
+        assert listed(got, "k", "d", "n") == [("a", None, 1), (None, D(2024, 1, 1), 1), (None, D(2024, 3, 1), 2)]
+
+
+def test_cuts_are_looked_up_over_several_shelves(spark):
+    df = spark.range(3000).select(F.lit("a").alias("k"), F.col("id").alias("t"))
+    cut = scan.cut(df, ["k"], ["t"], 10)
+    pieces = cut.groupBy("__piece.at").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n")).orderBy("at").collect()
+    assert len(pieces) == 300 and [p.at for p in pieces] == list(range(300))
+    assert all(p.n == 10 and p.lo == 10 * p.at and p.hi == p.lo + 9 for p in pieces)
 
 
 def test_cumulative_skips_missing(frame):

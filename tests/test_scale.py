@@ -8,6 +8,7 @@ from conftest import listed, plan_of
 from pyspark.sql import functions as F
 
 from limitloom import operators as op
+from limitloom.operators import scan
 from limitloom.plans import vintage_tracker
 from limitloom.queries.catalogue import QUERIES
 from limitloom.session import build_session, durable, run_folder, shared_folder, sized_for
@@ -65,27 +66,44 @@ def test_hot_key_join_is_split(spark, hot):
             spark.conf.unset(k)
 
 
-def test_asof_spreads_a_hot_key_over_its_days(no_broadcast, hot):
-    left = hot.filter("id % 2 = 0").withColumnRenamed("id", "lid")
-    right = hot.filter("id % 2 = 1").select(F.col("id").alias("rid"), "account_id", F.col("ts").alias("rts"))
-    out = op.asof_forward(left, right, "account_id", "ts", "rts", tiebreak=["rid"])
+@pytest.fixture
+def crowded(spark):
+    """60,000 event rows, a third of them on one account and one day, a tenth of all at a single instant of it."""
+    account = F.when(F.col("id") % 3 == 0, 0).otherwise(1 + F.col("id") % 997)
+    second = F.when(F.col("id") % 3 == 0, F.when(F.col("id") % 10 < 3, 500).otherwise((F.col("id") * 7919) % 86400)).otherwise((F.col("id") * 7919) % 2592000)
+    return spark.range(60_000).repartition(8).select("id", account.alias("account_id"), F.timestamp_seconds(F.lit(1704067200) + second).alias("ts"))
+
+
+def test_pieces_of_a_crowded_key_are_even(no_broadcast, crowded):
+    cut = scan.cut(crowded, ["account_id"], ["ts", "id"], 1000)
+    held = cut.filter("__split").groupBy("__piece").count()
+    most, pieces = held.agg(F.max("count"), F.count("*")).first()
+    assert most < 3000 and pieces >= 10 and held.filter("__piece.k0 <> 0").count() == 0
+    assert cut.count() == 60_000
+
+
+def test_asof_spreads_a_crowded_key(no_broadcast, crowded):
+    left = crowded.filter("id % 2 = 0").withColumnRenamed("id", "lid")
+    right = crowded.filter("id % 2 = 1").select(F.col("id").alias("rid"), "account_id", F.col("ts").alias("rts"))
+    out = op.asof_forward(left, right, "account_id", "ts", "rts", tiebreak=["rid"], own=["lid"], piece_rows=1000)
     plan = plan_of(out)
     windows = re.findall(r"windowspecdefinition\(([^)]*?)(?: ASC| DESC)", re.sub(r"#\d+L?", "", plan))
-    # Raw rows are ranked by (account, day) only; the per-account window reads one row per day.
-    assert windows and all(w.startswith("account_id, __piece, ") or w == "account_id, __piece" for w in windows)
-    assert task_rows(hot.withColumn("day", F.to_date("ts")), ["account_id", "day"]) < 60_000 / 3 / 20
-    # Against the per-account answer: the minimum later time.
-    brute = left.join(right, "account_id").filter("rts > ts").groupBy("lid").agg(F.min("rts").alias("want"))
-    wrong = out.join(brute, "lid", "full").filter(~F.col("rts").eqNullSafe(F.col("want")))
-    assert wrong.count() == 0
+    # Raw rows are read by piece; the other window reads one row per piece of the keys that were cut.
+    assert len(windows) >= 2 and all(re.match(r"__piece|__at|_w\d", w) for w in windows)
+    # Against the per-account answer: the minimum later time, and the smallest id at it.
+    brute = left.join(right, "account_id").filter("rts > ts").groupBy("lid").agg(F.min(F.struct("rts", "rid")).alias("want"))
+    wrong = out.join(brute, "lid", "full").filter(~(F.col("rts").eqNullSafe(F.col("want.rts")) & F.col("rid").eqNullSafe(F.col("want.rid"))))
+    assert out.count() == 30_000 and wrong.count() == 0
 
 
-def test_running_ordinal_of_a_hot_key(no_broadcast, hot):
-    out = op.running_ordinal(hot, "account_id", "ts", "n", bucket=F.to_date("ts"), tiebreak=[F.col("id")])
+def test_running_ordinal_of_a_crowded_key(no_broadcast, crowded):
+    out = op.running_ordinal(crowded, "account_id", "ts", "n", 1000, ["id"])
     ranks = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*?) ASC", re.sub(r"#\d+L?", "", plan_of(out)))
     assert ranks and all("__piece" in r for r in ranks)
     checks = out.groupBy("account_id").agg(F.max("n").alias("top"), F.count(F.lit(1)).alias("rows"), F.countDistinct("n").alias("kinds"))
     assert checks.filter("top <> rows or kinds <> rows").count() == 0
+    plain = op.running_ordinal(crowded, "account_id", "ts", "n", tiebreak=["id"])
+    assert out.exceptAll(plain).count() == 0
 
 
 def test_group_total_has_partial_sums(no_broadcast, hot):
