@@ -31,6 +31,8 @@ from limitloom.operators.windows import (
     first_event_month,
     group_total,
     lags,
+    month_index,
+    month_number,
     running_ordinal,
     since_event,
 )
@@ -62,6 +64,8 @@ __all__ = [
     "latest_per_key",
     "lookback_max",
     "mean_then_sum",
+    "month_index",
+    "month_number",
     "member_flag",
     "ntile_global",
     "pivot_months",

@@ -91,6 +91,26 @@ def first_event_month(df: DataFrame, keys, event: Column, month: str, name: str,
     return group_value(df, keys, first, name)
 
 
+def month_number(d) -> Column:
+    """Months since year 0."""
+    return F.year(d) * 12 + F.month(d) - 1
+
+
+def month_index(rows: DataFrame, key: str, event: Column, month: str, years: tuple[int, int]) -> DataFrame:
+    """Where each key's next ``event`` month lies, as an index to look up by key and year.
+
+    A row per key that has such a month and per year: ``first`` the earliest one, ``following`` for each of the year's
+    twelve months the first one after it, ``last`` the key's last month with a row. Months are numbers (`month_number`).
+    """
+    at = month_number(month)
+    hits = F.array_sort(F.collect_set(F.when(event, at)))
+    known = rows.groupBy(key).agg(hits.alias("__hits"), F.max(at).alias("last")).filter(F.size("__hits") > 0)
+    paged = known.withColumns({"first": F.element_at("__hits", 1), "year": F.explode(F.sequence(F.lit(years[0]), F.lit(years[1])))})
+    after = lambda m: F.try_element_at(F.filter("__hits", lambda h: h > m), F.lit(1))
+    following = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: after(F.col("year") * 12 + i))
+    return paged.select(key, "year", "first", following.alias("following"), "last")
+
+
 def since_event(df: DataFrame, month: str, event_month: str, name: str, after: int = 0) -> DataFrame:
     """Months since the event month, rows later than ``after`` months only."""
     age = month_diff(month_start(event_month), month_start(month))

@@ -20,14 +20,15 @@ from limitloom.operators import (
     count_of_counts,
     cumulative,
     cut_points,
-    first_event_month,
     mean_then_sum,
     member_flag,
-    since_event,
+    month_index,
+    month_number,
 )
 from limitloom.plans.vintage_tracker import attach_months, vintage_panel, weighted_mean, weighted_sum
 from limitloom.rulesets import cuts
 from limitloom.rulesets.brands import Brands
+from limitloom.session import durable
 from limitloom.sources import stitch_history
 
 c = F.col
@@ -95,19 +96,27 @@ def backtest(
     qualifying month among months after the offer; both readings are in use and they
     differ when an account qualified before its offer. Offers of one account and day are
     counted in ``n_offers`` and followed once.
+
+    Offers look the month up in an index by account and year, and only the months after it are unfolded
+    and met, so no offer meets its account's whole history.
     """
     monthly = performance.filter(c("brand").isin(*brand_codes)).select("account_id", "stmt_mth", "brand", "card_type", "tu_band", "raim")
     history = _senior(stitch_history(backfill, live, "reference_date", cutoff))
-    # Scores meet the monthly rows before offers multiply them.
     monthly = attach_on_day(monthly.withColumn("__first", month_start("stmt_mth")), history, "account_id", "__first", "reference_date", "inner")
-    monthly = monthly.filter(c("senior_score").isNotNull()).drop("__first", "reference_date")
+    # both the index and the months after it are read from here
+    monthly = durable(monthly.filter(c("senior_score").isNotNull()).withColumn("backtest_flag", cuts.backtest_flag()).drop("reference_date"), "scored-months")
     followed = offers.groupBy("account_id", "offer_date", "accepted_flag").agg(F.count(F.lit(1)).alias("n_offers"))
-    rows = attach(followed, monthly, "account_id", "inner")
-    rows = rows.withColumns({"cli_stmt": month_diff("offer_date", month_start("stmt_mth")), "backtest_flag": cuts.backtest_flag()})
-    if only_after_offer:
-        rows = rows.filter(c("cli_stmt") > 0)
-    rows = first_event_month(rows, ["account_id", "offer_date"], c("backtest_flag"), "stmt_mth", "risk_mth", one_per_month=True)
-    return since_event(rows, "stmt_mth", "risk_mth", "risk_stmt")
+    low, high = offers.agg(F.min(F.year("offer_date")), F.max(F.year("offer_date"))).first()
+    low, high = (0, 0) if low is None else (low, high)
+    index = month_index(monthly, "account_id", c("backtest_flag"), "__first", (low, high))
+    followed = followed.withColumn("__year", F.coalesce(F.year("offer_date"), F.lit(low)))
+    rows = attach(followed, index, ["account_id", ("__year", "year")], "inner")
+    risk = F.get("following", F.month("offer_date") - 1) if only_after_offer else c("first")
+    rows = rows.withColumn("__risk", risk).filter(c("__risk") < c("last")).withColumn("__m", F.explode(F.sequence(c("__risk") + 1, c("last"))))
+    rows = attach(rows, monthly.withColumn("__at", month_number("__first")), ["account_id", ("__m", "__at")], "inner")
+    day = F.make_date(F.floor(c("__risk") / 12).cast("int"), c("__risk") % 12 + 1, F.lit(1))
+    rows = rows.withColumns({"cli_stmt": month_diff("offer_date", "__first"), "risk_mth": month_key(day), "risk_stmt": c("__m") - c("__risk")})
+    return rows.drop("__year", "first", "following", "last", "__risk", "__m", "__first")
 
 
 def tranche_risk_mix(offers: DataFrame, performance: DataFrame, backfill: DataFrame, live: DataFrame, cutoff: dt.datetime, brand: str) -> DataFrame:

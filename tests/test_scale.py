@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from limitloom import operators as op
 from limitloom.operators import scan
-from limitloom.plans import vintage_tracker
+from limitloom.plans import score_studies, vintage_tracker
 from limitloom.queries.catalogue import QUERIES
 from limitloom.session import build_session, durable, run_folder, shared_folder, sized_for
 from limitloom.sources import replace_table
@@ -182,3 +182,31 @@ def test_sizing_follows_the_data():
     big = sized_for(100 << 40, cores=4000)
     assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (128 << 20)
     assert sized_for(1, cores=8)["spark.sql.shuffle.partitions"] == "24"
+
+
+@pytest.mark.parametrize("name", ["backtest_all_months", "backtest_after_offer"])
+def test_back_test_never_joins_on_the_account_alone(no_broadcast, name):
+    plan = re.sub(r"#\d+L?", "", plan_of(QUERIES[name](no_broadcast, DIR)))
+    joins = re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin)[^\[]*\[([^\]]*)\]", plan)
+    assert len(joins) == 2 and all(len(keys.split(", ")) == 2 for keys in joins), joins
+
+
+def test_a_hot_account_in_the_back_test(no_broadcast):
+    """20,000 offer days of one account: each meets the months after its risk month only."""
+    spark = no_broadcast
+    perf = spark.range(48).select(F.lit(1).alias("account_id"), F.date_format(F.add_months(F.lit(dt.date(2020, 1, 1)), F.col("id").cast("int")), "yyyy-MM").alias("stmt_mth"),
+        F.lit("CORE").alias("brand"), F.lit("WORLD_ELITE").alias("card_type"), F.lit("3. PRIME").alias("tu_band"), F.lit(1).alias("raim"))
+    scores = perf.select("account_id", F.to_timestamp(F.concat("stmt_mth", F.lit("-01"))).alias("reference_date"), F.when(F.col("stmt_mth").isin("2021-03", "2022-12"), 1.0).otherwise(0.0).alias("prediction"))
+    offers = spark.range(20_000).select(F.lit(1).alias("account_id"), F.expr("date_add(date '2019-06-01', cast(id % 1600 as int))").alias("offer_date"), F.lit(1).alias("accepted_flag"))
+    number = lambda m: int(m[:4]) * 12 + int(m[5:7])
+    months, days = [r[0] for r in perf.select("stmt_mth").collect()], offers.groupBy("offer_date").count().collect()
+    for after in (False, True):
+        out = score_studies.backtest(offers, perf, scores, scores, dt.datetime(2021, 1, 1), ["CORE"], after)
+        got = {(r.offer_date, r.stmt_mth): (r.risk_mth, r.risk_stmt, r.n_offers, r.cli_stmt) for r in out.collect()}
+        want = {}
+        for day, n in days:
+            risks = [m for m in ("2021-03", "2022-12") if not after or m > f"{day:%Y-%m}"]
+            for mth in months if risks else ():
+                if mth > risks[0]:
+                    want[day, mth] = (risks[0], number(mth) - number(risks[0]), n, number(mth) - day.year * 12 - day.month)
+        assert got == want
