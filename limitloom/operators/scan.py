@@ -42,6 +42,11 @@ def cuts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], piece_rows:
     return durable(starts.select("__of", shelves.alias("shelves")), "cuts")
 
 
+def long_keys(rows: DataFrame, keys: Sequence[str], order: Sequence[str], piece_rows: int = PIECE_ROWS) -> bool:
+    """Whether any key has more rows than a piece."""
+    return bool(cuts(rows, keys, order, piece_rows).limit(1).count())
+
+
 def _nth_piece(order: Sequence[str]) -> Column:
     """Number of cuts at or before a row; a struct keeps the row's place from being built twice per lambda."""
     here = F.col("__place")

@@ -1,32 +1,23 @@
 """The reactive eligibility table: one adjudicated row per account with a recent statement.
 
 History is needed only for ordinals and lags. Those run on the statement table, then the
-frame is cut to the latest statement of each account, and every later step attaches
-one-row-per-key snapshots to it. The daily table, which several rules read, is reduced to
-one row per account in a single pass.
+frame is cut to the latest statement of each account. The side tables are laid out as one tall
+frame per key (account, user), aggregated once and attached once. The daily table, which several
+rules read, is reduced to one row per account in a single pass.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limitloom.functions import as_date, cond_count, dollars, flag, floor_at_zero, mob, month_key, safe_ratio
-from limitloom.operators import (
-    attach,
-    dedupe,
-    exclude,
-    fallback_fill,
-    lags,
-    latest_per_key,
-    member_flag,
-    ntile_global,
-    running_ordinal,
-)
-from limitloom.operators.scan import PIECE_ROWS
+from limitloom.functions import as_date, dollars, flag, floor_at_zero, mob, month_key, safe_ratio
+from limitloom.operators import attach, dedupe, lags, latest_per_key, ntile_global, running_ordinal, scan
+from limitloom.operators.dedupe import sortable_columns
+from limitloom.operators.star import Side, gather, newest
 from limitloom.rulesets import reactive as rules
 from limitloom.rulesets.brands import Brands
 from limitloom.session import durable
@@ -57,9 +48,13 @@ def statement_base(statements: DataFrame) -> DataFrame:
         money("generalInterestCents").alias("general_interest"),
         dollars("summary.account.newBalanceCents").alias("new_balance"),
     ).withColumns({"closing_mth": month_key("close_date"), "active_status": rules.active_status()})
-    # Corrected statements may repeat a month many times.
-    rows = running_ordinal(rows, ["account_id", "active_status"], "close_date", "active_order", PIECE_ROWS, ["statement_id"])
+    # One exchange by account serves the ordinals, the months, the lags, the latest statement and the joins by account
+    # that follow. Corrected statements may repeat a month many times: a long account is numbered in pieces, before it.
+    whole = not scan.long_keys(rows, ["account_id"], ["close_date", "statement_id"])
+    rows = rows.repartition("account_id") if whole else rows
+    rows = running_ordinal(rows, ["account_id", "active_status"], "close_date", "active_order", None if whole else scan.PIECE_ROWS, ["statement_id"])
     rows = dedupe(rows, ["account_id", "closing_mth"], [c("close_date").desc(), c("statement_id")])
+    rows = rows if whole else rows.repartition("account_id")
     return rows.withColumns(
         {
             "open_to_buy": c("credit_limit") - c("new_balance"),
@@ -72,9 +67,7 @@ def statement_base(statements: DataFrame) -> DataFrame:
 
 def statement_features(base: DataFrame) -> DataFrame:
     """Three months of lagged balances, payments and flags; account type; payment ratio."""
-    # A row per account and month from here on: one exchange by account serves the lags, the
-    # latest statement and the joins by account that follow.
-    rows = base.repartition("account_id").withColumn("util_flag", rules.utilisation_flag())
+    rows = base.withColumn("util_flag", rules.utilisation_flag())
     cols = ["revolver_flag", "util_flag", "new_balance", "payment", "previous_balance"]
     rows = lags(rows, ["account_id", "active_status"], "active_order", cols)
     rows = rows.withColumn("consistent_type", rules.consistent_type())
@@ -95,129 +88,191 @@ def latest_statements(features: DataFrame) -> DataFrame:
     return latest_per_key(features, "account_id", "closing_mth", [])
 
 
-def with_bureau(rows: DataFrame, bureau: DataFrame) -> DataFrame:
-    """Bureau attributes of the statement's month, column by column from the latest report where missing."""
+def _ties(df: DataFrame, *keys: str) -> list[str]:
+    return sortable_columns(df, keys)
+
+
+def bureau_side(bureau: DataFrame) -> Side:
+    """Reports with the month they were pulled for; the latest counts, equal ones by their values."""
     pulls = bureau.withColumns(
-        {"segment_indicator": c("segment"), "bc34": c("bc34") / 100, "pull_mth": month_key(F.to_date("credit_report_date", "yyyyMMdd"))}
-    ).select("user_id", "created_at", "credit_report_date", "pull_mth", *BUREAU_COLUMNS)
-    monthly = latest_per_key(pulls, ["user_id", "pull_mth"], ["created_at", "credit_report_date"])
-    latest = latest_per_key(monthly, "user_id", ["created_at", "credit_report_date"])
-    rows = attach(rows, monthly.drop("created_at"), ["user_id", ("closing_mth", "pull_mth")])
-    return fallback_fill(rows, latest, "user_id", BUREAU_COLUMNS, follows={"credit_report_date": "score"})
+        {"segment_indicator": c("segment"), "bc34": c("bc34") / 100, "pulled": F.to_date("credit_report_date", "yyyyMMdd")}
+    ).withColumn("pull_mth", month_key("pulled"))
+    keep = {name: c(name) for name in ("credit_report_date", *BUREAU_COLUMNS)}
+    return pulls, {"report": (newest(pulls, ["created_at", "pulled"], ["credit_report_date", *BUREAU_COLUMNS], **keep), F.min)}
+
+
+def user_sides(frames: Mapping[str, DataFrame]) -> list[Side]:
+    """The latest user record and identity document, and what the user holds open without a deposit."""
+    users, accounts, documents = frames["users"], frames["accounts"], frames["id_documents"]
+    user = newest(
+        users, ["created_at"], ["status", "frozen_reason", "tenant_id"],
+        user_status=c("status"), day_end_frozen_reason=c("frozen_reason"), tenant_id=c("tenant_id"), province=c("physicalAddress.province"),
+        field_of_study=rules.student_field_flag(c("employmentInfo.employmentStatus"), c("employmentInfo.fieldOfStudy")),
+        cardmember_type=F.when(c("type") != "TEST", c("type")), email_id=F.when(c("type") != "TEST", F.concat_ws('"', "emails.email")),
+    )
+    unsecured = (c("status") == "OPEN") & c("secured_deposit_id").isNull()
+    document = newest(documents, ["completed_at"], _ties(documents, "user_id", "completed_at"), issued_by=F.coalesce("issuing_country", "id_issuer"))
+    return [
+        (users, {"user": (user, F.min)}),
+        (accounts.filter(unsecured), {"n_unsecured": (F.lit(1), F.sum), "n_world": (flag(c("tier").like("WORLD%")), F.sum)}),
+        (documents, {"document": (document, F.min)}),
+    ]
+
+
+def with_user(rows: DataFrame, frames: Mapping[str, DataFrame]) -> DataFrame:
+    """What is known of the user, and bureau attributes of the statement's month, column by column from the latest report where missing."""
+    # a row per user and report month first, then one per user with the months as a map
+    monthly = gather(["user_id", "pull_mth"], [bureau_side(frames["bureau"]), *user_sides(frames)])
+    by_month = F.map_from_entries(F.collect_list(F.when(c("pull_mth").isNotNull() & c("report").isNotNull(), F.struct("pull_mth", "report"))))
+    users = monthly.groupBy("user_id").agg(
+        F.min("report").alias("latest"), by_month.alias("reports"), F.min("user").alias("user"), F.min("document").alias("document"),
+        F.sum("n_unsecured").alias("n_unsecured"), F.sum("n_world").alias("n_world"),
+    )
+    rows = attach(rows, users, "user_id").withColumn("report", F.try_element_at("reports", c("closing_mth")))
+    filled = [F.coalesce(c("report")[x], c("latest")[x]).alias(x) for x in BUREAU_COLUMNS]
+    # a pull date travels with the score it dates
+    pulled = F.when(c("report.score").isNull(), c("latest.credit_report_date")).otherwise(c("report.credit_report_date"))
+    user = ("user_status", "day_end_frozen_reason", "tenant_id", "province", "field_of_study", "cardmember_type", "email_id")
+    known = [*[c("user")[x].alias(x) for x in user], c("document.issued_by").alias("issued_by"), pulled.alias("credit_report_date"), *filled]
+    return rows.select("*", *known).drop("report", "reports", "latest", "user", "document")
+
+
+# Pairs of a status and a charge-off reason that are broadcast at most; there are a handful.
+STATUS_PAIRS = 10_000
 
 
 def daily_summary(account_daily: DataFrame, as_of: dt.date) -> DataFrame:
-    """What the rules need of the daily table, per unsecured account, in one pass.
+    """What the rules need of the daily table, per unsecured account, in one pass of hash aggregates.
 
-    ``max_by`` over a (time, tie-break) key keeps a record's fields together; partial
-    results are merged on the map side, so no account is gathered whole.
+    Everything compared or carried is a number of fixed width: a day and a count share a long, and texts
+    travel as the hash of their pair, which a small table of the pairs that occur turns back. Records of
+    one day are told apart by days past due, then by a hash of their values.
     """
     rows = account_daily.filter(c("sub_product") == "UNSECURED")
-    late = c("days_past_due") > 0
-    record = F.struct(
-        c("credit_limit").alias("day_end_limit"),
-        c("account_status").alias("day_end_status"),
-        c("days_past_due").alias("day_end_dpd"),
-        c("charged_off_reason").alias("day_end_charge_off"),
-    )
+    late, late_days = c("days_past_due") > 0, c("days_past_due")
+    pack = lambda high, low: F.shiftleft(high.cast("long"), 32) + low.cast("long")
+    high = lambda name: F.shiftright(name, 32).cast("int")
+    low = lambda name: c(name).bitwiseAND(0xFFFFFFFF).cast("int")
+    day, pair = F.unix_date("reference_date"), F.xxhash64("account_status", "charged_off_reason")
+    # day (from 1970), days past due up to 2**14 (missing lowest), and 31 bits of the record's hash
+    told = F.shiftleft(day.cast("long"), 45) + F.shiftleft(F.least(F.coalesce(late_days + 1, F.lit(0)), F.lit(16383)).cast("long"), 31)
+    order = told + F.xxhash64("credit_limit", "account_status", "charged_off_reason").bitwiseAND(0x7FFFFFFF)
     window = (c("reference_date") <= F.lit(as_of)) & (c("reference_date") > F.date_sub(F.lit(as_of), 100))
     out = rows.groupBy("account_id").agg(
-        F.max_by(record, F.struct("reference_date", "days_past_due", "credit_limit", "account_status", "charged_off_reason")).alias("day_end"),
-        F.max(F.when(late, F.struct("reference_date", "days_past_due"))).alias("last_late"),
-        F.max(F.when(late, F.struct("days_past_due", "reference_date"))).alias("worst"),
-        F.max(F.when(window, c("days_past_due"))).alias("dpd_100_days"),
+        F.max_by("credit_limit", order).alias("day_end_limit"),
+        F.max_by(late_days, order).alias("day_end_dpd"),
+        F.max_by(pair, order).alias("pair"),
+        F.max(F.when(late, pack(day, late_days))).alias("last_late"),
+        F.max(F.when(late, pack(late_days, day))).alias("worst"),
+        F.max(F.when(window, late_days)).alias("dpd_100_days"),
     )
+    pairs = rows.groupBy(c("account_status").alias("day_end_status"), c("charged_off_reason").alias("day_end_charge_off")).count().drop("count")
+    pairs = durable(pairs.withColumn("known_pair", F.xxhash64("day_end_status", "day_end_charge_off")), "status-pairs")
+    out = attach(out, F.broadcast(pairs) if pairs.limit(STATUS_PAIRS + 1).count() <= STATUS_PAIRS else pairs, [("pair", "known_pair")])
     return out.select(
-        "account_id",
-        "day_end.*",
-        c("last_late.reference_date").alias("late_until"),
-        c("last_late.days_past_due").alias("late_dpd"),
-        c("worst.days_past_due").alias("worst_dpd"),
-        F.date_sub(c("worst.reference_date"), c("worst.days_past_due")).alias("worst_from"),
+        "account_id", "day_end_limit", "day_end_status", "day_end_dpd", "day_end_charge_off",
+        F.date_from_unix_date(high("last_late")).alias("late_until"),
+        low("last_late").alias("late_dpd"),
+        high("worst").alias("worst_dpd"),
+        F.date_sub(F.date_from_unix_date(low("worst")), high("worst")).alias("worst_from"),
         "dpd_100_days",
         F.lit("UNSECURED").alias("account_type"),
-    )
+    )
 
 
-def user_status(users: DataFrame) -> DataFrame:
-    newest = latest_per_key(users, "user_id", "created_at", [c("status"), c("frozen_reason"), c("tenant_id")])
-    return newest.select(
-        "user_id",
-        c("status").alias("user_status"),
-        c("frozen_reason").alias("day_end_frozen_reason"),
-        "tenant_id",
-        c("physicalAddress.province").alias("province"),
-        rules.student_field_flag(c("employmentInfo.employmentStatus"), c("employmentInfo.fieldOfStudy")).alias("field_of_study"),
-        F.when(c("type") != "TEST", c("type")).alias("cardmember_type"),
-        F.when(c("type") != "TEST", F.concat_ws('"', "emails.email")).alias("email_id"),
-    )
+def restriction_side(adjustments: DataFrame) -> Side:
+    """Restrictions and reversals, plain and high-risk; a restricted kind an account lacks counts 0 if it has any."""
+    kinds = {"restricted": "CREDIT_LIMIT_RESTRICTION", "risk_restricted": "HRAM_CREDIT_LIMIT_RESTRICTION"}
+    values = {}
+    for name, reason in kinds.items():
+        undone, reversed_name = c("reason") == f"{reason}_REVERSED", name.replace("restricted", "reversed")
+        values |= {
+            f"n_{name}": (flag(c("reason") == reason), F.sum),
+            f"n_{reversed_name}": (flag(undone), F.sum),
+            f"last_{reversed_name}_at": (F.when(undone, c("as_of_ts")), F.max),
+        }
+    return adjustments.filter(c("type") == "CREDIT_LIMIT"), values
 
 
-def unaccepted_decreases(decreases: DataFrame, limit_offers: DataFrame, strategy: str) -> DataFrame:
-    """Decreases of a strategy with no offer accepted after them."""
-    accepted = limit_offers.filter(c("accepted_at").isNotNull()).select("account_id", "accepted_at")
-    return exclude(decreases.filter(c("strategy") == strategy), accepted, "account_id", later_than=("accepted_at", "initiated_at"))
+# Facilities that are broadcast at most; more are joined by shuffle.
+FACILITIES = 1_000_000
 
 
-def restriction_counts(adjustments: DataFrame) -> DataFrame:
-    """Restrictions and reversals per account, plain and high-risk."""
-    kinds = {"restricted": "CREDIT_LIMIT_RESTRICTION", "risk_restricted": "HRAM_CREDIT_LIMIT_RESTRICTION"}
-    aggs = []
-    for name, reason in kinds.items():
-        undone = c("reason") == f"{reason}_REVERSED"
-        reversed_name = name.replace("restricted", "reversed")
-        aggs += [
-            cond_count(c("reason") == reason).alias(f"n_{name}"),
-            cond_count(undone).alias(f"n_{reversed_name}"),
-            F.max(F.when(undone, c("as_of_ts"))).alias(f"last_{reversed_name}_at"),
-        ]
-    return adjustments.filter(c("type") == "CREDIT_LIMIT").groupBy("account_id").agg(*aggs)
+def account_sides(frames: Mapping[str, DataFrame], as_of_ts: Column, blocking: Sequence[str]) -> list[Side]:
+    accounts, decreases, cards, balances = (frames[x] for x in ("accounts", "limit_decreases", "cards", "balances"))
+    facilities = frames["facilities"]
+    facilities = F.broadcast(facilities) if facilities.limit(FACILITIES + 1).count() <= FACILITIES else facilities
+    facility = attach(frames["facility_accounts"], facilities, "facility_id", "inner")
+    recent = F.timestamp_diff("DAY", c("applied_at"), as_of_ts) <= rules.COOL_OFF_DAYS
+    ties = _ties(decreases, "account_id", "initiated_at")
+    cut = newest(decreases, ["initiated_at"], ties, at=c("initiated_at"), cents=c("previous_limit_cents"), dollars=F.expr("previous_limit_cents div 100"))
+    of = lambda strategy, dated: F.when((c("strategy") == strategy) & (c("initiated_at").isNotNull() if dated else c("initiated_at").isNull()), cut)
+    opened = newest(accounts, [], _ties(accounts, "account_id"), opened_on=F.to_date("created_at"), closed_on=F.to_date("close_date"))
+    return [
+        (accounts, {"opened": (opened, F.min)}),
+        (
+            decreases,
+            {
+                "cld_blocked": (flag(c("strategy").isin(*blocking) & recent), F.max),
+                "inactive": (of(rules.INACTIVE_DECREASE, True), F.min),
+                "inactive_undated": (of(rules.INACTIVE_DECREASE, False), F.min),
+                "low_use": (of(rules.LOW_USE_DECREASE, True), F.min),
+            },
+        ),
+        (frames["limit_offers"], {"last_offer_on": (F.to_date("initiated_at"), F.max), "last_accepted": (c("accepted_at"), F.max)}),
+        (cards, {"card": (newest(cards, ["created_at"], _ties(cards, "account_id"), brand=c("brand")), F.min)}),
+        (facility, {"place": (newest(facility, [], _ties(facility, "account_id"), facility=c("name")), F.min)}),
+        (balances, {"balance": (newest(balances, ["created_at"], _ties(balances, "account_id"), cents=c("total_balance_cents")), F.min)}),
+        restriction_side(frames["limit_adjustments"]),
+        (frames["control_group"].filter(c("type") == "CONTROL"), {"prior_control_group": (F.lit(1), F.max)}),
+    ]
+
+
+def with_account(rows: DataFrame, frames: Mapping[str, DataFrame], as_of: dt.date, as_of_ts: Column, blocking: Sequence[str]) -> DataFrame:
+    """Snapshots of the account. A decrease counts while no offer was accepted after it; if the latest is undone, so are the earlier ones."""
+    rows = attach(rows, gather("account_id", account_sides(frames, as_of_ts, blocking)), "account_id")
+    stands = lambda name: c(f"{name}.at").isNotNull() & ~F.coalesce(c("last_accepted") > c(f"{name}.at"), F.lit(False))
+    inactive = F.coalesce(F.when(stands("inactive"), c("inactive.dollars")), c("inactive_undated.dollars"))
+    undone = stands("low_use") & (as_date("low_use.at") >= F.date_sub(F.lit(as_of), 30))
+    return rows.withColumns(
+        {
+            "opened_on": c("opened.opened_on"),
+            "closed_on": c("opened.closed_on"),
+            "brand": c("card.brand"),
+            "facility": c("place.facility"),
+            "latest_balance": dollars("balance.cents"),
+            "old_limit": inactive,
+            "cld_population": flag(stands("inactive") | c("inactive_undated").isNotNull()),
+            "undone_cents": F.when(undone, c("low_use.cents")),
+            "has_undone": flag(undone),
+            "cld_blocked": F.coalesce("cld_blocked", F.lit(0)),
+            "prior_control_group": F.coalesce("prior_control_group", F.lit(0)),
+        }
+    ).drop("opened", "card", "place", "balance", "inactive", "inactive_undated", "low_use", "last_accepted")
 
 
-def eligibility_inputs(frames: Mapping[str, DataFrame], as_of: dt.date, drop_test_users: bool = False) -> DataFrame:
+def eligibility_inputs(frames: Mapping[str, DataFrame], as_of: dt.date, drop_test_users: bool = False, blocking: Sequence[str] = rules.BLOCKING_DECREASES) -> DataFrame:
     """One row per account with a statement closed within a month, with every flag.
 
     ``frames`` holds statements, statement_adb, accounts, bureau, users, account_daily,
     limit_offers, limit_decreases, cards, facility_accounts, facilities, balances,
-    control_group, limit_adjustments. Test users stay in, as in the eligibility log;
-    ``drop_test_users`` takes them out.
+    control_group, limit_adjustments, id_documents. Test users stay in, as in the eligibility log;
+    ``drop_test_users`` takes them out. ``blocking`` names the decrease strategies that block an increase.
+
+    Snapshots are attached once by account, once by statement and once by user.
     """
     # Days are counted from 8:00 on the run date, where the log's clock stands.
     as_of_ts = F.lit(dt.datetime.combine(as_of, dt.time(8))).cast("timestamp")
     rows = latest_statements(statement_features(statement_base(frames["statements"])))
     rows = rows.withColumn("statement_age_months", mob("close_date", as_of)).filter(c("statement_age_months") <= 1)
-    rows = attach(rows, frames["statement_adb"].select("statement_id", dollars("adb").alias("adb")), "statement_id")
-
     # Days on the daily table: the account must be unsecured.
     rows = attach(rows, daily_summary(frames["account_daily"], as_of), "account_id", "inner")
-    opened = dedupe(frames["accounts"], "account_id").select(
-        "account_id", F.to_date("created_at").alias("opened_on"), F.to_date("close_date").alias("closed_on")
-    )
-    rows = attach(rows, opened, "account_id")
-    rows = with_bureau(rows, frames["bureau"])
-    rows = attach(rows, user_status(frames["users"]), "user_id")
+    rows = with_account(rows, frames, as_of, as_of_ts, blocking)
+    rows = attach(rows, frames["statement_adb"].select("statement_id", dollars("adb").alias("adb")), "statement_id")
+    rows = with_user(rows, frames)
     if drop_test_users:
         rows = rows.filter(c("cardmember_type").isNotNull())
 
-    decreases, limit_offers = frames["limit_decreases"], frames["limit_offers"]
-    recent = F.timestamp_diff("DAY", c("applied_at"), as_of_ts) <= rules.COOL_OFF_DAYS
-    blocked = decreases.filter(c("strategy").isin(*rules.BLOCKING_DECREASES) & recent)
-    rows = member_flag(rows, blocked, "account_id", "cld_blocked")
-    inactive = latest_per_key(unaccepted_decreases(decreases, limit_offers, rules.INACTIVE_DECREASE), "account_id", "initiated_at")
-    old_limit = inactive.select("account_id", F.expr("previous_limit_cents div 100").alias("old_limit"))
-    rows = attach(rows, old_limit, "account_id", flag="cld_population")
-    offered = limit_offers.groupBy("account_id").agg(F.max(F.to_date("initiated_at")).alias("last_offer_on"))
-    rows = attach(rows, offered, "account_id")
-
-    brand = latest_per_key(frames["cards"], "account_id", "created_at").select("account_id", "brand")
-    facility = attach(frames["facility_accounts"], frames["facilities"], "facility_id", "inner")
-    facility = dedupe(facility, "account_id").select("account_id", c("name").alias("facility"))
-    balance = latest_per_key(frames["balances"], "account_id", "created_at")
-    balance = balance.select("account_id", dollars("total_balance_cents").alias("latest_balance"))
-    for side in (brand, facility, balance, restriction_counts(frames["limit_adjustments"])):
-        rows = attach(rows, side, "account_id")
-    rows = member_flag(rows, frames["control_group"].filter(c("type") == "CONTROL"), "account_id", "prior_control_group")
-
     rows = rows.withColumns(
         {
             "mob_rounded": F.round(mob("opened_on", "close_date"), 0),
@@ -259,11 +314,8 @@ def eligibility_inputs(frames: Mapping[str, DataFrame], as_of: dt.date, drop_tes
     )
 
 
-def pass_through(inputs: DataFrame, frames: Mapping[str, DataFrame], as_of: dt.date, brands: Brands) -> DataFrame:
-    """Accounts whose low-use decrease of the last 30 days may be undone."""
-    undone = unaccepted_decreases(frames["limit_decreases"], frames["limit_offers"], rules.LOW_USE_DECREASE)
-    undone = undone.filter(as_date("initiated_at") >= F.date_sub(F.lit(as_of), 30))
-    undone = latest_per_key(undone, "account_id", "initiated_at").select("account_id", "previous_limit_cents")
+def pass_through(inputs: DataFrame, brands: Brands) -> tuple[DataFrame, DataFrame]:
+    """Accounts whose low-use decrease of the last 30 days may be undone, with their offer, and the others."""
     gates = (
         (c("not_frozen") == 1)
         & (c("policy_exclusion_flag") == 0)
@@ -273,8 +325,8 @@ def pass_through(inputs: DataFrame, frames: Mapping[str, DataFrame], as_of: dt.d
         & (c("standing") == rules.GOOD_STANDING)
         & (c("last_cli_months").isNull() | (c("last_cli_months") >= 3))
     )
-    rows = attach(inputs.filter(gates), undone, "account_id", "inner")
-    return rows.withColumns(
+    passes = F.coalesce(gates & (c("has_undone") == 1), F.lit(False))
+    rows = inputs.filter(passes).withColumn("previous_limit_cents", c("undone_cents")).withColumns(
         {
             "segment": F.lit("Active CLD"),
             "strategy_type": F.lit("Active CLD"),
@@ -283,11 +335,12 @@ def pass_through(inputs: DataFrame, frames: Mapping[str, DataFrame], as_of: dt.d
             "offer_code": rules.offer_code(brands, F.lit(rules.PASS_THROUGH_CODE)),
         }
     )
+    return rows, inputs.filter(~passes)
 
 
-def standard(inputs: DataFrame, passed: DataFrame, brands: Brands) -> DataFrame:
+def standard(rows: DataFrame, brands: Brands) -> DataFrame:
     """The other accounts: segment, both ladders, an even split between them, offer code."""
-    rows = exclude(inputs, passed, "account_id").withColumn("segment", rules.segment())
+    rows = rows.withColumn("segment", rules.segment())
     rows = rows.withColumns({"cons_limit": rules.conservative_limit(), "agg_limit": rules.aggressive_limit()})
     rows = ntile_global(rows, "account_id", 2)
     rows = rows.withColumns({"new_limit_cents": rules.new_limit_cents(), "eligible": rules.eligible()})
@@ -310,13 +363,9 @@ OUTPUT = (
 )
 
 
-def final_overrides(rows: DataFrame, accounts: DataFrame, id_documents: DataFrame, brands: Brands) -> DataFrame:
+def final_overrides(rows: DataFrame, brands: Brands) -> DataFrame:
     """Partner-brand, multi-account, world-tier and foreign-document accounts lose their offer."""
-    open_unsecured = accounts.filter((c("status") == "OPEN") & c("secured_deposit_id").isNull())
-    held = open_unsecured.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_unsecured"), cond_count(c("tier").like("WORLD%")).alias("n_world"))
-    documents = latest_per_key(id_documents, "user_id", "completed_at")
-    documents = documents.select("user_id", F.coalesce("issuing_country", "id_issuer").alias("issued_by"))
-    rows = attach(attach(rows, held, "user_id"), documents, "user_id").withColumn("override", rules.override(brands))
+    rows = rows.withColumn("override", rules.override(brands))
     kept = c("override").isNull()
     return rows.withColumns(
         {
@@ -325,17 +374,19 @@ def final_overrides(rows: DataFrame, accounts: DataFrame, id_documents: DataFram
             "new_limit_cents": F.when(kept, c("new_limit_cents")).otherwise(F.lit(0).cast("bigint")),
             "offer_code": F.when(kept, c("offer_code")),
         }
-    ).drop("override", "n_unsecured", "n_world", "issued_by")
+    )
 
 
 def eligibility(frames: Mapping[str, DataFrame], as_of: dt.date, brands: Brands, drop_test_users: bool = False) -> DataFrame:
     """The eligibility rows of one run, ready for the audience log.
 
-    The inputs feed the pass-through, its exclusion, the split and the result, so they are
-    stored once: one row per account instead of four runs over the statement history.
+    The inputs hold all that the later steps need and are stored once: the pass-through, the split and the
+    result are filters and columns over one row per account.
     """
-    inputs = durable(eligibility_inputs(frames, as_of, drop_test_users), "eligibility-inputs")
-    passed = pass_through(inputs, frames, as_of, brands)
+    blocking = (*rules.BLOCKING_DECREASES, *brands.blocking_decreases)
+    inputs = durable(eligibility_inputs(frames, as_of, drop_test_users, blocking), "eligibility-inputs")
+    passed, others = pass_through(inputs, brands)
+    columns = [*OUTPUT, "n_unsecured", "n_world", "issued_by"]
     # one row per account on either side and no account on both, so the union has no duplicates
-    both = standard(inputs, passed, brands).select(*OUTPUT).unionByName(passed.select(*OUTPUT))
-    return final_overrides(both, frames["accounts"], frames["id_documents"], brands).select(*OUTPUT)
+    both = standard(others, brands).select(*columns).unionByName(passed.select(*columns))
+    return final_overrides(both, brands).select(*OUTPUT)

@@ -38,7 +38,7 @@ ITEM_SQL = ", ".join(ITEM)
 )
 def latest_per_key_query(spark, sf_dir):
     items = standin(spark, sf_dir, "lineitem").select(*ITEM, "l_shipdate")
-    latest = latest_per_key(items, "l_partkey", "l_shipdate", [c(x) for x in ITEM])
+    latest = latest_per_key(items, "l_partkey", "l_shipdate", [c(x) for x in ITEM], narrow=True)
     return plain(latest.select(*ITEM, F.to_date("l_shipdate").alias("ship_date")))
 
 

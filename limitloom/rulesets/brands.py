@@ -11,12 +11,14 @@ class Brands:
     """``core`` is the house brand, ``partner`` the co-brand that gets no reactive offer.
 
     ``cut_group`` assigns each brand code to a behaviour-cut group of
-    :data:`limitloom.rulesets.cuts.BEHAVIOUR_CUTS`.
+    :data:`limitloom.rulesets.cuts.BEHAVIOUR_CUTS`. ``blocking_decreases`` are the portfolio's own
+    strategy codes of decreases that block an increase.
     """
 
     core: str
     partner: str
     cut_group: Mapping[str, str] = field(default_factory=dict)
+    blocking_decreases: tuple[str, ...] = ()
 
     @property
     def offered(self) -> tuple[str, str]:

@@ -77,14 +77,8 @@ EXCLUSION_RECORDS = (
 )
 NO_HIT, DECEASED = "1. No-Hit", "2. Deceased"
 
-# Decrease strategies that block an increase for 180 days.
-BLOCKING_DECREASES = (
-    "High Risk:[CLDHRM.v4.240422a]",
-    "High Risk:[CLDHRM.v5.241001]",
-    "DELINQUENT_CLD",
-    "CLD_HIGH_RISK",
-    "CLD_DELINQUENCY",
-)
+# Kinds of decreases that block an increase for 180 days; a portfolio adds its campaigns' codes (`Brands.blocking_decreases`).
+BLOCKING_DECREASES = ("DELINQUENT_CLD", "CLD_HIGH_RISK", "CLD_DELINQUENCY")
 INACTIVE_DECREASE, LOW_USE_DECREASE = "INACTIVE_CLD", "LOW-UTIL"
 COOL_OFF_DAYS = 180
 

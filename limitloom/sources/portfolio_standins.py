@@ -223,6 +223,7 @@ def statement_documents(flat: DataFrame) -> DataFrame:
 def portfolio(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The input frames of `limitloom.plans.reactive_eligibility`."""
     known = _with_stored_performance(spark, sf_dir)
+    known["daily_accounts"] = durable(standin(spark, sf_dir, "daily_accounts", known), "daily")
     get = lambda name: standin(spark, sf_dir, name, known)
     users = get("portfolio_users")
     users = users.select(

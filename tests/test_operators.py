@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from limitloom import operators as op
 from limitloom.operators import scan
+from limitloom.operators.star import gather, newest
 from limitloom.sources import append_audience, conform, load, nested, replace_table, run_sql, session_view, stitch_history, to_records
 
 D, T = dt.date, dt.datetime
@@ -108,6 +109,23 @@ def test_compare_groups(frame):
     assert listed(left, "k", "m_r", "m_n") == [("a", 3.0, 1.0), ("b", 5.0, None)]
 
 
+def test_narrowing_first_changes_nothing(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.choice([None, 1, 2, 3]), rng.randrange(5)) for _ in range(80)] + [("void", None, 2), ("void", None, 1)]
+    df = spark.createDataFrame(rows, "k string, t int, x int")
+    assert listed(op.latest_per_key(df, "k", "t")) == listed(op.latest_per_key(df, "k", "t", narrow=True))
+    assert listed(op.latest_per_key(df, "k", ["t", "x"], [])) == listed(op.latest_per_key(df, "k", ["t", "x"], [], narrow=True))
+    one = op.dedupe(df, "k", hashed=True)
+    assert one.count() == 5 and set(listed(one)) <= set(listed(df)) and listed(one) == listed(op.dedupe(df.repartition(5), "k", hashed=True))
+
+
+def test_gather_equals_joins(frame):
+    offers = frame("k string, at date, x int", ("a", D(2024, 1, 1), 1), ("a", D(2024, 2, 1), 2), ("a", D(2024, 2, 1), 1), ("b", None, 5), (None, D(2024, 2, 1), 1))
+    marks = frame("k string, kind string", ("a", "m"), ("c", "m"), ("c", "n"))
+    out = gather("k", [(offers, {"last": (newest(offers, ["at"], ["x"], x=F.col("x")), F.min), "n": (F.lit(1), F.sum)}), (marks, {"m": ((F.col("kind") == "m").cast("int"), F.max)})])
+    assert listed(out.select("k", "last.x", "n", "m")) == [("a", 1, 3, 1), ("b", 5, 1, None), ("c", None, None, 1)]
+
+
 @pytest.mark.parametrize("piece_rows", [1, 5, 70, 1 << 20])
 def test_running_ordinal_in_pieces_equals_plain(spark, piece_rows):
     rng = random.Random(7)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from limitloom import operators as op
 from limitloom.operators import scan
-from limitloom.plans import score_studies, vintage_tracker
+from limitloom.plans import reactive_eligibility, score_studies, vintage_tracker
 from limitloom.queries.catalogue import QUERIES
+from limitloom.queries.registry import AS_OF
 from limitloom.session import build_session, durable, run_folder, shared_folder, sized_for
 from limitloom.sources import replace_table
+from limitloom.sources.portfolio_standins import portfolio
 
 DIR = "/root/testdata/sf0.001"
 
@@ -210,3 +212,21 @@ def test_a_hot_account_in_the_back_test(no_broadcast):
                 if mth > risks[0]:
                     want[day, mth] = (risks[0], number(mth) - number(risks[0]), n, number(mth) - day.year * 12 - day.month)
         assert got == want
+
+
+def test_eligibility_attaches_side_tables_once_per_key(no_broadcast):
+    """29 exchanges, 17 joins and 40 sorts stood in the plan with a join per side table."""
+    frames = {k: durable(v, k) for k, v in portfolio(no_broadcast, DIR).items()}
+    plan = plan_of(reactive_eligibility.eligibility_inputs(frames, AS_OF))
+    assert len(re.findall(r"\bExchange ", plan)) <= 29 // 3 and len(re.findall(r"Join ", plan)) <= 6
+    daily = plan_of(reactive_eligibility.daily_summary(frames["account_daily"], AS_OF))
+    assert "SortAggregate" not in daily and "Sort [" not in daily
+    assert "customer_id" not in daily and "product_type" not in daily
+
+
+def test_latest_row_is_found_by_hash_first(no_broadcast, hot):
+    stored = durable(hot.withColumn("pad", F.lit("x")))
+    plan = plan_of(op.latest_per_key(stored, "account_id", "ts", [F.col("id")], narrow=True))
+    assert "SortAggregate" not in plan and "LeftSemi" in plan and "partial_max(ts" in plan
+    for name in ("latest_per_key",):
+        assert "SortAggregate" not in plan_of(QUERIES[name](no_broadcast, DIR))
