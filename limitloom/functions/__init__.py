@@ -11,6 +11,7 @@ from limitloom.functions.calendar import (
     within_months,
 )
 from limitloom.functions.conditional import cond_count, cond_sum, flag
+from limitloom.functions.documents import at_path, document
 from limitloom.functions.money import ceil_to, clamp, dollars, round_to, safe_ratio, zero_if_null
 from limitloom.functions.rules import Rung, all_of, any_of, band, first_match, ladder
 from limitloom.functions.scores import clean_score, floor_at_zero, score_bucket
@@ -20,6 +21,7 @@ __all__ = [
     "all_of",
     "any_of",
     "as_date",
+    "at_path",
     "band",
     "ceil_to",
     "clamp",
@@ -27,6 +29,7 @@ __all__ = [
     "completed_months",
     "cond_count",
     "cond_sum",
+    "document",
     "dollars",
     "first_match",
     "flag",

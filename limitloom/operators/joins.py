@@ -25,13 +25,24 @@ def _pairs(on: Keys) -> list[tuple[str, str]]:
     return [(k, k) if isinstance(k, str) else tuple(k) for k in on]
 
 
-def attach(left: DataFrame, right: DataFrame, on: Keys, how: str = "left", extra: Column | None = None, flag: str | None = None) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, on: Keys, how: str = "left", extra: Column | None = None, flag: str | None = None, keyless_apart: bool = False) -> DataFrame:
     """Join ``right`` to ``left``; the right key columns are dropped.
 
     ``on`` holds names shared by both sides or ``(left, right)`` pairs. ``extra`` is a
     residual condition inside ON, so on a left join it can exclude a match but never a
     row. ``flag`` adds 1 for a matched row, 0 otherwise.
+
+    ``keyless_apart`` is for left joins with many rows that lack a key: a missing key matches nothing,
+    but would travel to the one partition of missing keys. Such rows pass by the join and are added back.
     """
+    if keyless_apart:
+        if how != "left":
+            raise ValueError("only a left join keeps rows without a key")
+        known = all_of([F.col(l).isNotNull() for l, _ in _pairs(on)])
+        joined = attach(left.filter(known), right, on, how, extra, flag)
+        keyless = left.filter(~known)
+        keyless = keyless.withColumn(flag, F.lit(0)) if flag else keyless
+        return joined.unionByName(keyless, allowMissingColumns=True)
     pairs = _pairs(on)
     renamed = {r: f"__key{i}" for i, (_, r) in enumerate(pairs)}
     side = right.withColumnsRenamed(renamed)

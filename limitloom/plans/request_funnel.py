@@ -30,7 +30,8 @@ def requests_with_offers(requests: DataFrame, limit_offers: DataFrame, as_of: dt
         dollars("limit_cents_at_offer").alias("icl"),
         dollars(c("offered_limit_cents") - c("limit_cents_at_offer")).alias("cli_offer"),
     ).withColumn("offer_key", c("matched_offer_id"))
-    out = attach(requests, offered, [("offer_id", "offer_key")])
+    # most requests may have no offer
+    out = attach(requests, offered, [("offer_id", "offer_key")], keyless_apart=True)
     out = out.withColumns({"approve_status": rules.approve_status("matched_offer_id"), "cli_vintage": month_key("created_at")})
     return out.withColumn("accept_status", rules.offer_status(as_of))
 

@@ -7,9 +7,11 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from limitloom.functions import (
+    at_path,
     ceil_to,
     clamp,
     completed_months,
+    document,
     dollars,
     mob,
     mob_rounded,
@@ -166,6 +168,32 @@ def struct_and_map_paths(spark, sf_dir):
     )
 
 
+_AT = "case when json_valid(document) then try_cast(json_extract_string(document, '{0}') as {1}) end"
+
+
+@query(
+    "variant_paths",
+    cte("event_documents")
+    + f"""select event_id, {_AT.format("$.account.id", "bigint")} as account_id, {_AT.format("$.account.limit", "bigint")} as credit_limit,
+                {_AT.format("$.account.status", "varchar")} as status, {_AT.format("$.account.status", "bigint")} as status_as_number,
+                {_AT.format("$.contacts[1].email", "varchar")} as second_contact, cast(json_valid(document) as integer) as is_document
+         from event_documents""",
+)
+def variant_paths(spark, sf_dir):
+    rows = standin(spark, sf_dir, "event_documents").withColumn("doc", document("document"))
+    return plain(
+        rows.select(
+            "event_id",
+            at_path("doc", "$.account.id", "bigint").alias("account_id"),
+            at_path("doc", "$.account.limit", "bigint").alias("credit_limit"),
+            at_path("doc", "$.account.status", "string").alias("status"),
+            at_path("doc", "$.account.status", "bigint").alias("status_as_number"),
+            at_path("doc", "$.contacts[1].email", "string").alias("second_contact"),
+            c("doc").isNotNull().alias("is_document"),
+        )
+    )
+
+
 @query(
     "derive_and_reuse",
     cte("offers", "accounts")
@@ -298,4 +326,27 @@ def append_then_read(spark, sf_dir):
     path = run_folder(spark, "audience")
     append_audience(audience(spark, sf_dir), dt.datetime(2001, 8, 1, 6), path=path)
     log = spark.read.parquet(path).filter(c("adjudicated_date") == AS_OF)
-    return plain(log.drop("adjudicated_at"))
+    return plain(log.drop("adjudicated_at", "adjudicated_run"))
+
+
+@query(
+    "audience_log",
+    AUDIENCE_SQL.replace(
+        "select * from standard union select * from passed",
+        """, runs as (select * from standard union select * from passed)
+         select *, '2001-08-01' as adjudicated_date, 6 as hour from runs union all
+         select *, '2001-08-01', 18 from runs where segment = 'Active' union all select *, '2001-08-02', 6 from runs where brand = 'BUILDING'""",
+    ),
+)
+def audience_log(spark, sf_dir):
+    """Three runs in the log, one of them written twice: a run that is repeated replaces itself."""
+    path, rows = run_folder(spark, "audience"), audience(spark, sf_dir)
+    for at, run in (
+        (dt.datetime(2001, 8, 1, 6), rows.filter(c("segment") == "Active")),
+        (dt.datetime(2001, 8, 1, 18), rows.filter(c("segment") == "Active")),
+        (dt.datetime(2001, 8, 1, 6), rows),
+        (dt.datetime(2001, 8, 2, 6), rows.filter(c("brand") == "BUILDING")),
+    ):
+        append_audience(run, at, path=path)
+    log = spark.read.parquet(path)
+    return plain(log.withColumn("hour", F.hour("adjudicated_at")).drop("adjudicated_at", "adjudicated_run"))

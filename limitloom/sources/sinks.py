@@ -31,18 +31,26 @@ def replace_table(df: DataFrame, table: str, path: str | None = None, bucket_by:
 
 
 def append_audience(df: DataFrame, adjudicated_at: dt.datetime, table: str | None = None, path: str | None = None) -> None:
-    """Append one adjudication run to the audience log, stamped and partitioned by its day.
+    """Put one adjudication run into the audience log, stamped with its time.
 
-    Later readers that want decisions after some date prune to those partitions.
+    The log is partitioned by day and run. Files are staged and take the place of the run's partition when
+    all are there, so a run that is repeated replaces itself, also by fewer rows or none. Later
+    readers that want decisions after some date prune to those partitions.
     """
     if (table is None) == (path is None):
         raise ValueError("give a table name or a path")
-    stamped = df.withColumn("adjudicated_at", F.lit(adjudicated_at)).withColumn("adjudicated_date", F.to_date("adjudicated_at"))
-    writer = stamped.write.mode("append").format("parquet").partitionBy("adjudicated_date")
+    parts = {"adjudicated_date": f"{adjudicated_at:%Y-%m-%d}", "adjudicated_run": f"{adjudicated_at:%Y%m%d%H%M%S}"}
+    stamped = df.withColumn("adjudicated_at", F.lit(adjudicated_at))
+    placed = stamped.withColumns({name: F.lit(value) for name, value in parts.items()})
     if table:
-        writer.saveAsTable(table)
-    else:
-        writer.save(path)
+        placed.limit(0).write.mode("ignore").format("parquet").partitionBy(*parts).saveAsTable(table)
+        one = ", ".join(f"{name} = '{value}'" for name, value in parts.items())
+        df.sparkSession.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({one}) BY NAME SELECT * FROM {{run}}", run=stamped)
+        return
+    if stamped.limit(1).count():
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format("parquet").partitionBy(*parts).save(path)
+    else:  # a dynamic overwrite without rows would leave the partition as it was
+        stamped.write.mode("overwrite").format("parquet").save("/".join([path, *(f"{name}={value}" for name, value in parts.items())]))
 
 
 def to_records(df: DataFrame) -> DataFrame:

@@ -73,6 +73,16 @@ _VIEWS["event_decisions"] = """
 select event_id as decision_id, user_id as account_id, ts as adjudicated_at, cast(value as decimal(12,2)) as amount
 from {events} where event_type = 'click'"""
 
+# Documents with a path absent in some rows, a list of one or two, and texts that are no document.
+# chr(123) and chr(125) are braces, which name tables here.
+_VIEWS["event_documents"] = """
+select event_id, case when mod(event_id, 41) = 0 then 'no document'
+  else chr(123) || '"account": ' || chr(123) || '"id": ' || cast(user_id as string)
+    || case when event_type = 'view' then '' else ', "limit": ' || cast(mod(event_id, 9000) as string) end
+    || ', "status": "' || event_type || '"' || chr(125) || ', "contacts": [' || chr(123) || '"email": "a' || cast(event_id as string) || '"' || chr(125)
+    || case when mod(event_id, 3) = 0 then ', ' || chr(123) || '"email": "b' || cast(event_id as string) || '"' || chr(125) else '' end || ']' || chr(125) end as document
+from {events}"""
+
 # One applicant per offer. The driver tables have no bureau or status attributes, so these
 # are spread over the offers by remainders of the limit and the offer id, with some missing.
 _VIEWS["applicants"] = """

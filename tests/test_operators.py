@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from limitloom import operators as op
-from limitloom.operators import scan
+from limitloom.operators import scan, split
 from limitloom.operators.star import gather, newest
 from limitloom.sources import append_audience, conform, load, nested, replace_table, run_sql, session_view, stitch_history, to_records
 
@@ -223,6 +223,48 @@ def test_ntile_global_equals_ntile(spark, rows, n):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+@pytest.mark.parametrize("few", [1, 1024])
+def test_ntile_of_wide_ranges_negatives_and_a_missing_id(spark, monkeypatch, few):
+    monkeypatch.setattr(split, "FEW", few)
+    rng = random.Random(5)
+    values = {rng.randrange(-(2**63), 2**63) for _ in range(300)} | {rng.randrange(-500, 500) for _ in range(300)} | {-(2**63), 2**63 - 1, 0, -1}
+    for schema, ids in (
+        ("k bigint", [*values, None]), ("k bigint", [v for v in values if v >= 0]), ("k bigint", range(7000, 7700)),
+        ("k date", [D(2020, 1, 1) + dt.timedelta(days=i * i % 4001) for i in range(60)]),
+        ("k string", ["", "a", *[f"a{'é' * (i % 7)}{i}" for i in range(200)], None]), ("k string", [f"acc-{i:05d}" for i in range(300)]),
+    ):
+        df = spark.createDataFrame([(v,) for v in dict.fromkeys(ids)], schema)
+        df.createOrReplaceTempView("ntile_wide")
+        want = spark.sql("select k, ntile(5) over (order by k nulls first) t from ntile_wide").collect()
+        assert listed(op.ntile_global(df, "k", 5, "t")) == sorted(map(tuple, want), key=repr)
+
+
+def test_ntile_reads_as_much_whatever_the_partitions(spark, monkeypatch):
+    read = []
+    counts = split._counts
+    monkeypatch.setattr(split, "_counts", lambda *a: (read.append(len(out := counts(*a))), out)[1])
+    for n in (2, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            split.tile_starts(spark.range(0, 3_000_000, 7).repartition(n), "id", 4)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+        read.append(-1)
+    first, second = read[: read.index(-1)], read[read.index(-1) + 1 : -1]
+    assert first == second and max(first) <= 257 * 3 and len(first) <= 3
+
+
+def test_rows_without_a_key_pass_by_the_join(frame):
+    left = frame("id int, k string, j string", *[(i, None if i % 10 else "a", "x" if i % 3 else None) for i in range(60)])
+    right = frame("rk string, rj string, v int", ("a", "x", 1), (None, "x", 2), ("a", None, 3))
+    for extra in (None, F.col("id") > 20):
+        plain = op.attach(left, right, [("k", "rk"), ("j", "rj")], extra=extra, flag="hit")
+        apart = op.attach(left, right, [("k", "rk"), ("j", "rj")], extra=extra, flag="hit", keyless_apart=True)
+        assert apart.columns == plain.columns and listed(apart) == listed(plain)
+    with pytest.raises(ValueError, match="left join"):
+        op.attach(left, right, [("k", "rk")], "inner", keyless_apart=True)
+
+
 def test_ntile_global_on_text_ids(spark):
     df = spark.range(501).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
     df.createOrReplaceTempView("ntile_text")

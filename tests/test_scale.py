@@ -13,7 +13,7 @@ from limitloom.plans import reactive_eligibility, score_studies, vintage_tracker
 from limitloom.queries.catalogue import QUERIES
 from limitloom.queries.registry import AS_OF
 from limitloom.session import build_session, durable, run_folder, shared_folder, sized_for
-from limitloom.sources import replace_table
+from limitloom.sources import append_audience, replace_table
 from limitloom.sources.portfolio_standins import portfolio
 
 DIR = "/root/testdata/sf0.001"
@@ -230,3 +230,36 @@ def test_latest_row_is_found_by_hash_first(no_broadcast, hot):
     assert "SortAggregate" not in plan and "LeftSemi" in plan and "partial_max(ts" in plan
     for name in ("latest_per_key",):
         assert "SortAggregate" not in plan_of(QUERIES[name](no_broadcast, DIR))
+
+
+def test_requests_without_an_offer_are_not_shuffled(no_broadcast):
+    spark = no_broadcast
+    requests = durable(spark.range(10_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("offer_id")))
+    offers = durable(spark.range(0, 10_000, 10).select(F.col("id").alias("key"), F.lit(1).alias("x")))
+    out = op.attach(requests, offers, [("offer_id", "key")], keyless_apart=True)
+    assert out.count() == 10_000 and out.filter("x = 1").count() == 1000
+    exchanged = out._jdf.queryExecution().executedPlan()
+    out.collect()
+    plan = plan_of(out)
+    joined, passed = plan.split("== Initial Plan ==")[0].split("SortMergeJoin", 1) if "SortMergeJoin" in plan else ("", plan)
+    assert "Union" in plan and exchanged is not None
+    # the scan that feeds the join reads keyed rows only, and the other branch has no exchange
+    assert "isnotnull(offer_id" in passed and plan.count("Exchange hashpartitioning(offer_id") <= 2
+
+
+def test_audience_log_replaces_a_repeated_run(spark, tmp_path):
+    rows = spark.range(10).select("id", F.lit("a").alias("name"))
+    at, later = dt.datetime(2024, 5, 1, 6), dt.datetime(2024, 5, 1, 18)
+    path = str(tmp_path / "log")
+    for run, when in ((rows, at), (rows.limit(3), later), (rows, at), (rows.filter("id < 4"), at)):
+        append_audience(run, when, path=path)
+        append_audience(run, when, table="limitloom_log")
+    try:
+        for log in (spark.read.parquet(path), spark.table("limitloom_log")):
+            assert {(r[0], r[1]) for r in log.groupBy("adjudicated_at").count().collect()} == {(at, 4), (later, 3)}
+        append_audience(rows.limit(0), at, path=path)
+        append_audience(rows.limit(0), at, table="limitloom_log")
+        for log in (spark.read.parquet(path), spark.table("limitloom_log")):
+            assert log.count() == 3
+    finally:
+        spark.sql("drop table limitloom_log")
