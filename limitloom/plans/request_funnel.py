@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from limitloom.functions import cond_count, dollars, month_diff, month_key
 from limitloom.operators import asof_forward, attach, attach_history, exclude
+from limitloom.plans.population import monthly_margin
 from limitloom.rulesets import offers as rules
 from limitloom.rulesets import reactive
 from limitloom.rulesets.brands import Brands
@@ -37,12 +38,12 @@ def requests_with_offers(requests: DataFrame, limit_offers: DataFrame, as_of: dt
 
 
 def funnel(requested: DataFrame, performance: DataFrame, span: tuple[int, int] | None = None) -> DataFrame:
-    """Requests with the account's monthly rows, months since decision, tenure and buckets.
+    """Requests with the account's unsecured monthly rows, months since decision, tenure and buckets.
 
     ``span=(0, 0)`` keeps the decision month only, as every report below does; the month
     then sits in the join condition and a request meets one monthly row, not its history.
     """
-    monthly = performance.select("account_id", "stmt_mth", "stmt_date", "tu_band", "cl", "booking_date", "dpd_bucket")
+    monthly = monthly_margin(performance).select("account_id", "stmt_mth", "stmt_date", "tu_band", "cl", "booking_date", "dpd_bucket")
     decided = requested.withColumn("decided_on", F.to_date(F.coalesce("accepted_at", "declined_at", "created_at")))
     age = month_diff("decided_on", "stmt_date")
     if span is not None and span[0] == span[1]:

@@ -25,6 +25,7 @@ from limitloom.operators import (
     month_index,
     month_number,
 )
+from limitloom.plans.population import LATER_TENURE, monthly_margin, unsecured_offers
 from limitloom.plans.vintage_tracker import attach_months, vintage_panel, weighted_mean, weighted_sum
 from limitloom.rulesets import cuts
 from limitloom.rulesets.brands import Brands
@@ -60,14 +61,14 @@ def multi_score(
     score hangs on a user found through the account's offers: one row per distinct
     (account, user, strategy), so an account with several strategies repeats.
     """
-    out = offers_with_score(offers, scores)
+    out = offers_with_score(unsecured_offers(offers, LATER_TENURE), scores)
     beh = behaviour.select("account_id", "reference_date", clean_score("model_score").alias("beh_score"))
     out = attach_prev_month(out, beh, "account_id", "offer_date", "reference_date").drop("reference_date")
     users = limit_offers.select("account_id", c("user_id").alias("offer_user_id"), "strategy").distinct()
     out = attach(out, users, "account_id")
     bko = bankruptcy.select("user_id", "reference_date", clean_score("score").alias("bko_score"))
     out = attach_on_month(out, bko, [("offer_user_id", "user_id")], "offer_date", "reference_date").drop("reference_date")
-    monthly = performance.select("account_id", "stmt_mth", "stmt_date", "brand", "tu_band", "raim")
+    monthly = monthly_margin(performance).select("account_id", "stmt_mth", "stmt_date", "brand", "tu_band", "raim")
     out = attach_months(out, monthly, span, "offer_date", "stmt_date").withColumn("cli_stmt", month_diff("offer_date", "stmt_date"))
     return out.withColumns({"bko_cut": cuts.bankruptcy_cut(), "beh_cut": cuts.behaviour_cut(brands)})
 
@@ -100,7 +101,8 @@ def backtest(
     Offers look the month up in an index by account and year, and only the months after it are unfolded
     and met, so no offer meets its account's whole history.
     """
-    monthly = performance.filter(c("brand").isin(*brand_codes)).select("account_id", "stmt_mth", "brand", "card_type", "tu_band", "raim")
+    offers = unsecured_offers(offers, LATER_TENURE)
+    monthly = monthly_margin(performance).filter(c("brand").isin(*brand_codes)).select("account_id", "stmt_mth", "brand", "card_type", "tu_band", "raim")
     history = _senior(stitch_history(backfill, live, "reference_date", cutoff))
     monthly = attach_on_day(monthly.withColumn("__first", month_start("stmt_mth")), history, "account_id", "__first", "reference_date", "inner")
     # both the index and the months after it are read from here
@@ -121,9 +123,10 @@ def backtest(
 
 def tranche_risk_mix(offers: DataFrame, performance: DataFrame, backfill: DataFrame, live: DataFrame, cutoff: dt.datetime, brand: str) -> DataFrame:
     """Share of high-risk accounts among accepted offers, per vintage, in the month after."""
+    offers = unsecured_offers(offers, LATER_TENURE)
     scored = offers_with_score(offers.filter(c("accepted_flag") == 1), stitch_history(backfill, live, "reference_date", cutoff))
     scored = scored.filter(c("senior_score").isNotNull())
-    monthly = performance.filter(c("brand") == brand).select("account_id", F.trunc("stmt_date", "month").alias("__month"))
+    monthly = monthly_margin(performance).filter(c("brand") == brand).select("account_id", F.trunc("stmt_date", "month").alias("__month"))
     next_month = F.add_months(F.trunc("offer_date", "month"), 1)
     rows = attach(scored.withColumn("__month", next_month), monthly, ["account_id", "__month"], "inner")
     grid = rows.groupBy(month_key("offer_date").alias("offer_vintage")).agg(
@@ -141,11 +144,11 @@ class CutStudy:
     """
 
     def __init__(self, offers: DataFrame, scores: DataFrame, performance: DataFrame, risk_accounts: DataFrame, first: str, last: str):
-        kept = offers.filter(month_key("offer_date").between(first, last))
+        kept = unsecured_offers(offers, LATER_TENURE).filter(month_key("offer_date").between(first, last))
         scored = offers_with_score(kept, scores).filter(c("senior_score").isNotNull())
         # Risk rows may repeat an account; here the mark is what counts, so no offer is repeated.
         self.offers = member_flag(scored, risk_accounts, "account_id", "risk")
-        self.performance = performance.select("account_id", "stmt_mth", "stmt_date", "brand", "raim")
+        self.performance = monthly_margin(performance).select("account_id", "stmt_mth", "stmt_date", "brand", "raim")
 
     def _panel(self, labels, **span) -> DataFrame:
         return vintage_panel(self.offers, self.performance, labels, **span)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from limitloom.functions import cond_sum, month_diff, month_floor, month_key
 from limitloom.operators import attach, pivot_months
+from limitloom.plans.population import monthly_margin, unsecured_offers
 
 
 def track(offers: DataFrame, performance: DataFrame, offer_date="offer_date", month="stmt_date", how="left") -> DataFrame:
@@ -74,8 +75,9 @@ def weighted_mean(x: str, name: str) -> Column:
 def margin_by_month(offers: DataFrame, performance: DataFrame) -> DataFrame:
     """Charge-offs and margin of accepted offers by statement month and brand."""
     # No vintage in the result, so offers are counted per account: one exchange less.
-    counted = offers.filter(F.col("accepted_flag") == 1).groupBy("account_id").agg(F.count(F.lit(1)).alias("n_offers"))
-    panel = attach(counted, performance, "account_id")
+    accepted = unsecured_offers(offers).filter(F.col("accepted_flag") == 1)
+    counted = accepted.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_offers"))
+    panel = attach(counted, monthly_margin(performance), "account_id")
     return panel.groupBy("stmt_mth", "brand").agg(
         F.sum("n_offers").alias("offer_rows"), weighted_sum("guco", "guco_sum"), weighted_sum("raim", "raim_sum")
     )
@@ -83,14 +85,16 @@ def margin_by_month(offers: DataFrame, performance: DataFrame) -> DataFrame:
 
 def charge_offs_by_vintage(offers: DataFrame, performance: DataFrame, brand: str, months: Sequence[str]) -> DataFrame:
     """One row per vintage of a brand, one charge-off column per listed month."""
-    panel = vintage_panel(offers.filter(F.col("accepted_flag") == 1), performance).filter(F.col("brand") == brand)
+    accepted = unsecured_offers(offers).filter(F.col("accepted_flag") == 1)
+    panel = vintage_panel(accepted, monthly_margin(performance)).filter(F.col("brand") == brand)
     weighted = panel.withColumn("weighted", F.col("guco") * F.col("n_offers"))
     return pivot_months(weighted, "offer_vintage", "stmt_mth", "weighted", months, "guco_sum")
 
 
 def balance_by_bucket(offers: DataFrame, performance: DataFrame, brand: str, after: str, month: str) -> DataFrame:
     """Balances of a brand in early (B0, B1) and later delinquency buckets, B7 left out."""
-    panel = vintage_panel(offers.filter(F.col("accepted_flag") == 1), performance, span=(0, None))
+    accepted = unsecured_offers(offers).filter(F.col("accepted_flag") == 1)
+    panel = vintage_panel(accepted, monthly_margin(performance), span=(0, None))
     panel = panel.filter((F.col("stmt_mth") > after) & (F.col("stmt_mth") == month))
     bucket, own = F.col("dpd_bucket"), F.col("brand") == brand
     early = bucket.like("%B0%") | bucket.like("%B1%")

@@ -11,10 +11,11 @@ from limitloom.operators import member_flag
 from limitloom.plans import request_funnel as funnel
 from limitloom.plans import score_studies as studies
 from limitloom.plans import vintage_tracker as vt
+from limitloom.plans.population import monthly_margin, unsecured_offers
 from limitloom.queries.registry import AS_OF, query
 from limitloom.queries.rules import BRANDS, JUDGED, OVERRIDE_SQL, overridden
 from limitloom.queries.shape import plain, steady_sql
-from limitloom.queries.vintage import TRACKED, branded_performance
+from limitloom.queries.vintage import GATED, branded_performance
 from limitloom.sources.standins import cte, standin
 
 c = F.col
@@ -40,7 +41,7 @@ funnelled as (
          case when coalesce(b.limit_cents_at_offer / 100.0, p.cl) <= 1500 then '1, <=1.5k ICL' else '2,>1.5k ICL' end as icl_bucket,
          case when p.tu_band in ('1. SUBPRIME', '2. NEAR_PRIME', '3. PRIME') then '1, Low TU' else '2, High TU' end as tu_bucket
   from requests r left join offer_book b on b.offer_id = r.offer_id
-  join wide_performance p on p.account_id = r.account_id
+  join wide_performance p on p.account_id = r.account_id and p.secure_type = 'UNSECURED'
     and datediff('month', cast(coalesce(b.accepted_at, b.declined_at, r.created_at) as date), p.stmt_date) = 0
   where r.created_at < timestamp '2001-07-01 00:00:00')"""
 FUNNEL_VIEWS = ("requests", "offer_book", "wide_performance")
@@ -205,13 +206,13 @@ def eligibility_reasons(spark, sf_dir):
 
 @query(
     "vintage_drilldown",
-    TRACKED
+    GATED
     + """select account_id, offer_id, cast(offer_date as varchar) as offer_date, stmt_mth, cast(guco as double) as guco from tracked
          where accepted_flag = 1 and brand = 'BUILDING' and offer_vintage = '2000-04' and stmt_mth = '2000-08' and guco > 0""",
 )
 def vintage_drilldown(spark, sf_dir):
-    offers = standin(spark, sf_dir, "offers").filter((c("accepted_flag") == 1) & (c("offer_mth") == "2000-04"))
-    perf = branded_performance(spark, sf_dir).filter((c("brand") == "BUILDING") & (c("stmt_mth") == "2000-08") & (c("guco") > 0))
+    offers = unsecured_offers(standin(spark, sf_dir, "offers")).filter((c("accepted_flag") == 1) & (c("offer_mth") == "2000-04"))
+    perf = monthly_margin(branded_performance(spark, sf_dir)).filter((c("brand") == "BUILDING") & (c("stmt_mth") == "2000-08") & (c("guco") > 0))
     tracked = vt.track(offers.select("account_id", "offer_id", "offer_date"), perf, how="inner")
     return plain(tracked.select("account_id", "offer_id", "offer_date", "stmt_mth", "guco").orderBy("offer_date"))
 
@@ -229,14 +230,14 @@ def vintage_drilldown(spark, sf_dir):
            left join users u on u.account_id = o.account_id
            left join bankruptcy_history k on k.user_id = u.user_id and left(cast(k.reference_date as varchar), 7) = o.offer_mth
            join wide_performance p on p.account_id = o.account_id and datediff('month', o.offer_date, p.stmt_date) = 1
-           where o.accepted_flag = 1 and s.prediction >= 0.7)
+           where o.accepted_flag = 1 and s.prediction >= 0.7 and o.sub_product = 'UNSECURED' and o.cli_mob > 6 and p.secure_type = 'UNSECURED')
          select offer_mth as offer_vintage, 'high risk' as high_risk_flag, avg(model_score) as avg_beh, avg(score) as avg_bko
          from scored group by offer_mth""",
 )
 def multi_score_averages(spark, sf_dir):
     known = {}
     get = lambda name: standin(spark, sf_dir, name, known)
-    offers = get("offers").select("account_id", "offer_date", "accepted_flag")
+    offers = get("offers").select("account_id", "offer_date", "accepted_flag", "sub_product", "cli_mob")
     args = [get(n) for n in ("offer_scores", "wide_performance", "behaviour_history", "sent_offers", "bankruptcy_history")]
     return plain(studies.average_scores(studies.multi_score(offers, *args, BRANDS, span=(1, 1))))
 
@@ -262,7 +263,7 @@ BACKTEST = (
            from offers o join wide_performance p on p.account_id = o.account_id
            join (select account_id, reference_date, case when reference_date <= timestamp '1999-06-30 00:00:00' then prediction / 2 else prediction end as prediction
                  from month_scores) s on s.account_id = p.account_id and cast(s.reference_date as date) = cast(p.stmt_mth || '-01' as date)
-           where p.brand in ('BUILDING', 'FURNITURE') and {0}),
+           where p.brand in ('BUILDING', 'FURNITURE') and o.sub_product = 'UNSECURED' and o.cli_mob > 6 and p.secure_type = 'UNSECURED' and {0}),
          marked as (select *, min(case when hit then stmt_date end) over (partition by account_id, offer_date) as risk_date from rows0)
          select brand, cast(datediff('month', risk_date, stmt_date) as bigint) as risk_stmt, cast(count(*) as bigint) as n, cast(sum(raim) as double) as raim
          from marked where datediff('month', risk_date, stmt_date) > 0 group by 1, 2"""
@@ -289,7 +290,7 @@ def backtest_after_offer(spark, sf_dir):
          join (select account_id, reference_date, case when reference_date <= timestamp '1999-06-30 00:00:00' then prediction / 2 else prediction end as prediction
                from offer_scores) s on s.account_id = o.account_id and cast(s.reference_date as date) = o.offer_date
          join wide_performance p on p.account_id = o.account_id and datediff('month', o.offer_date, p.stmt_date) = 1
-         where o.accepted_flag = 1 and p.brand = 'BUILDING' group by o.offer_mth""",
+         where o.accepted_flag = 1 and p.brand = 'BUILDING' and o.sub_product = 'UNSECURED' and o.cli_mob > 6 and p.secure_type = 'UNSECURED' group by o.offer_mth""",
 )
 def tranche_risk_mix(spark, sf_dir):
     known = {}
@@ -302,7 +303,7 @@ def tranche_risk_mix(spark, sf_dir):
 def study(spark, sf_dir):
     known = {}
     get = lambda name: standin(spark, sf_dir, name, known)
-    offers = get("offers").select("account_id", "offer_id", "offer_date", "accepted_flag")
+    offers = get("offers").select("account_id", "offer_id", "offer_date", "accepted_flag", "sub_product", "cli_mob")
     return studies.CutStudy(offers, get("offer_scores"), get("wide_performance"), get("marked_accounts"), "1997-07", "2000-06")
 
 
@@ -314,7 +315,7 @@ STUDY = (
                   datediff('month', o.offer_date, p.stmt_date) as cli_stmt,
                   case when o.account_id in (select account_id from marked_accounts) then 1 else 0 end as risk
            from offers o join offer_scores s on s.account_id = o.account_id and cast(s.reference_date as date) = o.offer_date
-           join wide_performance p on p.account_id = o.account_id where o.offer_mth between '1997-07' and '2000-06')"""
+           join wide_performance p on p.account_id = o.account_id where o.offer_mth between '1997-07' and '2000-06' and o.sub_product = 'UNSECURED' and o.cli_mob > 6 and p.secure_type = 'UNSECURED')"""
 )
 
 

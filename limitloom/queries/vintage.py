@@ -34,10 +34,15 @@ tracked as (
 """
 )
 
+# The same over unsecured offers and months only, as the tracker has it.
+GATED = TRACKED.replace("from offers o left", "from (select * from offers where sub_product = 'UNSECURED') o left").replace(
+    "p.account_id = o.account_id)", "p.account_id = o.account_id and p.secure_type = 'UNSECURED')"
+)
+
 
 @query(
     "vintage_margin_by_month",
-    TRACKED
+    GATED
     + """select stmt_mth, brand, cast(count(*) as bigint) as offer_rows, cast(sum(guco) as double) as guco_sum,
                 cast(sum(raim) as double) as raim_sum
          from tracked where accepted_flag = 1 group by stmt_mth, brand""",
@@ -49,7 +54,7 @@ def vintage_margin_by_month(spark, sf_dir):
 
 @query(
     "month_pivot",
-    TRACKED
+    GATED
     + """select offer_vintage,
                 cast(sum(case when stmt_mth = '2000-06' then guco else 0 end) as double) as guco_sum_200006,
                 cast(sum(case when stmt_mth = '2000-07' then guco else 0 end) as double) as guco_sum_200007,
@@ -64,7 +69,7 @@ def month_pivot(spark, sf_dir):
 
 @query(
     "bucket_balance",
-    TRACKED
+    GATED
     + """select stmt_mth, offer_vintage,
                 cast(sum(case when brand = 'BUILDING' and (dpd_bucket like '%B0%' or dpd_bucket like '%B1%')
                               then adb else 0 end) as bigint) as early_balance,

@@ -99,7 +99,7 @@ select offer_id, case mod(offer_id, 9) when 0 then 'QC-RPL' when 1 then 'HIGH-PR
        mod(d, 4000) * 100 as limit_cents_at_offer, (mod(d, 4000) + mod(d, 9001)) * 100 as offered_limit_cents
 from (select *, cast(floor(offer_limit) as bigint) as d from {offers})""",
         "wide_performance": """
-select p.account_id, p.stmt_mth, p.stmt_date, p.raim, p.bfc, p.cof, a.brand,
+select p.account_id, p.stmt_mth, p.stmt_date, p.raim, p.bfc, p.cof, p.guco, p.secure_type, a.brand,
        case mod(p.account_id, 3) when 0 then 'WORLD_ELITE' when 1 then 'WORLD' else 'STANDARD' end as card_type,
        case mod(p.account_id, 5) when 0 then '1. SUBPRIME' when 1 then '2. NEAR_PRIME' when 2 then '3. PRIME' when 3 then '4. PRIME_PLUS'
             else '5. SUPER_PRIME' end as tu_band,

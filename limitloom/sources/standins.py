@@ -26,7 +26,9 @@ _VIEWS["offers"] = """
 select o_orderkey as offer_id, o_custkey as account_id, cast(o_orderdate as date) as offer_date,
        left(cast(cast(o_orderdate as date) as string), 7) as offer_mth, o_orderstatus as status,
        cast(o_orderstatus = 'F' as int) as accepted_flag,
-       cast(o_totalprice as decimal(12,2)) as offer_limit, o_orderpriority as tu_band
+       cast(o_totalprice as decimal(12,2)) as offer_limit, o_orderpriority as tu_band,
+       case when mod(o_custkey, 23) = 0 or mod(o_orderkey, 29) = 0 then 'SECURED' else 'UNSECURED' end as sub_product,
+       cast(mod(o_orderkey * 7 + o_custkey, 48) as int) as cli_mob
 from {orders}"""
 
 # Line items with their account: the base of monthly performance and daily snapshots.
@@ -41,7 +43,8 @@ from {lineitem} join {orders} on l_orderkey = o_orderkey"""
 # Monthly performance: one row per account and month, margin parts in exact decimals.
 _VIEWS["performance"] = """
 select account_id, stmt_date, left(cast(stmt_date as string), 7) as stmt_mth, bfc, cof, guco,
-       bfc - cof - guco as raim, adb, late_lines, lines_in_month
+       bfc - cof - guco as raim, adb, late_lines, lines_in_month,
+       case when mod(account_id + month(stmt_date), 31) = 0 then 'SECURED' else 'UNSECURED' end as secure_type
 from (
   select account_id, make_date(year(ship_date), month(ship_date), 1) as stmt_date,
          cast(sum(price) as decimal(22,4)) as bfc, cast(sum(price * tax) as decimal(22,4)) as cof,

@@ -8,7 +8,7 @@ from conftest import listed
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limitloom.plans import early_campaign, reactive_eligibility, request_funnel, score_studies, vintage_tracker
+from limitloom.plans import early_campaign, population, reactive_eligibility, request_funnel, score_studies, vintage_tracker
 from limitloom.rulesets import reactive
 from limitloom.rulesets.brands import Brands
 from limitloom.sources import DOMAIN, append_audience
@@ -17,6 +17,10 @@ D, TS = dt.date, dt.datetime
 BRANDS = Brands(core="CORE", partner="PART", cut_group={"PART": "partner", "CORE": "core"})
 
 
+# Members of the studied population unless a row says otherwise.
+DEFAULTS = {"offers_view": {"sub_product": "UNSECURED", "cli_mob": 12}, "performance": {"secure_type": "UNSECURED"}}
+
+
 @pytest.fixture
 def domain(spark):
     """``domain("statements", {..}, ..)``: rows of a domain table, unnamed columns missing."""
@@ -24,6 +28,7 @@ def domain(spark):
     def make(name, *rows):
         schema = T._parse_datatype_string(DOMAIN[name])
         known = {f.name for f in schema.fields}
+        rows = [{**DEFAULTS.get(name, {}), **r} for r in rows]
         for row in rows:
             assert set(row) <= known, set(row) - known
         return spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
@@ -36,7 +41,7 @@ def monthly(domain):
     """Monthly performance of an account from (month, raim) pairs."""
 
     def make(*rows):
-        base = {"secure_type": "UNSECURED", "brand": "CORE", "card_type": "STANDARD", "tu_band": "1. SUBPRIME"}
+        base = {"brand": "CORE", "card_type": "STANDARD", "tu_band": "1. SUBPRIME"}
         df = domain("performance", *[{**base, **r} for r in rows])
         return df.withColumns({"stmt_date": F.to_date(F.concat("stmt_mth", F.lit("-01"))), "raim": F.col("bfc") - F.col("cof") - F.col("guco")})
 
@@ -57,11 +62,12 @@ def test_panel_weighs_what_track_lists(domain, monthly):
         {"account_id": "acc-001", "offer_date": D(2024, 2, 1), "accepted_flag": 0},
         {"account_id": "acc-002", "offer_date": D(2024, 1, 1), "accepted_flag": 1},
     )
-    perf = monthly(month("acc-001", "2024-01", 5), month("acc-001", "2024-02", 7, 2), month("acc-001", "2024-04", 9)).select("account_id", "stmt_mth", "stmt_date", "brand", "raim", "guco")
+    months = monthly(month("acc-001", "2024-01", 5), month("acc-001", "2024-02", 7, 2), month("acc-001", "2024-04", 9))
+    perf = months.select("account_id", "stmt_mth", "stmt_date", "brand", "raim", "guco")
     tracked = vintage_tracker.track(offers.filter("accepted_flag = 1"), perf)
     assert listed(tracked, "account_id", "stmt_mth", "cli_stmt").count(("acc-001", "2024-02", 1)) == 3
     assert ("acc-002", None, None) in listed(tracked, "account_id", "stmt_mth", "cli_stmt")
-    by_month = vintage_tracker.margin_by_month(offers, perf)
+    by_month = vintage_tracker.margin_by_month(offers, months)
     expanded = tracked.groupBy("stmt_mth", "brand").agg(F.count(F.lit(1)), F.sum("guco"), F.sum("raim"))
     assert listed(by_month) == listed(expanded)
 
@@ -82,6 +88,43 @@ def test_balance_by_bucket(domain, monthly):
     assert listed(got, "early_balance", "late_balance") == [(Decimal("200.00"), Decimal("100.00"))]
 
 
+def test_population_gates(domain):
+    gates = [("UNSECURED", 7), ("UNSECURED", 6), ("UNSECURED", None), ("SECURED", 12), (None, 12)]
+    offers = domain("offers_view", *[{"account_id": f"a{i}", "sub_product": s, "cli_mob": m} for i, (s, m) in enumerate(gates)])
+    assert listed(population.unsecured_offers(offers), "account_id") == [("a0",), ("a1",), ("a2",)]
+    assert listed(population.unsecured_offers(offers, population.LATER_TENURE), "account_id") == [("a0",)]
+    rows = [month("a", "2024-02", 9, 2), {**month("b", "2024-02"), "guco": None}, {**month("c", "2024-02"), "secure_type": "SECURED"}, {**month("d", "2024-02"), "secure_type": None}]
+    assert listed(population.monthly_margin(domain("performance", *rows)), "account_id", "stmt_date", "raim") == [("a", D(2024, 2, 1), Decimal("6.00")), ("b", D(2024, 2, 1), None)]
+
+
+def test_every_monthly_pipeline_leaves_secured_rows_out(domain, monthly):
+    """A secured account beside an unsecured one, and an early offer, change no result."""
+    own = {"account_id": "acc-001", "offer_date": D(2024, 1, 5), "accepted_flag": 1}
+    early, secured = {**own, "offer_date": D(2024, 1, 6), "cli_mob": 6}, {**own, "account_id": "acc-009", "sub_product": "SECURED"}
+    months = ["2024-01", "2024-02", "2024-03"]
+    perf = [month("acc-001", m, 11, dpd_bucket="B0") for m in months]
+    other = [{**month("acc-009", m, 11, dpd_bucket="B0"), "secure_type": "SECURED"} for m in months]
+    marks = scores(domain, *[(a, TS(2024, k, d), 0.9) for a in ("acc-001", "acc-009") for k, d in ((1, 5), (1, 6), (1, 1), (2, 1), (3, 1))])
+    requests = [{"request_id": f"r-{a}", "user_id": "u", "account_id": a, "offer_id": None, "created_at": TS(2024, 2, 5)} for a in ("acc-001", "acc-009")]
+    behaviour, book, bankruptcy = domain("behaviour_scores"), domain("limit_offers"), domain("bankruptcy_scores")
+    risky = domain("risk_accounts")
+
+    def results(offers, tracked, rows):
+        offers, tracked, rows = domain("offers_view", *offers), domain("offers_view", *tracked), monthly(*rows)
+        requested = request_funnel.requests_with_offers(domain("change_requests", *requests), book, D(2024, 5, 1))
+        study = score_studies.CutStudy(offers, marks, rows, risky, "2024-01", "2024-06")
+        out = [
+            vintage_tracker.margin_by_month(tracked, rows), vintage_tracker.charge_offs_by_vintage(tracked, rows, "CORE", months),
+            vintage_tracker.balance_by_bucket(tracked, rows, "CORE", "2023-12", "2024-03"), request_funnel.approval_grid(request_funnel.funnel(requested, rows, span=(0, 0))),
+            score_studies.average_scores(score_studies.multi_score(offers, marks, rows, behaviour, book, bankruptcy, BRANDS)),
+            score_studies.backtest(offers, rows, marks, marks, TS(2024, 1, 1), ["CORE"]).drop("n_offers"),
+            score_studies.tranche_risk_mix(offers, rows, marks, marks, TS(2024, 1, 1), "CORE"), study.margin_curves(), study.increment("CORE"), study.repeat_margin("CORE"),
+        ]
+        return [listed(x) for x in out]
+
+    assert results([own], [own], perf) == results([own, early, secured], [own, secured], perf + other)
+
+
 # ---- request funnel --------------------------------------------------------------------------
 
 
