@@ -1,21 +1,23 @@
 """Audience of the early-tenure campaign.
 
 Every input is brought to one row per account (or user) before it is attached, so the attach
-steps are joins of one-row-per-key frames and nothing multiplies. Transactions are read in one
-pass, the daily table in three (the day, the day before, the history) and bureau reports in two.
+steps are joins of one-row-per-key frames and nothing multiplies. Each input is read once.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limitloom.functions import as_date, cond_sum, dollars, flag, month_key
 from limitloom.operators import attach, dedupe, latest_per_key, member_flag
+from limitloom.operators.dedupe import sortable_columns
+from limitloom.operators.star import gather, newest
 from limitloom.rulesets import campaign as rules
+from limitloom.session import durable
 
 c = F.col
 
@@ -83,16 +85,30 @@ def latest_statement(statements: DataFrame) -> DataFrame:
     )
 
 
-def _base(frames, as_of: dt.date, brand: str, card_type: str, product: str, since: dt.date, thin_strategies) -> DataFrame:
-    today = frames["account_daily"].filter(c("reference_date") == F.lit(as_of))
-    gates = (c("account_status") == "OPEN") & (c("card_type") == card_type) & (c("product_type") == product) & (c("month_on_book") > 0)
-    accounts = today.filter(gates).select(
-        *["account_id", "customer_id", "user_id", "product_type", "day_on_book", "month_on_book", "province", "facility", "frozen_reason"],
-        *["latest_score", "latest_score_band", "original_score", "original_score_band", "credit_limit"],
+TODAY = (
+    "customer_id", "user_id", "product_type", "day_on_book", "month_on_book", "province", "facility", "frozen_reason",
+    "latest_score", "latest_score_band", "original_score", "original_score_band", "credit_limit",
+)
+
+
+def daily_state(account_daily: DataFrame, as_of: dt.date, card_type: str, product: str) -> DataFrame:
+    """What the campaign needs of the daily table, one row per account from one read: the states that qualify on
+    the day, the worst days past due so far, and users with an open unsecured card the day before. Stored."""
+    is_open = c("account_status") == "OPEN"
+    today = (c("reference_date") == F.lit(as_of)) & is_open & (c("card_type") == card_type) & (c("product_type") == product) & (c("month_on_book") > 0)
+    before = (c("reference_date") == F.date_sub(F.lit(as_of), 1)) & (c("sub_product") == "UNSECURED") & c("card_type").isNotNull() & is_open
+    rows = account_daily.filter(c("reference_date") <= F.lit(as_of)).groupBy("account_id").agg(
+        F.collect_set(F.when(today, F.struct(*TODAY))).alias("today"),
+        F.max("days_past_due").alias("worst_dpd"),
+        F.collect_set(F.when(before, c("user_id"))).alias("open_before"),
     )
-    rows = attach(accounts.distinct(), approved_accounts(frames, brand, since), "account_id", "inner")
-    late = frames["account_daily"].filter(c("reference_date") <= F.lit(as_of)).groupBy("account_id").agg(F.max("days_past_due").alias("worst_dpd"))
-    for side in (junior_flags(frames["junior_scores"], as_of), late, transaction_flags(frames["transactions"], as_of, card_type)):
+    return durable(rows.filter((F.size("today") > 0) | (F.size("open_before") > 0)), "daily-state")
+
+
+def _base(frames, daily: DataFrame, as_of: dt.date, brand: str, card_type: str, since: dt.date, thin_strategies) -> DataFrame:
+    accounts = daily.select("account_id", "worst_dpd", F.explode("today").alias("state")).select("account_id", "worst_dpd", "state.*")
+    rows = attach(accounts, approved_accounts(frames, brand, since), "account_id", "inner")
+    for side in (junior_flags(frames["junior_scores"], as_of), transaction_flags(frames["transactions"], as_of, card_type)):
         rows = attach(rows, side, "account_id")
     zero = lambda name: F.coalesce(c(name), F.lit(0))
     change = c("latest_score") - c("original_score")
@@ -118,15 +134,13 @@ def _base(frames, as_of: dt.date, brand: str, card_type: str, product: str, sinc
     )
 
 
-def redecision(frames, as_of: dt.date) -> DataFrame:
+def redecision(frames, daily: DataFrame, input_order: Sequence[str] = ()) -> DataFrame:
     """Whether today's strategy would approve each user again.
 
     Of several inputs of a user any one may speak; the choice is repeatable and does not look at
-    the outcome: the smallest digest of the input row.
+    the outcome: the first by ``input_order``, by default the smallest digest of the input row.
     """
-    gates = (c("reference_date") == F.date_sub(F.lit(as_of), 1)) & (c("sub_product") == "UNSECURED")
-    gates = gates & c("card_type").isNotNull() & (c("account_status") == "OPEN")
-    users = frames["account_daily"].filter(gates).select("user_id").distinct()
+    users = daily.select(F.explode("open_before").alias("user_id")).distinct()
     inputs = frames["redecision_inputs"].filter(c("cvsc100").between(300, 900))
     rows = attach(users, inputs, "user_id", "inner")
     rejects = {
@@ -136,8 +150,9 @@ def redecision(frames, as_of: dt.date) -> DataFrame:
         "tree_reject": rules.tree_reject(),
     }
     rows = rows.withColumns(rejects).withColumn("approves", rules.approves())
-    rows = rows.withColumn("__digest", F.md5(F.to_json(F.struct(*inputs.columns))))
-    return dedupe(rows.select("user_id", "approves", "__digest"), "user_id", ["__digest"]).drop("__digest")
+    order = [c(x) for x in input_order] or [F.md5(F.to_json(F.struct(*inputs.columns)))]
+    rows = rows.select("user_id", "approves", *[x.alias(f"__order{i}") for i, x in enumerate(order)])
+    return dedupe(rows, "user_id", [c(f"__order{i}") for i in range(len(order))]).select("user_id", "approves")
 
 
 def candidates(
@@ -149,23 +164,26 @@ def candidates(
     since: dt.date,
     thin_strategies: tuple[str, ...] = (),
     score_name: str = "Junior",
+    input_order: Sequence[str] = (),
 ) -> DataFrame:
     """All candidates with component flags and both waterfalls.
 
     ``frames`` holds users, applications, accounts, account_daily, junior_scores,
     transactions, bureau, statements, limit_offers, behaviour_scores, redecision_inputs.
     """
-    rows = _base(frames, as_of, brand, card_type, product, since, thin_strategies)
-    newest = ["credit_report_date", "created_at"]
-    reports = latest_per_key(frames["bureau"], "user_id", newest)
-    rows = attach(rows, reports.select("user_id", c("am41").alias("latest_am41")), "user_id")
+    daily = daily_state(frames["account_daily"], as_of, card_type, product)
+    rows = _base(frames, daily, as_of, brand, card_type, since, thin_strategies)
+    bureau = frames["bureau"].withColumn("__day", F.to_date("credit_report_date", "yyyyMMdd"))
+    ties = sortable_columns(frames["bureau"], ["user_id"])
+    report = newest(bureau, ["__day", "created_at"], ties, latest_am41=c("am41"), policy_fail=rules.policy_fail())
+    # reports are read once: the latest of all, and the latest of those with a file found
+    reports = gather("user_id", [(bureau, {"latest": (report, F.min), "hit": (F.when(c("go26") == "H", report), F.min)})])
+    rows = attach(rows, reports.select("user_id", "latest.latest_am41", "hit.policy_fail"), "user_id")
     rows = attach(rows, latest_statement(frames["statements"]), "account_id")
-    hits = latest_per_key(frames["bureau"].filter(c("go26") == "H"), "user_id", newest)
-    rows = attach(rows, hits.select("user_id", rules.policy_fail().alias("policy_fail")), "user_id")
     behaviour = latest_per_key(frames["behaviour_scores"], "account_id", "reference_date")
     rows = attach(rows, behaviour.select("account_id", c("model_score").alias("behaviour_score")), "account_id")
     rows = member_flag(rows, frames["limit_offers"], "account_id", "had_cli")
-    rows = attach(rows, redecision(frames, as_of), "user_id")
+    rows = attach(rows, redecision(frames, daily, input_order), "user_id")
     rows = rows.withColumns(
         {"trades_increased": rules.trades_increased(), "current_strategy_approves": flag(c("approves") == 1), "line_amount": rules.line_amount()}
     ).drop("approves")

@@ -14,7 +14,7 @@ from limitloom.sources.standins import cte
 
 VIEWS = (
     "campaign_daily", "card_transactions", "card_applications", "junior_history", "strategy_inputs", "bureau_reports", "flat_statements",
-    "sent_offers", "behaviour_history", "portfolio_users",
+    "account_offers", "behaviour_history", "portfolio_users",
 )
 _RECORDS = ("pr44", "pr45", "pr124", "pr116", "pr15", "pr50", "pr74", "pr75", "pr120", "pr97", "go81")
 
@@ -65,12 +65,13 @@ again as (
                      when 'THIN' then cvsc100 >= 640 and ((thin >= 641 and cvsc100 >= 680) or (thin >= 656 and cvsc100 >= 669))
                      else cvsc100 between 600 and 640 and subprime >= 575 end then 1 else 0 end as approves
   from strategy_inputs s where cvsc100 between 300 and 900 and user_id in (
-    select user_id from campaign_daily where reference_date = date '2001-07-31' and sub_product = 'UNSECURED' and account_status = 'OPEN' and card_type is not null)),
+    select user_id from campaign_daily where reference_date = date '2001-07-31' and sub_product = 'UNSECURED' and account_status = 'OPEN' and card_type is not null)
+  qualify row_number() over (partition by user_id order by offer_id) = 1),
 rows0 as (
   select d.*, o.am41 as am41_then, o.strategy_name, rep.am41 as am41_now, coalesce(pol.policy_fail, -1) as policy_fail, beh.model_score, used.cash, used.bought,
          declined.fraud_remove, paid.payment_amount, paid.untrusted, late.worst, junior.peak, coalesce(again.approves, 0) as approves,
          d.latest_score - d.original_score as change, stm.closing_date, stm.balance_cents,
-         case when d.account_id in (select account_id from sent_offers where mod(account_id, 3) = 0 and accepted_at is not null) then 1 else 0 end as had_cli
+         case when d.account_id in (select account_id from account_offers where account_id is not null) then 1 else 0 end as had_cli
   from campaign_daily d join opened o on o.account_id = d.account_id
   left join declined on declined.account_id = d.account_id left join used on used.account_id = d.account_id left join paid on paid.account_id = d.account_id
   left join late on late.account_id = d.account_id left join junior on junior.account_id = d.account_id left join rep on rep.user_id = d.user_id
@@ -96,7 +97,7 @@ final as (
 
 def candidates(spark, sf_dir):
     return plan.candidates(
-        campaign_frames(spark, sf_dir), AS_OF, "CORE", "WORLD", "WORLD CREDIT", dt.date(2001, 2, 1), thin_strategies=("thin-baseline",)
+        campaign_frames(spark, sf_dir), AS_OF, "CORE", "WORLD", "WORLD CREDIT", dt.date(2001, 2, 1), thin_strategies=("thin-baseline",), input_order=("input_id",)
     )
 
 

@@ -290,7 +290,7 @@ def backtest_after_offer(spark, sf_dir):
          join (select account_id, reference_date, case when reference_date <= timestamp '1999-06-30 00:00:00' then prediction / 2 else prediction end as prediction
                from offer_scores) s on s.account_id = o.account_id and cast(s.reference_date as date) = o.offer_date
          join wide_performance p on p.account_id = o.account_id and datediff('month', o.offer_date, p.stmt_date) = 1
-         where o.accepted_flag = 1 and p.brand = 'BUILDING' and o.sub_product = 'UNSECURED' and o.cli_mob > 6 and p.secure_type = 'UNSECURED' group by o.offer_mth""",
+         where o.accepted_flag = 1 and p.brand = 'BUILDING' and s.prediction is not null and o.sub_product = 'UNSECURED' and o.cli_mob > 6 and p.secure_type = 'UNSECURED' group by o.offer_mth""",
 )
 def tranche_risk_mix(spark, sf_dir):
     known = {}
@@ -315,7 +315,7 @@ STUDY = (
                   datediff('month', o.offer_date, p.stmt_date) as cli_stmt,
                   case when o.account_id in (select account_id from marked_accounts) then 1 else 0 end as risk
            from offers o join offer_scores s on s.account_id = o.account_id and cast(s.reference_date as date) = o.offer_date
-           join wide_performance p on p.account_id = o.account_id where o.offer_mth between '1997-07' and '2000-06' and o.sub_product = 'UNSECURED' and o.cli_mob > 6 and p.secure_type = 'UNSECURED')"""
+           join wide_performance p on p.account_id = o.account_id where o.offer_mth between '1997-07' and '2000-06' and s.prediction is not null and o.sub_product = 'UNSECURED' and o.cli_mob > 6 and p.secure_type = 'UNSECURED')"""
 )
 
 

@@ -112,8 +112,8 @@ select account_id, cast(make_date(year(offer_date), month(offer_date), 1) as tim
 from {offers} group by account_id, make_date(year(offer_date), month(offer_date), 1)""",
         "offer_scores": """
 select account_id, cast(offer_date as timestamp) as reference_date,
-       cast(max(mod(cast(floor(offer_limit) as bigint), 101)) as double) / 100 as prediction
-from {offers} where mod(offer_id, 9) <> 0 group by account_id, offer_date""",
+       cast(max(case when mod(offer_id, 9) <> 0 then mod(cast(floor(offer_limit) as bigint), 101) end) as double) / 100 as prediction
+from {offers} group by account_id, offer_date""",
         "behaviour_history": """
 select account_id, cast(stmt_date + 14 as timestamp) as reference_date, cast(500 + mod(cast(floor(cof) as bigint), 300) as double) as model_score
 from {performance}""",
@@ -125,6 +125,12 @@ from {{offers}} group by {_USER.format("account_id")}, make_date(year(offer_date
     }
 )
 
+# What strong files hold instead of a candidate's own values.
+_STRONG = {"segment": "'THICK'", "cvsc100": "700", "am41": "0", "am42": "0", "am43": "0", "am84": "0", "go11": "99", "re34": "10", "dti": "10", "pr51": "0", "bko": "720", "thick": "530"}
+_REDECISION = ["segment", "cvsc100", "go14", "at01", "am41", "am42", "am43", "am84", "go11", "pr51", "bc147", "go06", "go149", "go141", "pr11", "am02"]
+_REDECISION += ["re34", "dti", "bko", "thick", "thin", "subprime", "go91", *_COUNTS]
+_STRATEGY_INPUTS = ", ".join(f"case when mod(account_id, 4) <> 0 then {_STRONG[x]} else {x} end as {x}" if x in _STRONG else x for x in _REDECISION)
+
 # The early-tenure campaign: a snapshot for the run day and the day before it on top of the
 # past daily rows, card transactions, applications and re-decision inputs.
 _BANDS = """case when {0} < 640 then 'b. Sub Prime (300 to 639)' when {0} < 720 then 'c. Near-Prime (640 to 719)'
@@ -165,10 +171,13 @@ from {{accounts}}""",
         "junior_history": """
 select account_id, cast(stmt_date + 14 as timestamp) as reference_date, '2.1' as model_version,
        cast(mod(cast(floor(bfc) as bigint), 25) as double) / 200 as prediction from {performance}""",
+        # one account in 20 has inputs of nobody; several offers of an account are several inputs; three in four are strong
         "strategy_inputs": f"""
-select {_USER.format("c.account_id")} as user_id, c.* from {{candidates}} c
-join (select account_id, min(offer_id) as first_offer from {{candidates}} where mod(account_id, 20) <> 1 group by account_id) f
-  on f.account_id = c.account_id and f.first_offer = c.offer_id""",
+select case when mod(account_id, 20) <> 1 then {_USER.format("account_id")} end as user_id, account_id, offer_id, {_STRATEGY_INPUTS} from {{candidates}}""",
+        # offers from before an account was opened are nobody's
+        "account_offers": """
+select offer_id, case when offer_date >= date '2001-08-01' - (cast(mod(account_id * 11, 140) as int) + 60) then account_id end as account_id,
+       cast(offer_date as timestamp) as initiated_at from {offers}""",
     }
 )
 
@@ -179,8 +188,6 @@ def campaign_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     get = lambda name: standin(spark, sf_dir, name, known)
     applications = get("card_applications")
     report = F.create_map(F.lit("AM41"), F.col("am41"), F.lit("strategyName"), F.col("strategy_name")).alias("credit_card_report")
-    redecision = ["user_id", "segment", "cvsc100", "go14", "at01", "am41", "am42", "am43", "am84", "go11", "pr51", "bc147", "go06", "go149", "go141"]
-    redecision += ["pr11", "am02", "re34", "dti", "bko", "thick", "thin", "subprime", "go91", *_COUNTS]
     return {
         "users": get("portfolio_users").select("user_id", "type"),
         "applications": applications.select("application_id", "user_id", "brand", "type", "status", "decision", "created_at", report),
@@ -190,9 +197,9 @@ def campaign_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "transactions": get("card_transactions"),
         "bureau": get("bureau_reports"),
         "statements": statement_documents(get("flat_statements")).withColumn("payment_due_date", F.col("closing_date")),
-        "limit_offers": get("sent_offers").filter("account_id % 3 = 0 and accepted_at is not null"),
+        "limit_offers": get("account_offers"),
         "behaviour_scores": get("behaviour_history"),
-        "redecision_inputs": get("strategy_inputs").select(*redecision),
+        "redecision_inputs": get("strategy_inputs").select("user_id", *_REDECISION, F.col("offer_id").alias("input_id")),
     }
 
 
