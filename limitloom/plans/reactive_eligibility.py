@@ -247,6 +247,8 @@ def with_account(rows: DataFrame, frames: Mapping[str, DataFrame], as_of: dt.dat
             "has_undone": flag(undone),
             "cld_blocked": F.coalesce("cld_blocked", F.lit(0)),
             "prior_control_group": F.coalesce("prior_control_group", F.lit(0)),
+            # the log marks the statement it speaks of, and holds no other
+            "account_latest_entry": F.lit(1),
         }
     ).drop("opened", "card", "place", "balance", "inactive", "inactive_undated", "low_use", "last_accepted")
 
@@ -360,6 +362,7 @@ OUTPUT = (
     "day_end_dpd", "day_end_charge_off", "standing", "brand", "facility", "latest_balance", "over_limit", "over_limit_20",
     "delinquent_100_days", "prior_control_group", "go26", "field_of_study", "province_group", "restriction", "active_status", "segment",
     "strategy_type", "eligible", "new_limit_cents", "offer_code", "mob_rounded", "credit_limit", "cld_block", "bureau_score_clean",
+    "account_latest_entry",
 )
 
 

@@ -148,8 +148,7 @@ def reactive_inputs(spark, sf_dir):
     return plain(rows.select(*cols))
 
 
-@query(
-    "reactive_eligibility",
+ELIGIBILITY = (
     FEATURES.replace("arg_max_null(days_past_due, reference_date)", "arg_max(struct_pack(v := days_past_due), reference_date).v")
     + f""", held as (select user_id, count(*) as n_unsecured, count(*) filter (where tier like 'WORLD%') as n_world from credit_accounts
                      where status = 'OPEN' and secured_deposit_id is null group by user_id),
@@ -178,8 +177,41 @@ def reactive_inputs(spark, sf_dir):
             from both_kinds b left join held h on h.user_id = b.user_id left join docs d on d.user_id = b.user_id)
           select account_id, user_id, coalesce(override, segment) as segment, strategy_type, case when override is null then elig else 0 end as eligible,
                  cast(case when override is null then cents else 0 end as bigint) as new_limit_cents, case when override is null then code end as offer_code
-          from finals""",
+          from finals"""
 )
+
+
+@query("reactive_eligibility", ELIGIBILITY)
 def reactive_eligibility(spark, sf_dir):
     rows = plan.eligibility(portfolio(spark, sf_dir), AS_OF, BRANDS)
     return plain(rows.select("account_id", "user_id", "segment", "strategy_type", "eligible", "new_limit_cents", "offer_code"))
+
+
+# Columns of the log beside the seven above; the flags come from the same features.
+_LOG = {
+    "last_cli_months": "round(f.cli_months, 5)", "cli_offered_3m": "case when f.cli_months in (0, 1, 2, 3) then 1 else 0 end",
+    "transactor_flag": "case when f.user_type = 'Transactor' and f.new_balance > 0 and f.bal1 > 0 and f.bal2 > 0 then 1 else 0 end",
+    "user_type": "f.user_type", "sub_prime_flag": "f.sub_prime_flag", "not_frozen": "f.not_frozen", "policy_exclusion_flag": "f.policy_exclusion_flag",
+    "currently_delinquent": "f.currently_delinquent", "delinquent_3m": "f.delinquent_3m", "payment_flag": "f.payment_flag", "inquiry_flag": "f.inquiry_flag",
+    "am36_flag": "f.am36_flag", "sp_limit_flag": "case when f.clean < 700 and f.credit_limit > 3000 then 0 else 1 end", "score_flag": "f.score_flag",
+    "bureau_segment_flag": "f.bureau_segment_flag", "recent_cli": "f.recent_cli", "account_type": "'UNSECURED'", "day_end_limit": "cast(f.day_end_limit as double)",
+    "score": "cast(f.score as bigint)", "day_end_status": "f.day_end_status", "day_end_frozen_reason": "f.frozen_reason", "day_end_dpd": "cast(f.day_end_dpd as bigint)",
+    "day_end_charge_off": "f.day_end_charge_off", "standing": "f.standing", "brand": "f.brand", "facility": "f.facility", "latest_balance": "cast(f.latest_balance as double)",
+    "over_limit": "case when f.latest_balance > f.credit_limit then 1 else 0 end", "over_limit_20": "case when f.latest_balance > f.credit_limit * 1.2 then 1 else 0 end",
+    "delinquent_100_days": "case when f.dpd_100 >= 30 then 1 else 0 end", "prior_control_group": "f.prior_control_group", "go26": "f.go26",
+    "field_of_study": "case when f.employment = 'STUDENT' and f.field in ('Hospitality, Food and Tourism', 'Trades, Construction and Manufacturing') then 1 else 0 end",
+    "province_group": "f.province_group", "restriction": "f.restriction", "active_status": "f.active_status", "mob_rounded": "cast(f.mob_rounded as bigint)",
+    "credit_limit": "cast(f.credit_limit as double)", "cld_block": "f.cld_block", "bureau_score_clean": "cast(f.clean as bigint)", "account_latest_entry": "1",
+}
+
+
+@query(
+    "eligibility_log",
+    ELIGIBILITY.replace("          select account_id, user_id, coalesce(override, segment) as segment, strategy_type,", "          , log as (select account_id, user_id, coalesce(override, segment) as segment, strategy_type,", 1)
+    + ") select l.*, " + ", ".join(f"{sql} as {name}" for name, sql in _LOG.items()) + " from log l join flags f on f.account_id = l.account_id",
+)
+def eligibility_log(spark, sf_dir):
+    """Every column of the log."""
+    rows = plan.eligibility(portfolio(spark, sf_dir), AS_OF, BRANDS)
+    longs = {x: F.col(x).cast("bigint") for x in ("score", "day_end_dpd", "mob_rounded", "bureau_score_clean")}
+    return plain(rows.withColumns({**longs, "last_cli_months": F.round("last_cli_months", 5)}))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from limitloom.operators import attach, union_distinct
 from limitloom.queries.registry import AS_OF, query
 from limitloom.queries.shape import plain
 from limitloom.session import run_folder
-from limitloom.sources import append_audience, nested, run_sql
+from limitloom.sources import append_audience, nested, replace_table, run_sql, session_view, to_records
 from limitloom.sources.standins import cte, standin
 
 c = F.col
@@ -350,3 +351,34 @@ def audience_log(spark, sf_dir):
         append_audience(run, at, path=path)
     log = spark.read.parquet(path)
     return plain(log.withColumn("hour", F.hour("adjudicated_at")).drop("adjudicated_at", "adjudicated_run"))
+
+
+BRAND_TOTALS = "select brand, cast(count(*) as bigint) as n, cast(sum(balance) as double) as balance from accounts group by brand"
+
+
+@query("session_table", cte("accounts") + BRAND_TOTALS)
+def session_table(spark, sf_dir):
+    """A view of the session, replaced once, read by SQL text."""
+    accounts = standin(spark, sf_dir, "accounts")
+    session_view(accounts.filter(c("balance") > 0), "limitloom_accounts_view")
+    session_view(accounts, "limitloom_accounts_view")
+    return plain(run_sql(spark, BRAND_TOTALS.replace("from accounts", "from limitloom_accounts_view")))
+
+
+@query("replaced_table", cte("accounts") + BRAND_TOTALS)
+def replaced_table(spark, sf_dir):
+    """A stored table, replaced once by other rows, bucketed by its key."""
+    accounts, name = standin(spark, sf_dir, "accounts"), f"limitloom_accounts_{uuid.uuid4().hex}"
+    path = run_folder(spark, "accounts")
+    replace_table(accounts.filter(c("balance") > 0), name, path=path)
+    replace_table(accounts, name, path=path, bucket_by=(8, "account_id"))
+    return plain(spark.table(name).groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.sum("balance").alias("balance")))
+
+
+@query(
+    "chart_records",
+    cte("accounts") + "select to_json(struct_pack(brand := brand, n := n)) as record from (select brand, count(*) as n from accounts group by brand)",
+)
+def chart_records(spark, sf_dir):
+    counts = standin(spark, sf_dir, "accounts").groupBy("brand").agg(F.count(F.lit(1)).alias("n"))
+    return to_records(counts)

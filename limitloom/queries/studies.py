@@ -101,6 +101,28 @@ def decrease_free_history(spark, sf_dir):
     return plain(out.select(*cols))
 
 
+@query(
+    "accepted_history",
+    cte(*FUNNEL_VIEWS, "sent_decreases", "marked_accounts", "offers")
+    + ","
+    + FUNNEL
+    + LARGE
+    + """, kept as (select l.* from large l
+           left join (select distinct account_id from sent_decreases where strategy <> 'LOW-UTIL') d on d.account_id = l.account_id
+           left join marked_accounts m on m.account_id = l.account_id where d.account_id is null and m.account_id is null)
+         select k.request_id, k.account_id, k.stmt_mth as request_mth, cast(k.icl as double) as icl, o.offer_mth, cast(o.offer_limit as double) as new_cl,
+                cast(o.offer_limit - o.cli_mob as double) as current_cl, cast(o.cli_mob as double) as inc_exposure, o.tu_band as program
+         from kept k left join offers o on o.account_id = k.account_id and o.accepted_flag = 1""",
+)
+def accepted_history(spark, sf_dir):
+    rows, get = funnelled(spark, sf_dir)
+    decreases = get("sent_decreases").filter(c("strategy") != "LOW-UTIL")
+    kept = funnel.without_decrease(funnel.large_low_limit(rows), decreases, get("marked_accounts"))
+    view = get("offers").select("account_id", "accepted_flag", "offer_mth", c("offer_limit").alias("new_cl"), (c("offer_limit") - c("cli_mob")).alias("current_cl"), c("cli_mob").alias("inc_exposure"), c("tu_band").alias("program"))
+    out = funnel.accepted_history(kept, view).withColumn("inc_exposure", c("inc_exposure").cast("double"))
+    return plain(out.select("request_id", "account_id", "request_mth", "icl", "offer_mth", "new_cl", "current_cl", "inc_exposure", "program"))
+
+
 @query(
     "restored_above_decrease",
     cte(*FUNNEL_VIEWS, "sent_decreases")

@@ -132,6 +132,23 @@ def lagged_features(spark, sf_dir):
     return plain(out.drop("stmt_date", "raim", "revolver_flag"))
 
 
+@query(
+    "utilisation_flags",
+    cte("performance")
+    + """, base as (select account_id, stmt_mth, row_number() over (partition by account_id order by stmt_mth) as place,
+                           case when cast(cof as double) / nullif(cast(guco as double), 0) >= 0.9 then 'High Util'
+                                when cast(cof as double) / nullif(cast(guco as double), 0) < 0.9 then 'Low Util' end as util_flag from performance)
+         select b.account_id, b.stmt_mth, b.util_flag, x.util_flag as util_flag_1m_prior, y.util_flag as util_flag_2m_prior, z.util_flag as util_flag_3m_prior
+         from base b left join base x on x.account_id = b.account_id and x.place = b.place - 1
+         left join base y on y.account_id = b.account_id and y.place = b.place - 2 left join base z on z.account_id = b.account_id and z.place = b.place - 3""",
+)
+def utilisation_flags(spark, sf_dir):
+    perf = standin(spark, sf_dir, "performance").withColumn("utilisation", F.try_divide(c("cof").cast("double"), c("guco").cast("double")))
+    rows = perf.select("account_id", "stmt_mth", reactive.utilisation_flag().alias("util_flag"))
+    out = lags(running_ordinal(rows, "account_id", "stmt_mth", "place"), "account_id", "place", ["util_flag"])
+    return plain(out.drop("place"))
+
+
 @query(
     "first_qualifying_month",
     cte("performance")
