@@ -28,18 +28,26 @@ _NAME, _UNIT, _NUMBER = "\ue000", "\ue001", "\ue002"
 _PUNCTUATION, _SPACE = r"[!-/:-@\[-`{-~]+", r"[\x20\x09-\x0D]+"
 
 
+def _spaced(text: Column) -> Column:
+    return F.regexp_replace(text, _SPACE, " ")
+
+
+def _split(spaced: Column) -> Column:
+    return F.array_remove(F.split(F.regexp_replace(F.lower(spaced), _PUNCTUATION, ""), " "), "")
+
+
 def words(text: Column) -> Column:
     """Words in lower case without ASCII punctuation."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), _PUNCTUATION, ""), _SPACE), lambda w: w != "")
+    return _split(_spaced(text))
 
 
 def template(text: Column) -> Column:
     """Like :func:`words`, place for place, with placeholders for capitalised words inside sentences, numbers, and units behind numbers."""
-    t = F.regexp_replace(text, _SPACE, " ")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}\p{L}*", _NAME)
+    # the capital is looked for first, what stands before it afterwards
+    t = F.regexp_replace(_spaced(text), r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})\p{Ll}\p{L}*", _NAME)
     t = F.regexp_replace(t, r"[0-9]+(?:[.,:/][0-9]+)*", _NUMBER)
     t = F.regexp_replace(t, rf"(?i){_NUMBER} (?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", f"{_NUMBER} {_UNIT}")
-    return words(t)
+    return _split(t)
 
 
 def _let(value: Column, body) -> Column:
@@ -47,19 +55,48 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _hashed(run_words: Column) -> Column:
+    return F.transform(run_words, lambda w: F.xxhash64(w))
+
+
+def _starts(t: Column, size: int) -> Column:
+    return F.when(F.size(t) >= size, F.sequence(F.lit(0), F.size(t) - size)).otherwise(F.array().cast("array<int>"))
+
+
+def _window(t: Column, i: Column, size: int) -> Column:
+    """Hash of the run of ``size`` words from place ``i``."""
+    return F.xxhash64(F.slice(t, i + 1, F.lit(size)))
+
+
 def _windows(run_words: Column, size: int) -> Column:
     """Hash of each run of ``size`` words."""
+    return _let(_hashed(run_words), lambda t: F.transform(_starts(t, size), lambda i: _window(t, i, size)))
+
+
+# Bits of the sieve a window's first two words must pass before it is hashed. A larger benchmark merely lets more through.
+SIEVE = 1 << 18
+
+
+def _pair(t: Column, i: Column) -> Column:
+    first, second = F.get(t, i), F.get(t, i + 1)
+    return first.bitwiseXOR(F.shiftleft(second, 7)).bitwiseXOR(F.shiftrightunsigned(second, 57)).bitwiseAND(SIEVE - 1)
 
-    def run(t: Column) -> Column:
-        at = F.when(F.size(t) >= size, F.sequence(F.lit(0), F.size(t) - size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.xxhash64(F.slice(t, i + 1, F.lit(size))))
 
-    return _let(F.transform(run_words, lambda w: F.xxhash64(w)), run)
+def _sieve(own: DataFrame) -> Column | None:
+    """Bits (as longs) of the word pairs that start windows; none without windows. Only the bits reach the driver."""
+    bit = F.expr("shiftleft(1L, cast(pair & 63 as int))")
+    rows = own.groupBy(F.shiftright("pair", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    held = {r["word"]: r["bits"] for r in rows}
+    return F.expr("array(" + ",".join(f"cast({held.get(i, 0)} as bigint)" for i in range(SIEVE >> 6)) + ")") if held else None
 
 
-def _both(text: Column, size: int) -> Column:
-    """For each place the hash of the window of plain words, and that of template words if it differs."""
-    return F.zip_with(_windows(words(text), size), _windows(template(text), size), lambda p, t: F.when(p == t, F.array(p)).otherwise(F.array(p, t)))
+def _sifted(t: Column, size: int, sieve: Column) -> Column:
+    """(size, at, h) of the windows whose first two words start a window of the benchmark."""
+
+    def passes(i: Column) -> Column:
+        return _let(_pair(t, i), lambda p: F.getbit(F.get(sieve, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1)
+
+    return F.transform(F.filter(_starts(t, size), passes), lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), _window(t, i, size).alias("h")))
 
 
 def _slots(t: Column, w: Column, start: Column, size: int) -> Column:
@@ -80,20 +117,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(text).alias("iw"), template(text).alias("it")).filter("item_id is not null")
     items = items.withColumn("size", F.least(F.size("it"), F.lit(window))).filter(F.col("size") >= SHORTEST)
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    found = None
+    own, sifts = None, []
     for size in sorted(r[0] for r in items.select("size").distinct().collect()):  # as many as there are window lengths
-        own, kinds = items.filter(F.col("size") == size), []
-        for kind in ("iw", "it"):
-            at = own.withColumn("ws", _windows(F.col(kind), size)).select("item_id", "iw", kind, F.size("ws").alias("windows"), F.posexplode("ws").alias("item_at", "h"))
-            kinds.append(at.select("h", "item_id", "windows", "item_at", F.lit(size).alias("size"), _slots(F.col(kind), F.col("iw"), F.col("item_at"), size).alias("item_slots")))
-        # template windows without placeholders are plain ones
-        own = kinds[0].unionByName(kinds[1].filter(F.size("item_slots") > 0))
+        for kind, part in (("iw", "p"), ("it", "t")):
+            at = items.filter(F.col("size") == size).withColumn("hw", _hashed(F.col(kind)))
+            at = at.withColumn("ws", _windows(F.col(kind), size)).select("item_id", "iw", kind, "hw", F.size("ws").alias("windows"), F.posexplode("ws").alias("item_at", "h"))
+            slots = _slots(F.col(kind), F.col("iw"), F.col("item_at"), size).alias("item_slots")
+            at = at.select("h", F.lit(size).alias("size"), "item_id", "windows", "item_at", slots, _pair(F.col("hw"), F.col("item_at")).alias("pair"))
+            # template windows without placeholders are plain ones
+            at = durable(at if part == "p" else at.filter(F.size("item_slots") > 0), "benchmark-windows")
+            sieve = _sieve(at)
+            if sieve is not None:
+                sifts.append((part, size, sieve))
+                own = at.drop("pair") if own is None else own.unionByName(at.drop("pair"))
+    found = None
+    if own is not None:
         if own.count() <= BROADCAST_WINDOWS:
             own = F.broadcast(own)
+        both = F.struct(_hashed(words(F.col("text"))).alias("p"), _hashed(template(F.col("text"))).alias("t"))
+        ws = _let(both, lambda s: F.concat(*[_sifted(s[part], size, sieve) for part, size, sieve in sifts]))
         # windows alone are exploded: a row that carried its text's arrays would copy them for every window
-        rows = texts.select("doc_id", F.xxhash64("text").alias("row"), _both(F.col("text"), size).alias("ws")).select("doc_id", "row", F.posexplode("ws").alias("at", "hs"))
-        rows = rows.select("doc_id", "row", "at", F.explode("hs").alias("h")).join(own, "h")
-        found = rows if found is None else found.unionByName(rows)
+        rows = texts.select("doc_id", F.xxhash64("text").alias("row"), F.explode(ws).alias("w")).select("doc_id", "row", "w.*")
+        found = rows.join(own, ["h", "size"])
     if found is None:
         return texts.select("doc_id", F.col("doc_id").alias("item_id"), F.lit(0).alias("found"), F.lit(0).alias("windows"), F.lit(True).alias("verbatim")).limit(0)
     found = durable(found.drop("h"), "windows")
