@@ -21,12 +21,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near duplicates; of rows that repeat it, one."""
-    classes = jaccard.similarity_classes(docs, SHINGLE, PERCENT)
-    kept = without(docs, classes.filter("component_id <> doc_id").select("doc_id"))
-    again = classes.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    repeated = kept.join(F.broadcast(again) if again.limit(100_001).count() <= 100_000 else again, "doc_id", "left_semi")
-    return without(kept, again).unionByName(repeated.select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One document of each group of near duplicates, the smallest doc_id; rows that repeat both id and text count once.
+
+    Rows that share an id and differ in text are documents of their own and give way to those of unshared ids. Null, empty and
+    blank texts are near nothing and stay, as do rows without an id.
+    """
+    shared = durable(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "shared-ids")
+    if not shared.limit(1).count():
+        classes = jaccard.similarity_classes(docs, SHINGLE, PERCENT)
+        return without(docs, classes.filter("component_id <> doc_id").select("doc_id"))
+    named = docs.filter("doc_id is not null")
+    beyond = named.agg(F.max("doc_id")).first()[0] + 1
+    once = named.join(shared, "doc_id", "left_anti").withColumn("__row", F.col("doc_id"))
+    again = named.join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("__row", F.lit(beyond) + F.monotonically_increasing_id())
+    rows = durable(once.unionByName(again), "rows")
+    classes = jaccard.similarity_classes(rows.select(F.col("__row").alias("doc_id"), "text"), SHINGLE, PERCENT)
+    kept = without(rows, classes.filter("component_id <> doc_id").select(F.col("doc_id").alias("__row")), "__row")
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

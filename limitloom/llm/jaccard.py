@@ -418,5 +418,5 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     placed = classes.join(final, classes.key == final.node, "left").select("key", "least", F.coalesce("label", "key").alias("comp"))
     smallest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = durable(placed.join(smallest, "comp").select("key", "component_id"), "named")
-    own = rows.filter("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.filter("key is not null").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(own)
+    own = rows.filter("key is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return rows.filter("key is not null").join(named, "key").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(own)

@@ -98,7 +98,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     """doc_id, declared, suffix and host of documents that a page's address names (``/../123``).
 
     ``declared`` is the primary language of the html element, ``suffix`` that of a country suffix or of a path's language
-    segment. A document with several pages takes the one of the smallest page_id.
+    segment. The html element is the first of the whole page. A document with several pages takes the
+    value that most of them have, the smallest of those as frequent, for each kind of evidence apart; pages without one do not count.
     """
     url, html = F.col("url").cast("string"), F.col("html").cast("string")
     host = F.lower(F.regexp_extract(url, r"^[a-z]+://([^/:?#]+)", 1))
@@ -106,16 +107,15 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     country = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])[tld]
     path = F.regexp_extract(url, r"^[a-z]+://[^/]+/([a-z]{2})(?:[-_/?#]|$)", 1)
     blank = lambda c: F.when(c != "", c)
+    tag = F.regexp_extract(html, r"(?i)<html\b([^>]*)", 1)
     found = pages.select(
         F.regexp_extract(url, r"/(\d{1,18})/?(?:[?#].*)?$", 1).try_cast("long").alias("doc_id"),
-        F.struct(
-            F.col("page_id"),
-            blank(F.lower(F.regexp_extract(html, r"(?is)^.{0,500}?<html[^>]{0,300}?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))).alias("declared"),
-            F.coalesce(country, blank(path)).alias("suffix"),
-            blank(host).alias("host"),
-        ).alias("e"),
+        blank(F.lower(F.regexp_extract(tag, r"(?is)(?:^|[\s\"'])(?:xml:)?lang\s*=\s*[\"']?([a-z]{2,3})", 1))).alias("declared"),
+        F.coalesce(country, blank(path)).alias("suffix"),
+        blank(host).alias("host"),
     )
-    return found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("e").alias("e")).select("doc_id", "e.declared", "e.suffix", "e.host")
+    kinds = [F.mode(x, True).alias(x) for x in ("declared", "suffix", "host")]
+    return found.filter("doc_id is not null").groupBy("doc_id").agg(*kinds)
 
 
 def _softmax(scores: list[Column]) -> list[Column]:

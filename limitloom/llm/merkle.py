@@ -145,7 +145,8 @@ class Tree:
 
 def build(rows: DataFrame) -> Tree:
     """The tree of ``leaves``: ascending key (null first) in each group, groups ascending bytewise (null first)."""
-    groups = _rounds(ranked(rows, ["key", "digest"]))
+    # hashes are stored before they are sorted, as the sort draws a sample of its input first
+    groups = _rounds(ranked(durable(rows, "leaves"), ["key", "digest"]))
     roots = None
     for table in groups:
         ended = table.filter(F.col("n") <= BLOCK).select(F.lit("").alias("grp"), F.col("grp").alias("key"), _top().alias("digest"))

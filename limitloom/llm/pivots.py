@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from limitloom.llm.frames import durable
 
 PIVOTS, SAMPLE, BLOCK, QUERIES = 32, 512, 4096, 1024
-# Components saturate here, so that scores of up to 64 dimensions stay within 64 bits.
-LARGEST = 1 << 28
+# Components of this size and beyond end in an error: they would not fit a long.
+LARGEST = float(1 << 62)
 _STEP = 128
 
 
@@ -27,9 +27,10 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     """Integer vectors floor(1024 x); null ids or vectors, empty ones and those with null or non-finite components go."""
     x = F.col(embedding).cast("array<double>")
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    whole = lambda v: F.when(F.abs(v * 1024.0) < LARGEST, F.floor(v * 1024.0)).otherwise(F.raise_error(F.lit("a component times 1024 exceeds 2**62")).cast("long"))
     return (
         vectors.filter(F.col(vec_id).isNotNull() & (F.size(x) > 0) & good)
-        .select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda v: F.greatest(F.least(F.floor(v * 1024.0), F.lit(LARGEST)), F.lit(-LARGEST)).cast("int")).alias("v"))
+        .select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
         .withColumn("dim", F.size("v"))
     )
 
@@ -70,9 +71,11 @@ def _blocks(ints: DataFrame, chosen: dict, rows: int) -> DataFrame:
             order = np.lexsort((table.min(1), table.argmin(1)))
             for i in range(0, len(order), rows):
                 at = order[i : i + rows]
+                own = m[at]
+                own = own.astype(np.int32) if np.abs(own).max() < 2**31 else own  # wide components take eight bytes
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array([(task << 32) + made], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": pa.array([ids[at].tobytes()], pa.binary()),
-                    "vectors": pa.array([m[at].tobytes()], pa.binary()), "distances": pa.array([table[at].tobytes()], pa.binary()),
+                    "vectors": pa.array([own.tobytes()], pa.binary()), "distances": pa.array([table[at].tobytes()], pa.binary()),
                 })
                 made += 1
 
@@ -80,7 +83,7 @@ def _blocks(ints: DataFrame, chosen: dict, rows: int) -> DataFrame:
             dims = batch.column(2).to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                values = part.column(1).flatten().to_numpy().astype(np.int32).reshape(-1, dim)
+                values = part.column(1).flatten().to_numpy().reshape(-1, dim)
                 held.setdefault(dim, []).append((part.column(0).to_numpy(), values))
                 if sum(len(h[0]) for h in held[dim]) >= 4 * rows:
                     yield from emit(dim)
@@ -92,8 +95,8 @@ def _blocks(ints: DataFrame, chosen: dict, rows: int) -> DataFrame:
 
 def best_of_block(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, floor: np.ndarray, ids: np.ndarray, m: np.ndarray, far: np.ndarray, k: int) -> Iterator[tuple]:
     """(query, candidate ids, scores) of the best ``k`` of a block for each query, none below its floor; ties to the smaller id."""
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * q.shape[1] < 2**52
-    kind = np.float64 if exact else np.int64
+    largest = int(np.abs(q).max(initial=0)) * int(np.abs(m).max(initial=0)) * q.shape[1]
+    kind = np.float64 if largest < 2**52 else np.int64 if largest < 2**63 else object  # exact in any case
     qx, mx = q.astype(kind), m.astype(kind)
     q2, m2 = (q.astype(np.float64) ** 2).sum(1), (m.astype(np.float64) ** 2).sum(1)
     for i in range(len(q)):
@@ -142,13 +145,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
             for row in range(batch.num_rows):
                 q_block, dim, q_ids, q, q_far, ids, m, far = (batch.column(c)[row].as_py() for c in range(8))
                 q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                q, m = np.frombuffer(q, np.int32).reshape(-1, dim), np.frombuffer(m, np.int32).reshape(-1, dim)
+                q, m = (np.frombuffer(v, np.int32 if len(v) == 4 * dim * len(i) else np.int64).reshape(-1, dim) for v, i in ((q, q_ids), (m, ids)))
                 q_far, far = np.frombuffer(q_far).reshape(len(q), -1), np.frombuffer(far).reshape(len(m), -1)
                 # the k-th best score in the sample is a floor that every result reaches
                 seen, seen_ids = shared.value.get(dim, (np.zeros((0, dim)), np.zeros(0, np.int64)))
                 scores = np.where(seen_ids[None] == q_ids[:, None], -np.inf, q.astype(np.float64) @ seen.T)
                 floor = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
-                floor = floor - 1e-9 * np.abs(np.where(np.isfinite(floor), floor, 0))
+                # what rounding may have added, also where large products cancel
+                widest = float(np.sqrt((seen * seen).sum(1).max(initial=0))) if len(seen) else 0.0
+                floor = floor - 1e-9 * np.abs(np.where(np.isfinite(floor), floor, 0)) - 1e-12 * widest * np.sqrt((q.astype(np.float64) ** 2).sum(1))
                 for i, found, best in best_of_block(q_ids, q, q_far, floor, ids, m, far, k):
                     if len(found):
                         yield pa.RecordBatch.from_pydict({
