@@ -197,9 +197,9 @@ def test_a_hot_account_in_the_back_test(no_broadcast):
     """20,000 offer days of one account: each meets the months after its risk month only."""
     spark = no_broadcast
     perf = spark.range(48).select(F.lit(1).alias("account_id"), F.date_format(F.add_months(F.lit(dt.date(2020, 1, 1)), F.col("id").cast("int")), "yyyy-MM").alias("stmt_mth"),
-        F.lit("CORE").alias("brand"), F.lit("WORLD_ELITE").alias("card_type"), F.lit("3. PRIME").alias("tu_band"), F.lit(1).alias("raim"))
+        F.lit("CORE").alias("brand"), F.lit("WORLD_ELITE").alias("card_type"), F.lit("3. PRIME").alias("tu_band"), F.lit(3).alias("bfc"), F.lit(1).alias("cof"), F.lit(1).alias("guco"), F.lit("UNSECURED").alias("secure_type"))
     scores = perf.select("account_id", F.to_timestamp(F.concat("stmt_mth", F.lit("-01"))).alias("reference_date"), F.when(F.col("stmt_mth").isin("2021-03", "2022-12"), 1.0).otherwise(0.0).alias("prediction"))
-    offers = spark.range(20_000).select(F.lit(1).alias("account_id"), F.expr("date_add(date '2019-06-01', cast(id % 1600 as int))").alias("offer_date"), F.lit(1).alias("accepted_flag"))
+    offers = spark.range(20_000).select(F.lit(1).alias("account_id"), F.expr("date_add(date '2019-06-01', cast(id % 1600 as int))").alias("offer_date"), F.lit(1).alias("accepted_flag"), F.lit("UNSECURED").alias("sub_product"), F.lit(12).alias("cli_mob"))
     number = lambda m: int(m[:4]) * 12 + int(m[5:7])
     months, days = [r[0] for r in perf.select("stmt_mth").collect()], offers.groupBy("offer_date").count().collect()
     for after in (False, True):
