@@ -1,16 +1,16 @@
 """Exact similarity join of documents by word shingles, with a token-group matrix.
 
-Documents with equal shingle sets are one class. Similar classes are put into groups: a group is built around
-pivots that its members have been verified to be similar to. For every group the matrix stores the union of its
-members' tokens as a bit row: each token sets one bit of two to four a token. A query opens a group only if so few of its
-bits lack in the row that any member can be similar; members of an opened group are held against it by their own bits
-alike. Bits only bound the overlap from above; whole sets decide what is left. Only tokens of the prefix that similar
-sets must share, in an order that puts tokens common in the corpus last, look groups up.
+Documents with equal shingle sets are one class. Sets similar enough share a token of their prefixes, in an order that
+puts tokens common in the corpus last; classes without such a token are done. The others are put into groups of similar
+documents, each with the classes that have the same most shared prefix token, cut into parts of a few dozen classes. The
+matrix stores the union of each part's tokens, and every class as places in that union. Two parts meet if they share a
+prefix token: a bit row of each union first bounds how much any member can have in common with the other part, then the
+unions themselves do, and only members that may still be similar are opened and counted exactly. Parts are held against
+themselves and their neighbour first, which joins groups of copies; parts that are wholly one component by then need not meet.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 from collections.abc import Iterator
@@ -19,18 +19,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limitloom.llm.components import components
-from limitloom.llm.frames import BROADCAST_IDS, bloom_filter, buffer_of, chunks, durable, in_bloom, merged_counts, texts
+from limitloom.llm.frames import bloom_filter, buffer_of, chunks, durable, in_bloom, merged_counts, texts
 from limitloom.llm.words import shingle_sets
 
-# Tokens of one flush of a counting task; words per reducer; members of a group at most (larger ones are
-# split); documents that make a token common; common tokens that are broadcast at most.
-FLUSH, PER_BUCKET, MEMBERS, COMMON, MOST_COMMON = 3_000_000, 2_500_000, 64, 8, 1_000_000
-# Bytes of a token in stored sets: among two sets of 10,000 tokens, one in 10,000 pairs has a false match.
-TOKEN = 5
+# Tokens of one flush of a counting task; tokens per reducer; classes and tokens of a part (a longer set is a part of
+# its own or nearly); documents that make a token common; common tokens that are broadcast at most.
+FLUSH, PER_BUCKET, MEMBERS, PART_TOKENS, COMMON, MOST_COMMON = 1_000_000, 2_500_000, 64, 1 << 16, 2, 1_000_000
+# Columns of a union that are multiplied at once.
+COLUMNS = 1 << 14
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -53,11 +53,15 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _width(n: int) -> int:
+    return 1 << max(6, (2 * n - 1).bit_length())
+
+
 def _bits(tokens: np.ndarray) -> bytes:
     """A bit row of two to four bits a token (64 at least); a token's place is a residue, so rows fold to smaller widths."""
-    width = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    width = _width(len(tokens))
     row = np.zeros(width, np.uint8)
-    row[((tokens >> np.uint64(64 - 8 * TOKEN)) & np.uint64(width - 1)).astype(np.int64)] = 1
+    row[((tokens >> np.uint64(24)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(row).tobytes()
 
 
@@ -73,19 +77,15 @@ def _lacking(q: np.ndarray, u: np.ndarray) -> int:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), key of the set (null if empty) and its smallest token, which similar sets likely share."""
+    """doc_id, n (set size) and key of the set (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch, k):
                 keys = [_key(t) if len(t) else None for t in sets]
-                first = [int(t[0].view(np.int64)) if len(t) else None for t in sets]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column(0), "n": pa.array([len(t) for t in sets], pa.int32()), "key": pa.array(keys, pa.binary()),
-                    "least_token": pa.array(first, pa.int64()),
-                })
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array([len(t) for t in sets], pa.int32()), "key": pa.array(keys, pa.binary())})
 
-    return texts(docs).mapInArrow(run, "doc_id long, n int, key binary, least_token long")
+    return texts(docs).mapInArrow(run, "doc_id long, n int, key binary")
 
 
 def _bucket_starts(buckets: int, bits: int) -> np.ndarray:
@@ -132,7 +132,7 @@ def common_tokens(docs: DataFrame, k: int, bits: int, buckets: int) -> DataFrame
 
 
 def common_order(common: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted tokens and their class (log2 of the count), the most common million of them at most."""
+    """Sorted tokens and their counts: all classes of counts (by log2) from the highest on that hold a million tokens at most."""
     sizes = {c: n for c, n in common.groupBy(F.floor(F.log2("df")).cast("int").alias("c")).count().collect()}
     least, total = 64, 0
     for c in sorted(sizes, reverse=True):
@@ -140,203 +140,230 @@ def common_order(common: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if total > MOST_COMMON:
             break
         least = c
-    rows = common.select("token", F.floor(F.log2("df")).cast("int").alias("c")).filter(F.col("c") >= least).toArrow()
+    rows = common.filter(F.floor(F.log2("df")) >= least).select("token", "df").toArrow()
     tokens = rows.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], rows.column("c").to_numpy().astype(np.uint8)[order]
+    return tokens[order], rows.column("df").to_numpy()[order]
+
 
+def prefix_entries(docs: DataFrame, k: int, percent: int, common: DataFrame, bits: int) -> DataFrame:
+    """(token, key, n) of the prefix tokens that sets of at least two classes have; ``common`` is stored.
 
-def prefix_entries(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.ndarray], bits: int, buckets: int) -> DataFrame:
-    """(token, key) of all prefix tokens that sets of at least two classes have."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+    A bounded Bloom filter of the tokens in several documents spares the others the shuffle; the count behind it is exact.
+    """
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast((*common_order(common), bloom_filter(common, F.col("token"), common.count())))
     shift = np.uint64(64 - bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = shared.value
-        starts, seen = _bucket_starts(buckets, 64), set()
-        held: list[np.ndarray] = []
-        keys: list[bytes] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            tokens = np.concatenate(held)
-            own = np.repeat(np.frombuffer(b"".join(keys), "S12"), [len(h) for h in held])
-            by = np.argsort(tokens, kind="stable")
-            tokens, own = tokens[by], own[by]
-            cut = np.r_[0, np.searchsorted(tokens, starts), len(tokens)]
-            spans = [(i, a, b) for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
-            return pa.RecordBatch.from_pydict({
-                "bucket": pa.array([i for i, _, _ in spans], pa.int32()), "tokens": pa.array([_pack(tokens[a:b]) for _, a, b in spans], pa.binary()),
-                "keys": pa.array([own[a:b].tobytes() for _, a, b in spans], pa.binary()),
-            })
-
+        common, rank, several = shared.value
+        seen = set()
         for batch in batches:
             for _, sets in _sets(batch, k):
+                held, keys, sizes = [], [], []
                 for tokens in sets:
-                    if not len(tokens):
-                        continue
-                    key = _key(tokens)
-                    if key in seen:
+                    if not len(tokens) or (key := _key(tokens)) in seen:
                         continue
                     seen.add(key)
-                    take = len(tokens) + (-percent * len(tokens)) // 100 + 1
+                    take, n = len(tokens) + (-percent * len(tokens)) // 100 + 1, len(tokens)
                     if len(common):
                         cut = tokens >> shift
                         at = np.minimum(np.searchsorted(common, cut), len(common) - 1)
-                        hot = common[at] == cut
-                        if hot.any():
-                            tokens = tokens[np.argsort(np.where(hot, rank[at], 0), kind="stable")]
-                    held.append(tokens[:take])
-                    keys.append(key)
-                    size += take
-                if size >= FLUSH // 3:
-                    yield flush()
-                    held, keys, size = [], [], 0
-        if size:
-            yield flush()
+                        tokens = tokens[np.argsort(np.where(common[at] == cut, rank[at], 0), kind="stable")]
+                    tokens = tokens[:take]
+                    tokens = tokens[in_bloom(several, tokens >> shift)]
+                    held.append(tokens)
+                    keys += [key] * len(tokens)
+                    sizes += [n] * len(tokens)
+                tokens = np.concatenate(held).view(np.int64) if held else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_pydict({"token": pa.array(tokens), "key": pa.array(keys, pa.binary()), "n": pa.array(sizes, pa.int32())})
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.concatenate([_unpack(t) for t in rows.tokens])
-        own = np.concatenate([np.frombuffer(x, "S12") for x in rows["keys"]])
-        by = np.argsort(tokens, kind="stable")
-        tokens, own = tokens[by], own[by]
-        same = np.r_[False, tokens[1:] == tokens[:-1]]
-        keep = same | np.r_[same[1:], False]
-        tokens, own = tokens[keep], own[keep]
-        raw = np.ascontiguousarray(own).view(np.uint8).reshape(-1, 12)
-        return pd.DataFrame({"token": tokens.view(np.int64), "key": [r.tobytes() for r in raw]}).drop_duplicates()
+    entries = durable(texts(docs).mapInArrow(emit, "token long, key binary, n int").distinct(), "prefixes")
+    sides = entries.groupBy("token").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
+    sides = sides.filter((F.col("c") > 2) | ((F.col("c") == 2) & (F.col("high") * percent <= F.col("low") * 100)))
+    return entries.join(sides.select("token", "c"), "token")
 
-    blobs = texts(docs).mapInArrow(emit, "bucket int, tokens binary, keys binary")
-    return blobs.groupBy("bucket").applyInPandas(meet, "token long, key binary")
 
+def placed_in_parts(entries: DataFrame) -> DataFrame:
+    """(key, n, g, p, parts): each class beside those with the same most shared prefix token, and its part of that group."""
+    homes = entries.groupBy("key").agg(F.max("n").alias("n"), F.max(F.struct("c", "token")).alias("most")).select("key", "n", F.col("most.token").alias("g"))
+    homes = durable(homes, "homes")
+    parts = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / PART_TOKENS))
+    sizes = homes.groupBy("g").agg(parts.alias("parts"))
+    return homes.join(sizes, "g").select("key", "n", "g", F.pmod(F.xxhash64("key"), "parts").alias("p"), "parts")
 
-def token_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(key, tokens, bits) of the classes ``wanted`` (distinct key): ``TOKEN`` bytes a token, and the set's bit row.
+
+def token_sets(docs: DataFrame, k: int, members: DataFrame) -> DataFrame:
+    """(key, g, p, parts, tokens) of the classes ``members``, eight bytes a token.
 
     A bounded Bloom filter keeps the scan from emitting sets that nobody needs; the join behind it is exact.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted, F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long"), wanted.count()))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(members, F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long"), members.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             for _, sets in _sets(batch, k):
-                keys, out, rows = [], [], []
+                keys, out = [], []
                 for t in sets:
                     if len(t) and (key := _key(t)) not in seen and in_bloom(bits.value, np.array([int.from_bytes(key[:7], "big")]))[0]:
                         seen.add(key)
                         keys.append(key)
-                        out.append(np.ascontiguousarray(t.view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN :]).tobytes())
-                        rows.append(_bits(t))
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "tokens": pa.array(out, pa.binary()), "bits": pa.array(rows, pa.binary())})
-
-    found = texts(docs).mapInArrow(run, "key binary, tokens binary, bits binary")
-    return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
+                        out.append(t.tobytes())
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "tokens": pa.array(out, pa.binary())})
 
+    found = texts(docs).mapInArrow(run, "key binary, tokens binary")
+    return found.join(members.select("key", "g", "p", "parts"), "key").groupBy("key", "g", "p", "parts").agg(F.first("tokens").alias("tokens"))
 
-def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // TOKEN, 8), np.uint8)
-    out[:, :TOKEN] = np.frombuffer(data, np.uint8).reshape(-1, TOKEN)
-    return out.view(np.uint64).ravel()
 
+MATRIX = "g long, p long, parts long, keys binary, sizes binary, union binary, places binary, u binary, rows binary"
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    both = np.concatenate([a, b])
-    both.sort()
-    return int((both[1:] == both[:-1]).sum())
 
+def token_group_matrix(sets: DataFrame) -> DataFrame:
+    """A row per part: its keys and set sizes, the union of its tokens, every set as places in it, and the bit rows of union and sets.
 
-def _tested(pairs: DataFrame, names: list[str], test) -> DataFrame:
-    """The named leading binary columns of the rows whose last two columns (packed tokens) pass ``test``."""
+    A part has ``MEMBERS`` classes and ``PART_TOKENS`` tokens or little more, so a row is bounded but for a single very long text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last = None
-            keep = []
-            for left, right in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True):
-                raw = left.as_py()
-                if last is None or last[0] != raw:
-                    last = (raw, np.unique(_wide(raw)))
-                keep.append(test(last[1], np.unique(_wide(right.as_py()))))
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(keep, pa.bool_()))
-
-    kinds = dict(pairs.dtypes)
-    return pairs.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
-
-
-def _narrowed(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """The sets of ``keys`` (a stored frame's column). Few enough keys are broadcast, so that other sets need not be shuffled."""
-    keys = keys.distinct()
-    return sets.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= BROADCAST_IDS else sets
-
+            for i in range(batch.num_rows):
+                rows = sorted(batch.column(3)[i].as_py(), key=lambda r: r["key"])
+                sets = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
+                union, places = np.unique(np.concatenate(sets), return_inverse=True)
+                yield pa.RecordBatch.from_pydict({
+                    **{name: batch.column(j).slice(i, 1) for j, name in enumerate(("g", "p", "parts"))},
+                    "keys": pa.array([b"".join(r["key"] for r in rows)], pa.binary()), "sizes": pa.array([np.array([len(t) for t in sets], np.uint32).tobytes()], pa.binary()),
+                    "union": pa.array([union.tobytes()], pa.binary()), "places": pa.array([places.astype(np.uint32).tobytes()], pa.binary()),
+                    "u": pa.array([_bits(union)], pa.binary()), "rows": pa.array([b"".join(map(_bits, sets))], pa.binary()),
+                })
 
-def _released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which it does once the driver has collected their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return sets.groupBy("g", "p", "parts").agg(F.collect_list(F.struct("key", "tokens")).alias("sets")).mapInArrow(run, MATRIX)
+
+
+def _may_meet(left: dict, right: dict, percent: int) -> bool:
+    """Whether, by bit rows, a set of each part may have enough tokens in the other part's union."""
+    for own, other in ((left, right), (right, left)):
+        u, at, any_ = np.frombuffer(other["u"], np.uint8), 0, False
+        for n in np.frombuffer(own["sizes"], np.uint32).tolist():
+            width = _width(n) // 8
+            if not any_:
+                any_ = 100 * (n - _lacking(np.frombuffer(own["rows"], np.uint8, width, at), u)) >= percent * n
+            at += width
+        if not any_:
+            return False
+    return True
+
+
+def _overlaps(own: dict, columns: np.ndarray, total: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Members that have enough tokens among the shared columns of the union, their sizes, and where their places lie."""
+    n = np.frombuffer(own["sizes"], np.uint32).astype(np.int64)
+    to = np.full(len(own["union"]) // 8, -1, np.int64)
+    to[columns] = np.arange(total)
+    at = to[np.frombuffer(own["places"], np.uint32)]
+    member = np.repeat(np.arange(len(n)), n)[at >= 0]
+    at = at[at >= 0]
+    open_ = np.flatnonzero(100 * np.bincount(member, minlength=len(n)) >= percent * n)
+    row = np.full(len(n), -1, np.int64)
+    row[open_] = np.arange(len(open_))
+    keep = row[member] >= 0
+    return open_, n[open_], row[member][keep], at[keep]
+
+
+def _part_links(left: dict, right: dict, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between the sets of two parts (or of one part, given twice), as many as connect what their links connect."""
+    a, b = np.frombuffer(left["union"], np.uint64), np.frombuffer(right["union"], np.uint64)
+    _, in_a, in_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    x, y = _overlaps(left, in_a, len(in_a), percent), _overlaps(right, in_b, len(in_a), percent)
+    if not len(x[0]) or not len(y[0]):
+        return []
+    both = np.zeros((len(x[0]), len(y[0])), np.int64)
+    for start in range(0, len(in_a), COLUMNS):
+        sides = []
+        for open_, _, member, at in (x, y):
+            here = (at >= start) & (at < start + COLUMNS)
+            side = np.zeros((len(open_), min(COLUMNS, len(in_a) - start)), np.float32)
+            side[member[here], at[here] - start] = 1
+            sides.append(side)
+        both += (sides[0] @ sides[1].T).astype(np.int64)
+    near = 100 * both >= percent * (x[1][:, None] + y[1][None, :] - both)
+    keys = [[side["keys"][12 * i : 12 * i + 12] for i in open_.tolist()] for side, open_ in ((left, x[0]), (right, y[0]))]
+    top = {key: key for side in keys for key in side}
+
+    def root(key: bytes) -> bytes:
+        while top[key] != key:
+            top[key] = key = top[top[key]]
+        return key
+
+    out = []
+    for i, j in np.argwhere(near).tolist():
+        p, q = root(keys[0][i]), root(keys[1][j])
+        if p != q:
+            top[p] = q
+            out.append((keys[0][i], keys[1][j]))
+    return out
+
+
+def links_within(matrix: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one part."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = [link for row in _dicts(batch) if len(row["keys"]) > 12 for link in _part_links(row, row, percent)]
+            yield _link_batch(links)
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs of classes whose Jaccard similarity reaches the threshold."""
-    left = _narrowed(sets, pairs.select(F.col("a").alias("key"))).select(F.col("key").alias("a"), F.col("tokens").alias("a_tokens"))
-    right = _narrowed(sets, pairs.select(F.col("b").alias("key"))).select(F.col("key").alias("b"), F.col("tokens").alias("b_tokens"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "a_tokens", "b_tokens")
+    return matrix.select("keys", "sizes", "union", "places").mapInArrow(run, "a binary, b binary")
 
-    def close(x: np.ndarray, y: np.ndarray) -> bool:
-        both = _common(x, y)
-        return 100 * both >= percent * (len(x) + len(y) - both)
 
-    return _tested(rows, ["a", "b"], close)
+def links_between(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the parts (g, p) and (h, q) of ``pairs``; sets travel only for parts whose bit rows let them."""
 
+    def side(names: list[str], right: bool) -> DataFrame:
+        keys = {"g": "h", "p": "q"} if right else {"g": "g", "p": "p"}
+        return matrix.select(*[F.col(x).alias(y) for x, y in keys.items()], F.struct(*names).alias("right" if right else "left"))
 
-def group_unions(bits: DataFrame) -> DataFrame:
-    """(g, p, u): the union of the bit rows of each part of a group; a part has a few dozen members, so its row is bounded."""
+    def both(pairs: DataFrame, names: list[str]) -> DataFrame:
+        return pairs.join(side(names, False), ["g", "p"]).join(side(names, True), ["h", "q"]).select("g", "p", "h", "q", "left", "right")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for rows in batch.column(2):
-                rows = [np.frombuffer(r, np.uint8) for r in rows.as_py()]
-                size = max(map(len, rows))
-                out.append(np.bitwise_or.reduce([_folded(r, size) for r in rows]).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["g", "p", "u"])
+            keep = [_may_meet(row["left"], row["right"], percent) for row in _dicts(batch)]
+            yield batch.select(["g", "p", "h", "q"]).filter(pa.array(keep, pa.bool_()))
 
-    return bits.groupBy("g", "p").agg(F.collect_list("bits").alias("sets")).mapInArrow(run, "g binary, p long, u binary")
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _link_batch([link for row in _dicts(batch) for link in _part_links(row["left"], row["right"], percent)])
 
+    enough = durable(both(pairs, ["sizes", "u", "rows"]).mapInArrow(bounded, "g long, p long, h long, q long"), "qualifying")
+    return both(enough, ["keys", "sizes", "union", "places"]).mapInArrow(opened, "a binary, b binary")
 
-def _bounded(rows: DataFrame, names: list[str], test) -> DataFrame:
-    """The named columns of the rows (with qn, n, q and u: sizes and bit rows) that pass ``test``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("qn", "n")]
-            own = [batch.column(batch.schema.get_field_index(x)) for x in ("q", "u")]
-            keep = [test(i, j, *(np.frombuffer(x.as_buffer(), np.uint8) for x in pair)) for i, j, *pair in zip(*sizes, *own, strict=True)]
-            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+def _dicts(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows one by one, so that one pair of parts at a time is held as Python objects."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
+def _link_batch(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
-def opened(asked: DataFrame, unions: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of queries with members of the groups whose union holds enough of the query's tokens; ``asked`` is stored."""
 
-    def group_fits(n: int, _: int, q: np.ndarray, u: np.ndarray) -> bool:
-        return 100 * (n - _lacking(q, u)) >= percent * n
+def apart(entries: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of parts that share a prefix token, hold sets of fitting sizes and are not of one component, each once.
 
-    def member_fits(n: int, m: int, q: np.ndarray, u: np.ndarray) -> bool:
-        return (100 + percent) * min(n - _lacking(q, u), m - _lacking(u, q)) >= percent * (n + m)
-
-    query = _narrowed(sets.select("key", "bits"), asked.select(F.col("a").alias("key"))).select(F.col("key").alias("a"), F.col("bits").alias("q"))
-    rows = asked.join(query, "a").join(unions, ["g", "p"]).select("a", "qn", "g", "p", "q", "u", F.col("qn").alias("n"))
-    enough = _bounded(rows, ["a", "qn", "g", "p", "q"], group_fits)
-    fit = (F.col("qn") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("qn") * 100)
-    beside = enough.join(members, ["g", "p"]).filter(fit).select("a", F.col("key").alias("b"), "qn", "n", "q", F.col("bits").alias("u"))
-    candidates = durable(_bounded(beside, ["a", "b"], member_fits), "candidates")
-    _released(asked.sparkSession)
-    links = durable(similar_pairs(candidates, sets.select("key", "tokens"), percent), "links")
-    _released(asked.sparkSession)
-    return links
+    A part is compared with itself and its neighbour before, so those pairs are left out.
+    """
+    home = members.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", "g", "p", F.coalesce("label", "key").alias("comp"))
+    rows = entries.select("token", "key", "n").join(durable(home, "components"), "key")
+    rows = rows.groupBy("token", "g", "p").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"))
+    rows = durable(rows, "part-tokens")
+    several = rows.groupBy("token").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("c")).filter("c > 1 and first <> last")
+    rows = rows.join(several.select("token"), "token", "left_semi")
+    other = rows.select("token", *[F.col(x).alias(y) for x, y in (("g", "h"), ("p", "q"), ("low", "low2"), ("high", "high2"), ("first", "first2"), ("last", "last2"))])
+    after = (F.col("g") < F.col("h")) | ((F.col("g") == F.col("h")) & (F.col("q") > F.col("p") + 1))
+    sizes = (F.col("low") * percent <= F.col("high2") * 100) & (F.col("low2") * percent <= F.col("high") * 100)
+    one = (F.col("first") == F.col("last")) & (F.col("first2") == F.col("last2")) & (F.col("first") == F.col("first2"))
+    return rows.join(other, (rows.token == other.token) & after & sizes & ~one).select("g", "p", "h", "q").distinct()
 
 
 def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -346,76 +373,22 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     nothing (component_id is their own id); so do rows with a null id, whose set still links others.
     Repeated rows have the same set and therefore the same class.
     """
-    spark = docs.sparkSession
     rows = durable(signed(docs, k), "sets")
-    classes = rows.filter("key is not null").groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("least_token").alias("least_token"))
-    classes = durable(classes, "classes")
+    classes = durable(rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")), "classes")
     words = max(1, rows.agg(F.sum("n")).first()[0] or 1)
     bits, buckets = max(32, 4 + math.ceil(math.log2(words))), max(16, -(-words // PER_BUCKET))
 
-    fits = lambda a, b: (F.col(a) * percent <= F.col(b) * 100) & (F.col(b) * percent <= F.col(a) * 100)
-    # groups: each class beside the smallest class that shares its smallest token, if their sizes fit
-    pivot = classes.groupBy("least_token").agg(F.min(F.struct("key", "n")).alias("p"), F.count("*").alias("c")).filter("c > 1")
-    stars = classes.join(pivot, "least_token").filter("key <> p.key").withColumn("pn", F.col("p.n")).filter(fits("n", "pn")).select(F.col("p.key").alias("a"), F.col("key").alias("b"))
-    stars = durable(stars, "stars")
-    wanted = stars.select(F.col("a").alias("key")).union(stars.select(F.col("b").alias("key"))).distinct()
-    star_sets = durable(token_sets(docs, k, durable(wanted, "wanted")).select("key", "tokens"), "star-sets")
-    near = durable(similar_pairs(stars, star_sets, percent), "near")
-    del star_sets
-    _released(spark)
-    labels = components(near)
-    grouped = classes.join(labels, classes.key == labels.node, "left").select("key", "n", F.coalesce("label", "key").alias("comp"))
-    sizes = labels.groupBy(F.col("label").alias("comp")).agg(F.count("*").alias("size"))
-    grouped = grouped.join(sizes, "comp", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    grouped = durable(grouped.select("key", "n", "comp", "size", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / MEMBERS)).alias("part")), "groups")
-
-    order = common_order(durable(common_tokens(docs, k, bits, buckets), "common"))
-    _released(spark)
-    entries = durable(prefix_entries(docs, k, percent, order, bits, buckets).join(grouped, "key"), "entries")
-    matrix = entries.groupBy("token", F.col("comp").alias("g"), F.col("part").alias("p"), F.col("size").alias("gs")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    # of two groups the smaller asks, so that a stray copy meets a large group's parts and not each of its members
-    asks = (F.col("size") < F.col("gs")) | ((F.col("size") == F.col("gs")) & (F.col("comp") < F.col("g")))
-    asked = (
-        entries.join(matrix, "token")
-        .filter(asks & (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100))
-        .groupBy(F.col("key").alias("a"), F.col("n").alias("qn"), "comp", "g", "p")
-        .agg(F.count("*").alias("met"), F.min("low").alias("low"), F.max("high").alias("high"))
-    )
-    # sets of qn and m tokens that share enough of them share more prefix tokens than this; least at the ends of the sizes met
-    beyond = lambda m: percent * (F.col("qn") + m) / (100 + percent) - percent * F.greatest("qn", m) / 100
-    fewest, most = F.greatest(F.col("low"), F.ceil(F.col("qn") * percent / 100)), F.least(F.col("high"), F.floor(F.col("qn") * 100 / percent))
-    asked = durable(asked.filter(F.col("met") > F.least(beyond(fewest), beyond(most)) - 1e-6).drop("low", "high"), "asked")
-    _released(spark)
-    members = durable(grouped.join(asked.select(F.col("g").alias("comp"), F.col("p").alias("part")).distinct(), ["comp", "part"], "left_semi"), "members")
-    wanted = durable(members.select("key").union(asked.select(F.col("a").alias("key"))).distinct(), "wanted")
-    sets = durable(token_sets(docs, k, wanted), "token-sets")
-    members = members.join(sets.select("key", "bits"), "key").select("key", "n", F.col("comp").alias("g"), F.col("part").alias("p"), "bits")
-    members = durable(members, "members")
-    unions = durable(group_unions(members.select("g", "p", "bits")), "token-group-matrix")
-    # one question per group first, then one per pair of groups still apart, then all that are left: a link
-    # between two groups settles every other question between them
-    _released(spark)
-    links, labels = near, None
-    for by in (["comp"], ["lq", "lg"], None):
-        if labels is None:
-            open_ = asked.withColumn("lq", F.col("comp")).withColumn("lg", F.col("g"))
-        else:
-            names = durable(labels, "labels")
-            open_ = (
-                asked.join(names.select(F.col("node").alias("comp"), F.col("label").alias("lq")), "comp", "left")
-                .join(names.select(F.col("node").alias("g"), F.col("label").alias("lg")), "g", "left")
-                .withColumns({"lq": F.coalesce("lq", "comp"), "lg": F.coalesce("lg", "g")})
-                .filter("lq <> lg")
-            )
-        if by:
-            share = F.col("met") / F.col("qn")
-            open_ = open_.groupBy(*by).agg(F.max(F.struct(share.alias("share"), "a", "g", "p", "qn")).alias("q")).select("q.a", "q.qn", "q.g", "q.p")
-        found = opened(durable(open_.select("a", "qn", "g", "p"), "questions"), unions, members, sets, percent)
-        links = links.union(found)
-        labels = components(links)
-        _released(spark)
-    final = labels
-    placed = classes.join(final, classes.key == final.node, "left").select("key", "least", F.coalesce("label", "key").alias("comp"))
+    common = durable(common_tokens(docs, k, bits, buckets), "common")
+    entries = durable(prefix_entries(docs, k, percent, common, bits), "entries")
+    members = durable(placed_in_parts(entries), "members")
+    matrix = durable(token_group_matrix(token_sets(docs, k, members)), "token-group-matrix")
+
+    beside = matrix.filter("p + 1 < parts").select("g", "p", F.col("g").alias("h"), (F.col("p") + 1).alias("q"))
+    near = durable(links_within(matrix, percent).union(links_between(beside, matrix, percent)), "near")
+    pairs = durable(apart(entries, members, components(near), percent), "pairs")
+    labels = components(near.union(durable(links_between(pairs, matrix, percent), "links")))
+
+    placed = classes.join(labels, classes.key == labels.node, "left").select("key", "least", F.coalesce("label", "key").alias("comp"))
     smallest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = durable(placed.join(smallest, "comp").select("key", "component_id"), "named")
     own = rows.filter("key is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
