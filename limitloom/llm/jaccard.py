@@ -152,7 +152,7 @@ def prefix_entries(docs: DataFrame, k: int, percent: int, common: DataFrame, bit
     A bounded Bloom filter of the tokens in several documents spares the others the shuffle; the count behind it is exact.
     """
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((*common_order(common), bloom_filter(common, F.col("token"), common.count())))
+    shared = sc.broadcast((*common_order(common), bloom_filter(common, F.col("token"), 4 * common.count())))
     shift = np.uint64(64 - bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +179,24 @@ def prefix_entries(docs: DataFrame, k: int, percent: int, common: DataFrame, bit
                 yield pa.RecordBatch.from_pydict({"token": pa.array(tokens), "key": pa.array(keys, pa.binary()), "n": pa.array(sizes, pa.int32())})
 
     entries = durable(texts(docs).mapInArrow(emit, "token long, key binary, n int").distinct(), "prefixes")
+    return durable(_promising(entries, percent), "entries")
+
+
+def _promising(entries: DataFrame, percent: int) -> DataFrame:
+    """The entries whose token and class may be part of a link, with c, the classes that have the token.
+
+    Of two similar sets of n and m tokens, t of them shared, the one whose prefix ends first in the order has all but
+    ``percent`` of its size of the shared tokens in both prefixes; so a class needs more shared prefix tokens than the
+    bound below, which is least at the ends of the sizes it meets.
+    """
     sides = entries.groupBy("token").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
     sides = sides.filter((F.col("c") > 2) | ((F.col("c") == 2) & (F.col("high") * percent <= F.col("low") * 100)))
-    return entries.join(sides.select("token", "c"), "token")
+    met = durable(entries.select("token", "key", "n").join(sides, "token"), "met")
+    beyond = lambda m: percent * (F.col("n") + m) / (100 + percent) - percent * F.greatest("n", m) / 100
+    fewest, most = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100)), F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
+    enough = met.groupBy("key", "n").agg(F.count("*").alias("met"), F.min("low").alias("low"), F.max("high").alias("high"))
+    enough = enough.filter(F.col("met") > F.least(beyond(fewest), beyond(most)) - 1e-6)
+    return met.join(enough.select("key"), "key", "left_semi").select("token", "key", "n", "c")
 
 
 def placed_in_parts(entries: DataFrame) -> DataFrame:
@@ -194,19 +209,23 @@ def placed_in_parts(entries: DataFrame) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, k: int, members: DataFrame) -> DataFrame:
-    """(key, g, p, parts, tokens) of the classes ``members``, eight bytes a token.
+    """(key, g, p, parts, tokens) of the classes ``members`` (stored, with the class's smallest doc_id), eight bytes a token.
 
-    A bounded Bloom filter keeps the scan from emitting sets that nobody needs; the join behind it is exact.
+    A bounded Bloom filter of key and doc_id keeps the scan from emitting sets that nobody needs, and those of further copies;
+    the join behind it is exact.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(members, F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long"), members.count()))
+    hashed = F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long").bitwiseXOR(F.coalesce("least", F.lit(-1)))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(members, hashed, members.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            for _, sets in _sets(batch, k):
+            for part, sets in _sets(batch, k):
                 keys, out = [], []
-                for t in sets:
-                    if len(t) and (key := _key(t)) not in seen and in_bloom(bits.value, np.array([int.from_bytes(key[:7], "big")]))[0]:
+                for i, t in zip(part.column(0).to_pylist(), sets, strict=True):
+                    if not len(t) or (key := _key(t)) in seen:
+                        continue
+                    if in_bloom(bits.value, np.array([int.from_bytes(key[:7], "big") ^ (-1 if i is None else i)], np.int64))[0]:
                         seen.add(key)
                         keys.append(key)
                         out.append(t.tobytes())
@@ -376,11 +395,11 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rows = durable(signed(docs, k), "sets")
     classes = durable(rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")), "classes")
     words = max(1, rows.agg(F.sum("n")).first()[0] or 1)
-    bits, buckets = max(32, 4 + math.ceil(math.log2(words))), max(16, -(-words // PER_BUCKET))
+    bits, buckets = max(32, 9 + math.ceil(math.log2(words))), max(16, -(-words // PER_BUCKET))
 
     common = durable(common_tokens(docs, k, bits, buckets), "common")
-    entries = durable(prefix_entries(docs, k, percent, common, bits), "entries")
-    members = durable(placed_in_parts(entries), "members")
+    entries = prefix_entries(docs, k, percent, common, bits)
+    members = durable(placed_in_parts(entries).join(classes, "key"), "members")
     matrix = durable(token_group_matrix(token_sets(docs, k, members)), "token-group-matrix")
 
     beside = matrix.filter("p + 1 < parts").select("g", "p", F.col("g").alias("h"), (F.col("p") + 1).alias("q"))
