@@ -29,8 +29,8 @@ from limitloom.llm.words import shingle_sets
 # Tokens of one flush of a counting task; tokens per reducer; classes and tokens of a part (a longer set is a part of
 # its own or nearly); documents that make a token common; common tokens that are broadcast at most.
 FLUSH, PER_BUCKET, MEMBERS, PART_TOKENS, COMMON, MOST_COMMON = 1_000_000, 2_500_000, 64, 1 << 16, 2, 1_000_000
-# Columns of a union that are multiplied at once.
-COLUMNS = 1 << 14
+# Ratio of the ends of a band of set sizes; columns of a union that are multiplied at once.
+BAND, COLUMNS = 1.04, 1 << 14
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -183,20 +183,21 @@ def prefix_entries(docs: DataFrame, k: int, percent: int, common: DataFrame, bit
 
 
 def _promising(entries: DataFrame, percent: int) -> DataFrame:
-    """The entries whose token and class may be part of a link, with c, the classes that have the token.
+    """The entries whose token and class may be part of a link, with c, the classes that have the token; ``entries`` is stored.
 
-    Of two similar sets of n and m tokens, t of them shared, the one whose prefix ends first in the order has all but
-    ``percent`` of its size of the shared tokens in both prefixes; so a class needs more shared prefix tokens than the
-    bound below, which is least at the ends of the sizes it meets.
+    Of two similar sets the one whose prefix ends first in the order has all but ``percent`` of its size of the shared
+    tokens in both prefixes. So a class must share more prefix tokens than the bound below with classes of one band of
+    sizes; the bound is least at the ends of the sizes met there. A class meets a band once a token, never its classes.
     """
-    sides = entries.groupBy("token").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
-    sides = sides.filter((F.col("c") > 2) | ((F.col("c") == 2) & (F.col("high") * percent <= F.col("low") * 100)))
-    met = durable(entries.select("token", "key", "n").join(sides, "token"), "met")
+    banded = entries.withColumn("band", F.floor(F.log("n") / math.log(BAND)).cast("int"))
+    sides = banded.groupBy("token", F.col("band").alias("other")).agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
+    fit = (F.col("low") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("high") * 100) & ((F.col("other") != F.col("band")) | (F.col("c") > 1))
+    met = banded.join(sides, "token").filter(fit).groupBy("key", "n", "other").agg(F.count("*").alias("met"), F.min("low").alias("low"), F.max("high").alias("high"))
     beyond = lambda m: percent * (F.col("n") + m) / (100 + percent) - percent * F.greatest("n", m) / 100
     fewest, most = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100)), F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
-    enough = met.groupBy("key", "n").agg(F.count("*").alias("met"), F.min("low").alias("low"), F.max("high").alias("high"))
-    enough = enough.filter(F.col("met") > F.least(beyond(fewest), beyond(most)) - 1e-6)
-    return met.join(enough.select("key"), "key", "left_semi").select("token", "key", "n", "c")
+    enough = met.filter(F.col("met") > F.least(beyond(fewest), beyond(most)) - 1e-6).select("key").distinct()
+    left = durable(entries.join(durable(enough, "promising"), "key", "left_semi"), "promising-entries")
+    return left.join(left.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "token")
 
 
 def placed_in_parts(entries: DataFrame) -> DataFrame:
