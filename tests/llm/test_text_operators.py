@@ -139,6 +139,22 @@ def test_similarity_classes_equal_brute_force(frame):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_classes(texts, k, percent)
 
 
+def test_large_groups_of_near_copies_equal_brute_force(frame):
+    """Copies that mostly link through their base only, and copies without one that mostly do not link at all."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for seed, base in ((11, True), (12, False)):
+        words = prose(seed, 100).split()
+        texts += [" ".join(words)] if base else []
+        for i in range(150):
+            other = list(words)
+            for at in rng.integers(0, 100, 1 if base else 2):
+                other[at] = f"edit{i}x{at}"
+            texts.append(" ".join(other))
+    out = jaccard.similarity_classes(docs_of(frame, *texts), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_classes(texts, 4, 85)
+
+
 def test_bit_rows_never_undercount_an_overlap():
     rng = np.random.default_rng(3)
     for n, m, shared in ((1, 1, 0), (1, 1, 1), (40, 45, 40), (200, 170, 120), (3000, 90, 90), (5000, 5200, 1000)):
