@@ -16,11 +16,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limitloom.llm.frames import texts
+from limitloom.llm.frames import durable, texts
 
 BLOCK, LEVEL, DICTIONARY = 2048, 3, 48 << 10
-# The labelled sample: rows of each class, blocks of a text that go into a dictionary, longest text.
-PER_CLASS, PER_TEXT, LONGEST = 2000, 6, 60_000
+# The labelled sample: rows of each class, blocks of a text that go into a dictionary.
+PER_CLASS, PER_TEXT = 2000, 6
 
 
 @dataclass
@@ -83,7 +83,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = P
     """Dictionaries and curve from at most ``per_class`` labelled rows of each class.
 
     ``usable`` (over labels.doc_id) says which labelled rows may be learned from. Labels that are null
-    or contradict each other are not used. Half the sample makes the dictionaries, half fits the curve.
+    or contradict each other are not used; of an id with several texts the one with the smallest hash is. Texts of any
+    length take part: some blocks of each in half the sample make the dictionaries, and the curve is fitted on sizes of
+    the whole texts of the other half, measured in tasks, so the driver holds a bounded number of blocks and features.
     Without both classes the model scores all texts with the share of good rows (0.5 without any).
     """
     agreed = (
@@ -96,24 +98,33 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = P
     if len(counts) < 2:
         total = sum(counts.values())
         return Model(b"", b"", np.zeros(0), counts.get(1, 0) / total if total else 0.5)
-    rows = []
-    for y in (0, 1):
-        # a bounded sample: the ids are collected, and the texts found by them in one scan
-        ids = [r.doc_id for r in agreed.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
-        wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))
-        found = texts(docs).filter(F.length("text").between(1, LONGEST)).join(wanted, "doc_id").collect()
-        rows += [(hash_of(r.doc_id), y, r.text.encode()) for r in found]
-    rows.sort()
-    half = {y: [r[2] for r in rows if r[1] == y and r[0] % 2 == 0] for y in (0, 1)}
-    samples = {y: [b for t in half[y] for b in _spread(_blocks(t), PER_TEXT)] for y in (0, 1)}
-    good, bad = train_dictionary(samples[1]), train_dictionary(samples[0])
-    measure = Measure(good, bad)
-    rest = [r for r in rows if r[0] % 2]
+    # a bounded sample: the ids are collected, and one text of each is found by them in one scan
+    ids = [(r.doc_id, y) for y in (0, 1) for r in agreed.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
+    wanted = docs.sparkSession.createDataFrame([(i, y, hash_of(i) % 2 == 1) for i, y in ids], "doc_id long, y int, fits boolean")
+    found = texts(docs).filter(F.length("text") > 0).join(F.broadcast(wanted), "doc_id")
+    chosen = durable(found.groupBy("doc_id", "y", "fits").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
+
+    def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = [_spread(_blocks(t.as_py().encode()), PER_TEXT) for t in batch.column(2)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "y": batch.column(1), "blocks": pa.array(blocks, pa.list_(pa.binary()))})
+
+    halves = chosen.filter("not fits").select("doc_id", "y", "text").mapInArrow(samples, "doc_id long, y int, blocks array<binary>").collect()
+    halves.sort(key=lambda r: (hash_of(r.doc_id), r.doc_id))
+    good, bad = (train_dictionary([bytes(b) for r in halves if r.y == y for b in r.blocks]) for y in (1, 0))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = Measure(good, bad)
+        for batch in batches:
+            features = [list(measure(t.as_py().encode())) for t in batch.column(2)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "y": batch.column(1), "x": pa.array(features, pa.list_(pa.float64()))})
+
+    rest = chosen.filter("fits").select("doc_id", "y", "text").mapInArrow(measured, "doc_id long, y int, x array<double>").collect()
+    rest.sort(key=lambda r: (hash_of(r.doc_id), r.doc_id))
     base = counts[1] / (counts[0] + counts[1])
-    if len({r[1] for r in rest}) < 2:
+    if len({r.y for r in rest}) < 2:
         return Model(b"", b"", np.zeros(0), base)
-    x = np.array([measure(r[2]) for r in rest])
-    return Model(good, bad, fit_logistic(x, np.array([r[1] for r in rest]), base), base)
+    return Model(good, bad, fit_logistic(np.array([r.x for r in rest]), np.array([r.y for r in rest]), base), base)
 
 
 def hash_of(doc_id: int) -> int:

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from limitloom.llm import archives, compressors, edits, jaccard, languages, packing, pivots, suffixes, surrogates, templates
@@ -96,6 +97,21 @@ def test_compression_score_learns_junk(frame):
     assert sum(r.predicted == int(r.doc_id < 60) for r in rows if r.doc_id < 120) >= 114
 
 
+def test_long_and_repeated_labelled_texts_are_learned_from(frame):
+    good = [prose(i, 14_000 if i < 30 else 200) for i in range(60)]
+    bad = [" ".join(w + "%%%" for w in prose(100 + i, 200).split()) for i in range(60)]
+    rows = [(i, t, "en", "s", 0, 1) for i, t in enumerate(good + bad)]
+    docs = frame(DOCS + ", y int", *rows, *rows[:3], (4, "another text of id 4", "en", "s", 0, 1))
+    labels = frame("doc_id long, quality int, toxic int", *[(i, int(i < 60), 0) for i in range(120)], *[(7, 1, 0)] * 50)
+    model = compressors.train(docs, labels, F.lit(True))
+    # the long texts, of 70,000 characters, are half of the good ones
+    again = compressors.train(docs.repartition(5), labels, F.lit(True))
+    assert (model.good, model.bad, model.weights.tolist()) == (again.good, again.bad, again.weights.tolist())
+    got = compressors.score(docs, model).collect()
+    assert len(got) == 124 and sum(r.predicted == int(r.doc_id < 60) for r in got) >= 118
+    assert compressors.classify(docs.limit(0), labels).count() == 0
+
+
 def test_scores_without_labels(frame):
     rows = compressors.classify(docs_of(frame, "some text", None), frame("doc_id long, quality int, toxic int")).collect()
     assert [r.score for r in rows] == [0.5, 0.5]
