@@ -184,10 +184,13 @@ def _parts(kind: Column, mention: Column) -> Column:
 def replace(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with all personal data in ``text`` replaced; other columns, and texts without any, as they are.
 
-    A null text stays null. ``count`` names a further column with the number of mentions replaced. Rows are told apart by a
-    number given when they are stored, so repeated rows and null ids do no harm.
+    A null text stays null. ``count`` names a further column with the number of mentions replaced; where ``docs`` has a column
+    of that name, whatever its case, underscores follow until the name is free. Rows are told apart by a number given when
+    they are stored, so repeated rows and null ids do no harm.
     """
     columns = docs.columns
+    while count and count.lower() in {c.lower() for c in columns}:
+        count += "_"
     t = F.col(text).cast("string")
     hit = F.coalesce(t.rlike(HINT) & t.rlike(ANY), F.lit(False))
     clean = docs.filter(~hit)
