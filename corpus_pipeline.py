@@ -41,18 +41,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, verbatim or with other numbers, names and units."""
+    """Documents that hold no benchmark item, verbatim or with other numbers, names and units.
+
+    Null, empty and repeated texts without an item stay, as do rows without an id. Rows that share an id are one document:
+    where one of them holds an item, all go.
+    """
     return without(docs, templates.matches(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by surrogates; n_chars follows the text."""
+    """All documents, personal data replaced by surrogates; n_chars follows the text (null for a null text).
+
+    Every row comes out once, repeated rows, null ids, and null and empty texts included.
+    """
     out = surrogates.replace(docs, SURROGATE_KEY)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept document's pieces with their place in the packed sequences."""
+    """Every kept document's pieces with their place in the packed sequences.
+
+    Each row is packed for itself, repeated ones too; a null or empty text is a piece of one id.
+    """
     return packing.pack(docs)
 
 
