@@ -137,6 +137,16 @@ def test_panel_joins_counted_offers(no_broadcast, spark):
     assert listed(panel.groupBy("cli_stmt").agg(vintage_tracker.weighted_sum("raim"))) == listed(listed_.groupBy("cli_stmt").agg(F.sum("raim")))
 
 
+def test_unfolded_months_are_not_broadcast(spark):
+    """Twelve months of an offer are twelve rows, which the size Spark derives does not show."""
+    offers = spark.range(100).select(F.col("id").alias("account_id"), F.lit(dt.date(2024, 1, 5)).alias("offer_date"))
+    perf = spark.createDataFrame([(1, dt.date(2024, 3, 1), 4)], "account_id long, stmt_date date, raim int")
+    panel = vintage_tracker.vintage_panel(offers, perf, span=(1, 12))
+    plan = plan_of(panel)
+    assert "Generate explode" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [(r.account_id, r.cli_stmt, r.n_offers) for r in panel.collect()] == [(1, 2, 1)]
+
+
 def test_entry_scan_is_pruned_and_filtered(no_broadcast):
     df = QUERIES["vintage_margin_by_month"](no_broadcast, DIR)
     plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
