@@ -126,6 +126,13 @@ def test_gather_equals_joins(frame):
     assert listed(out.select("k", "last.x", "n", "m")) == [("a", 1, 3, 1), ("b", 5, 1, None), ("c", None, None, 1)]
 
 
+def test_newest_keeps_ties_under_their_names(frame):
+    rows = frame("k string, at date, x int, y string", ("a", D(2025, 1, 1), None, "b"), ("a", D(2025, 1, 1), 3, "a"), ("a", D(2024, 1, 1), 1, "c"))
+    out = gather("k", [(rows, {"last": (newest(rows, ["at"], ["x", "y"], kept=["x", "y"]), F.min)})])
+    assert listed(out.select("k", "last.x", "last.y")) == [("a", 3, "a")]
+    assert out.schema["last"].dataType.names == ["__none0", "__by0", "__void0", "x", "__void1", "y"]
+
+
 @pytest.mark.parametrize("piece_rows", [1, 5, 70, 1 << 20])
 def test_running_ordinal_in_pieces_equals_plain(spark, piece_rows):
     rng = random.Random(7)
