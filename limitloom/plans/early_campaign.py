@@ -97,10 +97,11 @@ def daily_state(account_daily: DataFrame, as_of: dt.date, card_type: str, produc
     is_open = c("account_status") == "OPEN"
     today = (c("reference_date") == F.lit(as_of)) & is_open & (c("card_type") == card_type) & (c("product_type") == product) & (c("month_on_book") > 0)
     before = (c("reference_date") == F.date_sub(F.lit(as_of), 1)) & (c("sub_product") == "UNSECURED") & c("card_type").isNotNull() & is_open
-    rows = account_daily.filter(c("reference_date") <= F.lit(as_of)).groupBy("account_id").agg(
-        F.collect_set(F.when(today, F.struct(*TODAY))).alias("today"),
-        F.max("days_past_due").alias("worst_dpd"),
-        F.collect_set(F.when(before, c("user_id"))).alias("open_before"),
+    past = account_daily.filter(c("reference_date") <= F.lit(as_of))
+    # Days apart from these two share one row of their account, in hash aggregates, before anything is collected.
+    marks = past.groupBy("account_id", F.when(today, F.struct(*TODAY)).alias("state"), F.when(before, c("user_id")).alias("user"))
+    rows = marks.agg(F.max("days_past_due").alias("worst_dpd")).groupBy("account_id").agg(
+        F.collect_set("state").alias("today"), F.max("worst_dpd").alias("worst_dpd"), F.collect_set("user").alias("open_before")
     )
     return durable(rows.filter((F.size("today") > 0) | (F.size("open_before") > 0)), "daily-state")
 
@@ -142,16 +143,17 @@ def redecision(frames, daily: DataFrame, input_order: Sequence[str] = ()) -> Dat
     """
     users = daily.select(F.explode("open_before").alias("user_id")).distinct()
     inputs = frames["redecision_inputs"].filter(c("cvsc100").between(300, 900))
-    rows = attach(users, inputs, "user_id", "inner")
     rejects = {
         "public_record_reject": rules.public_record_reject(),
         "strategy_reject": rules.strategy_reject(),
         "bankruptcy_reject": rules.bankruptcy_reject(),
         "tree_reject": rules.tree_reject(),
     }
-    rows = rows.withColumns(rejects).withColumn("approves", rules.approves())
-    order = [c(x) for x in input_order] or [F.md5(F.to_json(F.struct(*inputs.columns)))]
-    rows = rows.select("user_id", "approves", *[x.alias(f"__order{i}") for i, x in enumerate(order)])
+    order = [c(x) for x in input_order] or [F.unhex(F.md5(F.to_json(F.struct(*inputs.columns))))]
+    # judged where they are read, so that only the outcome and the order travel
+    judged = inputs.withColumns(rejects).withColumn("approves", rules.approves())
+    judged = judged.select("user_id", "approves", *[x.alias(f"__order{i}") for i, x in enumerate(order)])
+    rows = attach(users, judged, "user_id", "inner")
     return dedupe(rows, "user_id", [c(f"__order{i}") for i in range(len(order))]).select("user_id", "approves")
 
 

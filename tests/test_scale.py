@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from limitloom import operators as op
 from limitloom.operators import scan
-from limitloom.plans import reactive_eligibility, score_studies, vintage_tracker
+from limitloom.operators.star import gather
+from limitloom.plans import early_campaign, reactive_eligibility, score_studies, vintage_tracker
 from limitloom.queries.catalogue import QUERIES
 from limitloom.queries.registry import AS_OF
 from limitloom.session import build_session, durable, run_folder, shared_folder, sized_for
 from limitloom.sources import append_audience, replace_table
-from limitloom.sources.portfolio_standins import portfolio
+from limitloom.sources.portfolio_standins import campaign_frames, portfolio
 
 DIR = "/root/testdata/sf0.001"
 
@@ -147,6 +148,32 @@ def test_unfolded_months_are_not_broadcast(spark):
     assert [(r.account_id, r.cli_stmt, r.n_offers) for r in panel.collect()] == [(1, 2, 1)]
 
 
+def test_campaign_joins_line_items_once(no_broadcast):
+    frames = campaign_frames(no_broadcast, DIR)
+    for name in ("account_daily", "transactions", "statements", "junior_scores", "behaviour_scores"):
+        assert "lineitem.parquet" not in plan_of(frames[name]), name
+
+
+def test_campaign_sends_outcomes_of_inputs(no_broadcast):
+    frames = {"redecision_inputs": durable(campaign_frames(no_broadcast, DIR)["redecision_inputs"])}
+    daily = no_broadcast.createDataFrame([([1000002],)], "open_before array<long>")
+    plan = plan_of(early_campaign.redecision(frames, daily, ["input_id"]))
+    # The side of the inputs is cut to user, outcome and order before its exchange.
+    sent = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert re.search(r"Project \[[^\n]*AS approves#\d+, [^\n]*AS __order0#\d+", sent)
+
+
+def test_old_reports_share_a_row(spark):
+    names = [f for f in reactive_eligibility.BUREAU_COLUMNS if f != "segment_indicator"]
+    schema = "user_id int, credit_report_date string, created_at timestamp, segment int, " + ", ".join(f"{x} int" for x in names)
+    days = [dt.datetime(2024, m, 5) for m in range(1, 13)]
+    bureau = spark.createDataFrame([(1, d.strftime("%Y%m%d"), d, d.month, *[d.month] * len(names)) for d in days], schema)
+    rows = lambda *since: gather(["user_id", "pull_mth"], [reactive_eligibility.bureau_side(bureau, *since)])
+    assert rows().count() == 12
+    kept = rows("2024-11").select("pull_mth", "report.score", "report.segment_indicator").collect()
+    assert sorted(map(tuple, kept), key=str) == [("2024-11", 11, 11), ("2024-12", 12, 12), (None, 10, 10)]
+
+
 def test_entry_scan_is_pruned_and_filtered(no_broadcast):
     df = QUERIES["vintage_margin_by_month"](no_broadcast, DIR)
     plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
