@@ -131,6 +131,8 @@ def identify(docs: DataFrame, model: Model, evidence: DataFrame | None = None, l
     ``evidence`` has at most one row per doc_id (declared, suffix, host); a null is no evidence. A text without letters,
     null or empty, has lang null and is not kept; nor is one whose best language is less likely than ``least``.
     Ties go to the language first in the alphabet. Without any language in the model nothing is kept.
+
+    The result is stored: a filter on it, pushed down into its expressions, would repeat them a thousandfold in one condition.
     """
     langs = model.languages
     if not langs:
@@ -183,10 +185,11 @@ def identify(docs: DataFrame, model: Model, evidence: DataFrame | None = None, l
     for i in range(len(langs) - 1, -1, -1):
         lang = F.when(F.col(f"c_{i}") == best, langs[i]).otherwise(lang)
         by_text = F.when(F.col(f"p_{i}") == F.greatest(*shares, F.lit(0.0)), langs[i]).otherwise(by_text)
-    return rows.select(
+    told = rows.select(
         "doc_id",
         F.when(none, None).otherwise(lang).alias("lang"),
         F.when(none, 0.0).otherwise(best).alias("confidence"),
         F.when(none, None).otherwise(by_text).alias("text_lang"),
         (~none & (best >= least)).alias("keep"),
     )
+    return durable(told, "told")

@@ -387,6 +387,13 @@ def test_language_fuses_evidence(frame):
     assert languages.identify(docs, languages.train(docs.limit(0))).filter("keep").count() == 0
 
 
+def test_a_filter_on_told_languages_is_one_condition(frame):
+    docs = frame(DOCS, *[(i, f"{v} " * 30, v, "s", 1) for i, v in enumerate(["en", "de", "fr", "es", "it"] * 3)])
+    pages = frame("page_id long, url string, html string", (1, "http://h.example.fr/fr/4", '<html lang="fr">x'))
+    out = languages.identify(docs, languages.train(docs), languages.page_evidence(pages)).filter("not keep").select("doc_id").distinct()
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 5_000
+
+
 # edits
 
 
