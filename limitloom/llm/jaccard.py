@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limitloom.llm.components import components
@@ -27,8 +27,8 @@ from limitloom.llm.frames import bloom_filter, buffer_of, chunks, durable, in_bl
 from limitloom.llm.words import shingle_sets
 
 # Tokens of one flush of a counting task; tokens per reducer; classes and tokens of a part (a longer set is a part of
-# its own or nearly); documents that make a token common; common tokens that are broadcast at most.
-FLUSH, PER_BUCKET, MEMBERS, PART_TOKENS, COMMON, MOST_COMMON = 1_000_000, 2_500_000, 64, 1 << 16, 2, 1_000_000
+# its own or nearly); documents that make a token common; common tokens that are broadcast at most, as they are and as bits.
+FLUSH, PER_BUCKET, MEMBERS, PART_TOKENS, COMMON, MOST_COMMON, MOST_BITS = 1_000_000, 2_500_000, 64, 1 << 16, 2, 1_000_000, 16_000_000
 # Ratio of the ends of a band of set sizes; columns of a union that are multiplied at once.
 BAND, COLUMNS = 1.04, 1 << 14
 
@@ -88,12 +88,26 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n int, key binary")
 
 
+def without_copies(docs: DataFrame, classes: DataFrame) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """What leaves the rows of a batch (doc_id, text) that may be a class's smallest doc_id; ``classes`` is stored.
+
+    Rows without an id stay. The bounded filter may let further copies through, never a class's only row.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(classes.filter("least is not null"), F.col("least"), classes.count()))
+
+    def few(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(0)
+        return batch.filter(pa.array(in_bloom(bits.value, ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)))
+
+    return few
+
+
 def _bucket_starts(buckets: int, bits: int) -> np.ndarray:
     return (np.arange(1, buckets, dtype=object) * (1 << bits) // buckets).astype(np.uint64)
 
 
-def common_tokens(docs: DataFrame, k: int, bits: int, buckets: int) -> DataFrame:
-    """(token, df) of tokens, by their leading ``bits``, in at least ``COMMON`` documents; counted over all documents."""
+def common_tokens(docs: DataFrame, k: int, bits: int, buckets: int, few: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """(token, df) of tokens, by their leading ``bits``, in at least ``COMMON`` documents; counted over all that ``few`` leaves."""
     shift = np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +125,7 @@ def common_tokens(docs: DataFrame, k: int, bits: int, buckets: int) -> DataFrame
             })
 
         for batch in batches:
-            for _, sets in _sets(batch, k):
+            for _, sets in _sets(few(batch), k):
                 held += sets
                 size += sum(map(len, sets))
                 if size >= FLUSH:
@@ -131,47 +145,64 @@ def common_tokens(docs: DataFrame, k: int, bits: int, buckets: int) -> DataFrame
     return blobs.groupBy("bucket").applyInPandas(merge, "token long, df long")
 
 
-def common_order(common: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted tokens and their counts: all classes of counts (by log2) from the highest on that hold a million tokens at most."""
-    sizes = {c: n for c, n in common.groupBy(F.floor(F.log2("df")).cast("int").alias("c")).count().collect()}
+def _log_count() -> Column:
+    return F.floor(F.log2("df")).cast("int")
+
+
+def _least_count(sizes: dict[int, int], most: int) -> int:
+    """The lowest class of counts (by log2) from which on all classes together hold ``most`` tokens at most."""
     least, total = 64, 0
     for c in sorted(sizes, reverse=True):
         total += sizes[c]
-        if total > MOST_COMMON:
+        if total > most:
             break
         least = c
-    rows = common.filter(F.floor(F.log2("df")) >= least).select("token", "df").toArrow()
+    return least
+
+
+def common_order(common: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens and their counts: the classes of counts from the highest on that hold a million tokens at most."""
+    rows = common.filter(_log_count() >= _least_count(sizes, MOST_COMMON)).select("token", "df").toArrow()
     tokens = rows.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], rows.column("df").to_numpy()[order]
 
 
-def prefix_entries(docs: DataFrame, k: int, percent: int, common: DataFrame, bits: int) -> DataFrame:
+def prefix_entries(docs: DataFrame, k: int, percent: int, common: DataFrame, bits: int, few: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """(token, key, n) of the prefix tokens that sets of at least two classes have; ``common`` is stored.
 
     A bounded Bloom filter of the tokens in several documents spares the others the shuffle; the count behind it is exact.
+    It also orders: tokens of one document come first, then those of several, then the common ones by their counts. So a set
+    with enough tokens of its own has none to send, however many of the rest are shared. Where the tokens in several documents
+    are too many for the filter to tell, another one of those in the most documents orders.
     """
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((*common_order(common), bloom_filter(common, F.col("token"), 4 * common.count())))
+    sizes = {c: n for c, n in common.groupBy(_log_count().alias("c")).count().collect()}
+    rarest, total = min(sizes, default=64), sum(sizes.values())
+    several, least = bloom_filter(common, F.col("token"), 4 * total), _least_count(sizes, MOST_BITS)
+    later = None if least <= rarest else bloom_filter(common.filter(_log_count() >= least), F.col("token"), 4 * sum(n for c, n in sizes.items() if c >= least))
+    shared = sc.broadcast((*common_order(common, sizes), several, later))
     shift = np.uint64(64 - bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank, several = shared.value
+        common, rank, several, later = shared.value
         seen = set()
         for batch in batches:
-            for _, sets in _sets(batch, k):
+            for _, sets in _sets(few(batch), k):
                 held, keys, sizes = [], [], []
                 for tokens in sets:
                     if not len(tokens) or (key := _key(tokens)) in seen:
                         continue
                     seen.add(key)
                     take, n = len(tokens) + (-percent * len(tokens)) // 100 + 1, len(tokens)
+                    cut = tokens >> shift
+                    sent = in_bloom(several, cut)
+                    place = (sent if later is None else in_bloom(later, cut)).astype(np.int64)
                     if len(common):
-                        cut = tokens >> shift
                         at = np.minimum(np.searchsorted(common, cut), len(common) - 1)
-                        tokens = tokens[np.argsort(np.where(common[at] == cut, rank[at], 0), kind="stable")]
-                    tokens = tokens[:take]
-                    tokens = tokens[in_bloom(several, tokens >> shift)]
+                        place = np.where(common[at] == cut, rank[at], place)
+                    first = np.argsort(place, kind="stable")[:take]
+                    tokens = tokens[first[sent[first]]]
                     held.append(tokens)
                     keys += [key] * len(tokens)
                     sizes += [n] * len(tokens)
@@ -213,10 +244,10 @@ def token_sets(docs: DataFrame, k: int, members: DataFrame) -> DataFrame:
     """(key, g, p, parts, tokens) of the classes ``members`` (stored, with the class's smallest doc_id), eight bytes a token.
 
     A bounded Bloom filter of key and doc_id keeps the scan from emitting sets that nobody needs, and those of further copies;
-    the join behind it is exact.
+    the join behind it is exact. Most classes are no members, so the filter has some 256 bits a member as long as they fit.
     """
     hashed = F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long").bitwiseXOR(F.coalesce("least", F.lit(-1)))
-    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(members, hashed, members.count()))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(members, hashed, 16 * members.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -398,8 +429,9 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     words = max(1, rows.agg(F.sum("n")).first()[0] or 1)
     bits, buckets = max(32, 9 + math.ceil(math.log2(words))), max(16, -(-words // PER_BUCKET))
 
-    common = durable(common_tokens(docs, k, bits, buckets), "common")
-    entries = prefix_entries(docs, k, percent, common, bits)
+    few = without_copies(docs, classes)
+    common = durable(common_tokens(docs, k, bits, buckets, few), "common")
+    entries = prefix_entries(docs, k, percent, common, bits, few)
     members = durable(placed_in_parts(entries).join(classes, "key"), "members")
     matrix = durable(token_group_matrix(token_sets(docs, k, members)), "token-group-matrix")
 

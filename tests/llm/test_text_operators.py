@@ -171,6 +171,33 @@ def test_large_groups_of_near_copies_equal_brute_force(frame):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_classes(texts, 4, 85)
 
 
+def test_sets_with_tokens_of_their_own_and_copies_send_no_prefix(frame, monkeypatch):
+    sent, promising = [], jaccard._promising
+    monkeypatch.setattr(jaccard, "MOST_COMMON", 0)
+    monkeypatch.setattr(jaccard, "_promising", lambda entries, percent: (sent.append(entries.count()), promising(entries, percent))[1])
+    texts = [f"{prose(i // 2, 60)} {prose(100 + i, 40)}" for i in range(20)] + [prose(200, 50)] * 3
+    out = jaccard.similarity_classes(docs_of(frame, *texts), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_classes(texts, 4, 85)
+    assert sent == [0]
+
+
+@pytest.mark.parametrize("most", [0, 400])
+def test_similarity_with_more_tokens_than_a_filter_tells(frame, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "MOST_COMMON", most // 4)
+    monkeypatch.setattr(jaccard, "MOST_BITS", most, raising=False)
+    rng, texts = np.random.default_rng(5), []
+    for seed in range(8):
+        words = prose(seed, 60).split() + prose(50 + seed // 4, 30).split()
+        for i in range(2 + seed):
+            other = list(words)
+            for at in rng.integers(0, 60, int(rng.integers(0, 4))):
+                other[at] = f"edit{seed}x{i}x{at}"
+            texts.append(" ".join(other))
+    texts += [texts[5]] * 3
+    out = jaccard.similarity_classes(docs_of(frame, *texts), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_classes(texts, 4, 85)
+
+
 def test_bit_rows_never_undercount_an_overlap():
     rng = np.random.default_rng(3)
     for n, m, shared in ((1, 1, 0), (1, 1, 1), (40, 45, 40), (200, 170, 120), (3000, 90, 90), (5000, 5200, 1000)):
