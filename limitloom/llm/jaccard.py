@@ -23,18 +23,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limitloom.llm.components import components
-from limitloom.llm.frames import bloom_filter, buffer_of, chunks, durable, in_bloom, merged_counts, texts
+from limitloom.llm.frames import bloom_filter, buffer_of, chunks, durable, in_bloom, merged_counts, small_batches, texts
 from limitloom.llm.words import shingle_sets
 
 # Tokens of one flush of a counting task; tokens per reducer; classes and tokens of a part (a longer set is a part of
 # its own or nearly); documents that make a token common; common tokens that are broadcast at most, as they are and as bits.
 FLUSH, PER_BUCKET, MEMBERS, PART_TOKENS, COMMON, MOST_COMMON, MOST_BITS = 1_000_000, 2_500_000, 64, 1 << 16, 2, 1_000_000, 16_000_000
-# Ratio of the ends of a band of set sizes; columns of a union that are multiplied at once.
-BAND, COLUMNS = 1.04, 1 << 14
+# Ratio of the ends of a band of set sizes; columns of a union that are multiplied at once; bytes of text whose sets, and counted
+# tokens whose counts, a task makes at once.
+BAND, COLUMNS, TEXT_BYTES, MERGED = 1.04, 1 << 14, 1 << 20, 1 << 18
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for part in chunks(batch):
+    for part in chunks(batch, limit=TEXT_BYTES):
         yield part, shingle_sets(*buffer_of(part.column(1)), k)
 
 
@@ -106,6 +107,24 @@ def _bucket_starts(buckets: int, bits: int) -> np.ndarray:
     return (np.arange(1, buckets, dtype=object) * (1 << bits) // buckets).astype(np.uint64)
 
 
+def _merged_common(tokens: list[bytes], counts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens counted ``least`` times in all, of packed sorted tokens and their counts, some ``MERGED`` at a time.
+
+    Tokens are hashes, so ranges of equal width hold about equally many.
+    """
+    unpack = zstandard.ZstdDecompressor()
+    parts = [(_unpack(t), np.frombuffer(unpack.decompress(c), np.uint32)) for t, c in zip(tokens, counts, strict=True)]
+    low, high = min(int(t[0]) for t, _ in parts), max(int(t[-1]) for t, _ in parts) + 1
+    ranges = -(-sum(len(t) for t, _ in parts) // MERGED)
+    edges = [low + (high - low) * i // ranges for i in range(1, ranges)]
+    cuts = [np.r_[0, np.searchsorted(t, np.array(edges, np.uint64)), len(t)].tolist() for t, _ in parts]
+    kept = []
+    for i in range(ranges):
+        values, sums = merged_counts([(t[c[i] : c[i + 1]], n[c[i] : c[i + 1]].astype(np.int64)) for (t, n), c in zip(parts, cuts, strict=True)])
+        kept.append((values[sums >= least], sums[sums >= least]))
+    return np.concatenate([v for v, _ in kept]), np.concatenate([n for _, n in kept])
+
+
 def common_tokens(docs: DataFrame, k: int, bits: int, buckets: int, few: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """(token, df) of tokens, by their leading ``bits``, in at least ``COMMON`` documents; counted over all that ``few`` leaves."""
     shift = np.uint64(64 - bits)
@@ -114,8 +133,12 @@ def common_tokens(docs: DataFrame, k: int, bits: int, buckets: int, few: Callabl
         starts, held, size = _bucket_starts(buckets, bits), [], 0
 
         def flush() -> pa.RecordBatch:
-            tokens = np.concatenate(held) >> shift
-            tokens, counts = np.unique(tokens, return_counts=True)
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens >>= shift
+            tokens.sort()
+            first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+            tokens, counts = tokens[first], np.diff(first, append=len(tokens))
             cut = np.r_[0, np.searchsorted(tokens, starts), len(tokens)]
             spans = [(i, a, b) for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
             squeeze = zstandard.ZstdCompressor(level=1)
@@ -130,16 +153,13 @@ def common_tokens(docs: DataFrame, k: int, bits: int, buckets: int, few: Callabl
                 size += sum(map(len, sets))
                 if size >= FLUSH:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield flush()
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        unpack = zstandard.ZstdDecompressor()
-        parts = [(_unpack(t), np.frombuffer(unpack.decompress(c), np.uint32).astype(np.int64)) for t, c in zip(rows.tokens, rows.counts, strict=True)]
-        tokens, counts = merged_counts(parts)
-        keep = counts >= COMMON
-        return pd.DataFrame({"token": tokens[keep].view(np.int64), "df": counts[keep]})
+        tokens, counts = _merged_common(rows.tokens, rows.counts, COMMON)
+        return pd.DataFrame({"token": tokens.view(np.int64), "df": counts})
 
     blobs = texts(docs).mapInArrow(count, "bucket int, tokens binary, counts binary")
     return blobs.groupBy("bucket").applyInPandas(merge, "token long, df long")
@@ -424,6 +444,12 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     nothing (component_id is their own id); so do rows with a null id, whose set still links others.
     Repeated rows have the same set and therefore the same class.
     """
+    with small_batches(docs.sparkSession):
+        return _classes(docs, k, percent)
+
+
+def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``similarity_classes``; all its Python tasks have run when it returns."""
     rows = durable(signed(docs, k), "sets")
     classes = durable(rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")), "classes")
     words = max(1, rows.agg(F.sum("n")).first()[0] or 1)

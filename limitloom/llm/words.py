@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _rng = np.random.default_rng(0x5EED)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
@@ -27,7 +27,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, (n + 1).bit_length())
+    size = 1 << max(_PIECE.bit_length(), (n + 1).bit_length())
     if size not in _powers:
         _powers.clear()
         pair = []
@@ -51,7 +51,7 @@ def _words_of_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end byte) of every word; works through the bytes a megabyte at a time."""
+    """(hash, first byte, end byte) of every word; works through the bytes a quarter megabyte at a time."""
     found, at = [], 0
     while at < len(data):
         stop = at + _PIECE

@@ -2,17 +2,20 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from limitloom.llm import archives, compressors, edits, jaccard, languages, packing, pivots, suffixes, surrogates, templates
 from limitloom.llm.components import components
-from limitloom.llm.words import run_hashes, word_hashes
+from limitloom.llm.frames import BATCH_BYTES, CHUNK_BYTES
+from limitloom.llm.words import _powers, run_hashes, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -213,6 +216,41 @@ def test_bit_rows_never_undercount_an_overlap():
     assert n - jaccard._lacking(rows[0], rows[1]) < 0.7 * n
 
 
+def peak_of(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_of_much_text_take_little_memory():
+    data = np.frombuffer(" ".join("w" * 60 + str(i % 1000) for i in range(64_000)).encode(), np.uint8)
+    _powers.clear()
+    (h, start, end), peak = peak_of(lambda: word_hashes(data))
+    assert len(h) == 64_000 and len(np.unique(h)) == 1000 and (end - start).min() == 61
+    assert peak < 32 << 20
+
+
+def test_counts_of_common_tokens_are_merged_in_little_memory():
+    rng = np.random.default_rng(9)
+    parts = [np.unique(rng.integers(0, 1 << 22, 200_000, dtype=np.uint64)) for _ in range(12)] + [np.array([5], np.uint64)]
+    counts = [rng.integers(1, 3, len(p)).astype(np.uint32) for p in parts]
+    packed = [jaccard._pack(p) for p in parts], [zstandard.compress(n.tobytes()) for n in counts]
+    (tokens, sums), peak = peak_of(lambda: jaccard._merged_common(*packed, 2))
+    every = np.bincount(np.concatenate(parts).astype(np.int64), np.concatenate(counts))
+    assert tokens.tolist() == np.flatnonzero(every >= 2).tolist() and sums.tolist() == every[every >= 2].tolist()
+    assert peak < 80 << 20
+
+
+def test_python_tasks_of_the_similarity_join_get_small_batches(spark, frame, monkeypatch):
+    sizes, durable, before = [], jaccard.durable, spark.conf.get(BATCH_BYTES)
+    monkeypatch.setattr(jaccard, "durable", lambda df, *label: (sizes.append(spark.conf.get(BATCH_BYTES)), durable(df, *label))[1])
+    out = jaccard.similarity_classes(docs_of(frame, prose(1, 30), prose(1, 30), prose(2, 30)), 4, 85)
+    assert set(sizes) == {str(CHUNK_BYTES)} and spark.conf.get(BATCH_BYTES) == before
+    assert {r.doc_id: r.component_id for r in out.collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def test_similarity_of_nothing_and_repeated_rows(frame):
     assert jaccard.similarity_classes(docs_of(frame)).count() == 0
     text = prose(1, 30)
