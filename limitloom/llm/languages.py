@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limitloom.llm.frames import buffer_of, chunks, durable
+from limitloom.llm.frames import buffer_of, chunks, durable, small_batches
 
+# Bytes of text whose trigrams a task looks up at once; each takes several numbers of eight bytes.
+TEXT_BYTES = 1 << 20
 # The labelled sample: rows at most, and shortest and longest text.
 SAMPLE, SHORTEST, LONGEST = 4000, 40, 20_000
 CELLS = 1 << 16
@@ -72,7 +74,7 @@ def text_evidence(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_p = shared.value
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=TEXT_BYTES):
                 data, ends = buffer_of(part.column(1))
                 # two spaces before each text, so that no trigram belongs to two of them
                 at = 2 * np.arange(part.num_rows)
@@ -146,7 +148,8 @@ def identify(docs: DataFrame, model: Model, evidence: DataFrame | None = None, l
     texts = [f"t_{i}" for i in range(len(langs))]
     shares = dict(zip([f"p_{i}" for i in range(len(langs))], _softmax([F.col(t) for t in texts]), strict=True))
     none = F.col("letters") == 0
-    rows = durable(rows.withColumns({n: F.when(none, 0.0).otherwise(F.round(c, 9)) for n, c in shares.items()}), "languages")
+    with small_batches(docs.sparkSession):
+        rows = durable(rows.withColumns({n: F.when(none, 0.0).otherwise(F.round(c, 9)) for n, c in shares.items()}), "languages")
 
     def totals(*by: str) -> DataFrame:
         return rows.groupBy(*by).agg(*[F.sum(F.col(p).cast("decimal(28,9)")).cast("double").alias("s" + p) for p in shares])

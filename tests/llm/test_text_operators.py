@@ -251,6 +251,14 @@ def test_python_tasks_of_the_similarity_join_get_small_batches(spark, frame, mon
     assert {r.doc_id: r.component_id for r in out.collect()} == {0: 0, 1: 0, 2: 2}
 
 
+def test_python_tasks_of_the_language_stage_get_small_batches(spark, frame, monkeypatch):
+    sizes, durable, before = {}, languages.durable, spark.conf.get(BATCH_BYTES)
+    monkeypatch.setattr(languages, "durable", lambda df, label: (sizes.update({label: spark.conf.get(BATCH_BYTES)}), durable(df, label))[1])
+    docs = docs_of(frame, prose(1, 30), prose(2, 30))
+    assert languages.identify(docs, languages.train(docs)).count() == 2
+    assert sizes["languages"] == str(CHUNK_BYTES) and spark.conf.get(BATCH_BYTES) == before
+
+
 def test_similarity_of_nothing_and_repeated_rows(frame):
     assert jaccard.similarity_classes(docs_of(frame)).count() == 0
     text = prose(1, 30)
