@@ -19,10 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from limitloom.llm.frames import durable, texts
+from limitloom.llm.frames import durable, small_batches, texts
 
 CAPACITY = 2048
-_CACHE_ENTRIES = 400_000
+# Text pieces an encoder remembers. It outlives its task in a worker that later stages use too, so they must take little memory.
+_CACHE_ENTRIES = 50_000
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -53,14 +54,16 @@ class PieceEncoder:
             return self.ids(head) + b"".join([known[w] for w in rest])
         except (KeyError, TypeError):
             pass
-        if len(known) > _CACHE_ENTRIES:
-            known.clear()
         parts = [self.ids(head)]
         for w in rest:
             part = known.get(w, b"?")
             if part == b"?":
                 part = self.ids(" " + w) if w and not w[0].isspace() else None
                 if len(w) <= 64:
+                    if len(known) >= _CACHE_ENTRIES:
+                        # frequent pieces were met early, so the older half stays
+                        for old in list(known)[_CACHE_ENTRIES // 2 :]:
+                            del known[old]
                     known[w] = part
             if part is None:
                 return self.ids(text)
@@ -226,7 +229,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_
     once; the histogram (``capacity`` rows at most) is all that reaches the driver, and the broadcast plan
     has a few slots per length.
     """
-    stored = durable(pieces(docs, capacity, vocabulary), "pieces")
+    with small_batches(docs.sparkSession):
+        stored = durable(pieces(docs, capacity, vocabulary), "pieces")
     counts = stored.groupBy("task", "length").agg((F.max("nth") + 1).alias("n"))
     # one row per task and length, so a length's window holds as many rows as there are tasks
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))

@@ -284,6 +284,27 @@ def test_encoder_equals_the_tokenizer(tokenizer):
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_remembers_little(tokenizer):
+    encode = packing.encoder()
+    encode._known.clear()
+    texts = [" ".join(f"the w{i}" for i in range(at, at + 2000)) for at in range(0, 200_000, 2000)]
+    sums, peak = peak_of(lambda: [zlib.crc32(encode(t)) for t in texts])
+    assert peak < 24 << 20 and len(encode._known) <= packing._CACHE_ENTRIES
+    for at in (0, 30, 99):
+        assert sums[at] == zlib.crc32(np.array(tokenizer.encode(texts[at], add_special_tokens=False).ids, "<u4").tobytes())
+    # one text with more pieces than are remembered
+    text = " ".join(f"v{i}" for i in range(packing._CACHE_ENTRIES + 10))
+    assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert "the" in encode._known and len(encode._known) <= packing._CACHE_ENTRIES
+
+
+def test_python_tasks_of_packing_get_small_batches(spark, frame, monkeypatch):
+    sizes, durable, before = {}, packing.durable, spark.conf.get(BATCH_BYTES)
+    monkeypatch.setattr(packing, "durable", lambda df, label: (sizes.update({label: spark.conf.get(BATCH_BYTES)}), durable(df, label))[1])
+    assert packing.pack(docs_of(frame, prose(1, 30), None)).count() == 2
+    assert sizes["pieces"] == str(CHUNK_BYTES) and spark.conf.get(BATCH_BYTES) == before
+
+
 def test_packing_keeps_every_id(frame, tokenizer):
     texts = [prose(i, 40 * i) for i in range(1, 25)] + ["", None, prose(99, 4000)]
     rows = packing.pack(docs_of(frame, *texts)).collect()
