@@ -50,3 +50,14 @@ def test_back_test_scores_months_without_an_offer(run, name):
     months = [shipped(1, "2000-02-05", 105.0), shipped(1, "2000-03-05", 50.0, 2), shipped(1, "2000-04-05", 50.0, 3)]
     got = run(name, [customer(3)], [order(1, 3, "2000-01-10")], months)
     assert [(r["risk_stmt"], r["n"], r["raim"]) for r in got] == [(1, 1, 50.0), (2, 1, 50.0)]
+
+
+# An account whose approved request of the month meets a limit of 1,000 and an increase of 5,000; see the stand-in of offers.
+ASKED = order(2, 3, "2000-03-10", price=5000.0)
+
+
+def test_decrease_free_history_lists_every_accepted_offer(run):
+    past = [order(1, 3, "2000-01-10", price=700.0), order(4, 3, "2000-02-10", price=900.0)]
+    got = run("decrease_free_history", [customer(3)], [ASKED, *past], [shipped(2, "2000-03-20", 10.0)])
+    assert sorted((r["request_id"], r["offer_mth"], r["new_cl"]) for r in got) == [(2, "2000-01", 700.0), (2, "2000-02", 900.0), (2, "2000-03", 5000.0)]
+    assert {(r["accepted_offers"], r["first_offer_mth"], r["last_offer_mth"], r["highest_cl"]) for r in got} == {(3, "2000-01", "2000-03", 5000.0)}
