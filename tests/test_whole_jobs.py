@@ -1,9 +1,12 @@
 """Registered queries on a few rows of their own: what the whole job has to list."""
 
+import datetime as dt
+
 import duckdb
 import pytest
 
 from check_queries import rows_of
+from limitloom.plans import request_funnel
 from limitloom.queries.catalogue import ORACLES, QUERIES
 
 COLUMNS = {
@@ -61,3 +64,19 @@ def test_decrease_free_history_lists_every_accepted_offer(run):
     got = run("decrease_free_history", [customer(3)], [ASKED, *past], [shipped(2, "2000-03-20", 10.0)])
     assert sorted((r["request_id"], r["offer_mth"], r["new_cl"]) for r in got) == [(2, "2000-01", 700.0), (2, "2000-02", 900.0), (2, "2000-03", 5000.0)]
     assert {(r["accepted_offers"], r["first_offer_mth"], r["last_offer_mth"], r["highest_cl"]) for r in got} == {(3, "2000-01", "2000-03", 5000.0)}
+
+
+def test_restored_above_decrease_lists_every_exceeded_limit(run):
+    # strategies go by the id's remainder of three; the new limit is 6,000
+    cuts = [order(1, 3, "2000-01-10", "O", 400.0), order(4, 3, "2000-02-10", "O", 5500.0), order(13, 3, "2000-02-20", "O", 7000.0), order(5, 3, "2000-02-25", "O", 300.0)]
+    got = run("restored_above_decrease", [customer(3)], [ASKED, *cuts], [shipped(2, "2000-03-20", 10.0)])
+    assert sorted((r["request_id"], r["initiated_on"], r["cld_prev_cl"], r["decreases"]) for r in got) == [(2, "2000-01-10", 400.0, 2), (2, "2000-02-10", 5500.0, 2)]
+
+
+def test_restored_pairs_keep_requests_without_a_user_and_repeated_ones(frame):
+    schema = "request_id bigint, user_id bigint, account_id bigint, offer_id bigint, stmt_mth string, icl bigint, cli_offer bigint"
+    rows = frame(schema, *[(1, None, 3, 1, "2000-03", 1000, 5000)] * 2)
+    cut = "account_id bigint, initiated_at timestamp, previous_limit_cents bigint, new_limit_cents bigint"
+    decreases = frame(cut, *[(3, dt.datetime(2000, 1, day), limit, 0) for day, limit in ((1, 40_000), (2, 50_000), (3, 900_000))])
+    got = request_funnel.restored_pairs(rows, decreases).collect()
+    assert sorted((float(r["prev_cl"]), r["decreases"]) for r in got) == [(400.0, 4), (400.0, 4), (500.0, 4), (500.0, 4)]
